@@ -110,13 +110,16 @@ def mean_rate(rates: DataFrame, keys: list[str], *, rate: str = "rate_hz", weigh
     return rates.groupBy(*keys).agg((strict_sum(F.col(rate) * F.col(weight)) / F.sum(weight)).alias("mean_hz"))
 
 
-def dense_map(values: DataFrame, keys: list[str], grid: DataFrame, cell: list[str], value: str, fill=None) -> DataFrame:
-    """Every unit with every presented cell; the grid is a small dimension bounded by the stimulus."""
+def dense_map(values: DataFrame, keys: list[str], shape: tuple[int, int], value: str, fill=None,
+              grid: DataFrame | None = None) -> DataFrame:
+    """Every unit with every cell of the ny x nx grid (only presented cells when a grid table is given)."""
+    ny, nx = shape
     units = values.select(*keys).distinct()
-    cells = grid.agg(F.collect_set(F.struct(*cell)).alias("_c"))
-    # one row holding the cell list (bounded by the stimulus grid) rides along with every unit
-    dense = units.join(F.broadcast(cells)).select(*keys, F.explode("_c").alias("_e")).select(*keys, "_e.*")
-    out = dense.join(values, [*keys, *cell], "left")
+    dense = units.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(ny - 1)))).withColumn(
+        "x", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
+    if grid is not None:
+        dense = dense.join(grid.select("y", "x"), ["y", "x"], "left_semi")
+    out = dense.join(values, [*keys, "y", "x"], "left")
     return out if fill is None else out.withColumn(value, F.coalesce(F.col(value), F.lit(fill)))
 
 

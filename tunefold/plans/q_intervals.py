@@ -45,13 +45,13 @@ def j06(spark, sf):
 
 
 @query("W16_epoch_clock", """WITH c AS (SELECT *, coalesce(sum(end_s - start_s) OVER (PARTITION BY session ORDER BY start_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0 FROM r_epochs)
-  SELECT s.session, spike_id, epoch_id, round(c0 + (s.t - start_s), 6) AS clock_t, round(s.t + 0.001, 5) AS back_t FROM r_spikes s JOIN c ON c.session = s.session AND s.t >= start_s AND s.t < end_s""")
+  SELECT s.session, spike_id, epoch_id, round(c0 + (s.t - start_s), 6) AS clock_t, round(s.t + 0.001, 6) AS back_t FROM r_spikes s JOIN c ON c.session = s.session AND s.t >= start_s AND s.t < end_s""")
 def w16(spark, sf):
     e = R.epochs(spark, sf)
     f = I.to_epoch_clock(R.spikes(spark, sf), e, ["session"], "t", id_col="epoch_id", width=WEEK)
     f = f.select("session", "spike_id", "epoch_id", "clock_t", (F.col("clock_t") + 0.001).alias("probe_t"))
     b = I.from_epoch_clock(f, e, ["session"], "probe_t", width=WEEK)
-    return b.select("session", "spike_id", "epoch_id", R.rnd("clock_t", 6).alias("clock_t"), R.rnd("t", 5).alias("back_t"))
+    return b.select("session", "spike_id", "epoch_id", R.rnd("clock_t", 6).alias("clock_t"), R.rnd("t", 6).alias("back_t"))
 
 
 @query("A61_interval_means", """WITH m AS (SELECT i.session, i.interval_type, i.interval_id, avg(f.hd) AS m FROM r_intervals i JOIN r_frames f ON f.session = i.session AND f.t BETWEEN i.start_s AND i.end_s GROUP BY ALL)

@@ -91,7 +91,7 @@ CTES["r_map"] = """SELECT u.unit_id, g.y, g.x, c.n FROM (SELECT DISTINCT unit_id
 
 def rmap(spark, sf, fill=None):
     s = RT.time_sum(R.cube(spark, sf), ["unit_id", "y", "x"], 0, 8)
-    return RT.dense_map(s, ["unit_id"], R.grid(spark, sf), ["y", "x"], "n", fill)
+    return RT.dense_map(s, ["unit_id"], (7, 30), "n", fill, R.grid(spark, sf))
 
 
 @query("A14_sum_to_1d", """SELECT unit_id, x, CASE WHEN count(n) = count(*) THEN CAST(sum(n) AS BIGINT) END AS n_strict, CAST(sum(n) AS BIGINT) AS n_skip FROM r_map GROUP BY ALL""")
