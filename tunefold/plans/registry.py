@@ -13,10 +13,10 @@ CTES: dict[str, str] = {}
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
-def _needed(text: str, seen: list[str]) -> None:
+def _needed(text: str, seen: list[str], open_: frozenset = frozenset()) -> None:
     for w in _WORD.findall(text):
-        if w in CTES and w not in seen:
-            _needed(CTES[w], seen)
+        if w in CTES and w not in seen and w not in open_:
+            _needed(CTES[w], seen, open_ | {w})
             if w not in seen:
                 seen.append(w)
 
@@ -26,11 +26,20 @@ def compose(sql: str) -> str:
     _needed(sql, names)
     if not names:
         return sql.strip()
-    head = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n].strip()})" for n in names)
+    # names starting with rec_ are recursive and carry their column list in the first line of the text
+    parts = []
+    for n in names:
+        body = CTES[n].strip()
+        if n.startswith("rec_"):
+            cols, body = body.split("\n", 1)
+            parts.append(f"{n}{cols} AS ({body})")
+        else:
+            parts.append(f"{n} AS MATERIALIZED ({body})")
+    head = ",\n".join(parts)
     body = sql.strip()
     if body[:5].upper() == "WITH ":
-        return f"WITH {head},\n{body[5:]}"
-    return f"WITH {head}\n{body}"
+        return f"WITH RECURSIVE {head},\n{body[5:]}"
+    return f"WITH RECURSIVE {head}\n{body}"
 
 
 def query(name: str, sql: str | None = None):
