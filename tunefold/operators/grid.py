@@ -24,22 +24,26 @@ def z_map(responses: DataFrame, trials: DataFrame, session: list[str], unit: lis
     mean of n*m and a variance of v*n*(N-n)/(N-1) for its n trials, so nothing is simulated.
     """
     K = list(dict.fromkeys([*session, *unit]))
+    cell = F.col("y") * 65536 + F.col("x")
+    # stimulus side: per session a short list of strata, each with its trial count and cell counts
     pos = trials.groupBy(*session, stratum, "y", "x").agg(F.count(F.lit(1)).alias("_n"))
-    strata = pos.groupBy(*session, stratum).agg(F.sum("_n").alias("_tot"))
-    cellsum = responses.groupBy(*K, stratum, "y", "x").agg(F.sum(response).alias("_s"), F.sum(F.col(response) * F.col(response)).alias("_ss"))
-    us = cellsum.groupBy(*K, stratum).agg(F.sum("_s").alias("_usum"), F.sum("_ss").alias("_ussq")).join(strata, [*session, stratum])
-    us = us.withColumn("_m", F.col("_usum") / F.col("_tot")).withColumn("_v", F.greatest(F.col("_ussq") / F.col("_tot") - F.col("_m") ** 2, F.lit(0.0)))
-    # a unit silent in one stratum adds zero mean and zero variance there, but its trials still count
-    units = us.select(*K).distinct()
-    totals = pos.groupBy(*session, "y", "x").agg(F.sum("_n").alias("n_trials"))
+    stim = (pos.groupBy(*session, stratum).agg(F.sum("_n").alias("_tot"), F.collect_list(F.struct("y", "x", "_n")).alias("_cells"))
+            .groupBy(*session).agg(F.collect_list(F.struct(F.col(stratum).alias("_st"), "_tot", "_cells")).alias("_strata")))
+    # unit side: per unit a map stratum -> moments and summed responses per cell (bounded by the grid)
+    mom = (responses.groupBy(*K, stratum, "y", "x").agg(F.sum(response).alias("_s"), F.sum(F.col(response) * F.col(response)).alias("_ss"))
+           .groupBy(*K, stratum).agg(F.sum("_s").alias("_usum"), F.sum("_ss").alias("_ussq"),
+                                     F.map_from_entries(F.collect_list(F.struct(cell.alias("k"), F.col("_s").alias("v")))).alias("_hit"))
+           .groupBy(*K).agg(F.map_from_entries(F.collect_list(F.struct(F.col(stratum).alias("k"), F.struct("_usum", "_ussq", "_hit").alias("v")))).alias("_m")))
+    j = mom.join(stim, session).select(*K, "_m", F.explode("_strata").alias("_q"))
+    j = j.select(*K, F.try_element_at("_m", F.col("_q._st")).alias("_u"), F.col("_q._tot").alias("_tot"), F.explode("_q._cells").alias("_c"))
+    j = j.select(*K, "_u", "_tot", "_c.*")
+    m = F.coalesce(F.col("_u._usum"), F.lit(0.0)) / F.col("_tot")
+    v = F.greatest(F.coalesce(F.col("_u._ussq"), F.lit(0.0)) / F.col("_tot") - m * m, F.lit(0.0))
     fpc = F.when(F.col("_tot") > 1, F.col("_n") * (F.col("_tot") - F.col("_n")) / (F.col("_tot") - 1)).otherwise(F.lit(0.0))
-    null = us.join(pos, [*session, stratum]).groupBy(*K, "y", "x").agg(F.sum(F.col("_m") * F.col("_n")).alias("_e"), F.sum(F.col("_v") * fpc).alias("_var"))
-    obs = cellsum.groupBy(*K, "y", "x").agg(F.sum("_s").alias("_sum"))
-    z = units.join(totals, session).join(null, [*K, "y", "x"], "left").join(obs, [*K, "y", "x"], "left")
-    mean = F.coalesce(F.col("_sum"), F.lit(0.0)) / F.col("n_trials")
-    mu, sd = F.coalesce("_e", F.lit(0.0)) / F.col("n_trials"), F.sqrt(F.coalesce("_var", F.lit(0.0))) / F.col("n_trials")
-    z = z.select(*K, "y", "x", "n_trials", mean.alias("response"), mu.alias("null_mean"), sd.alias("null_sd"))
-    return with_z(z)
+    s = F.coalesce(F.try_element_at(F.col("_u._hit"), cell), F.lit(0.0))
+    z = j.groupBy(*K, "y", "x").agg(F.sum("_n").alias("n_trials"), F.sum(s).alias("_s"), F.sum(m * F.col("_n")).alias("_e"), F.sum(v * fpc).alias("_var"))
+    n = F.col("n_trials")
+    return with_z(z.select(*K, "y", "x", "n_trials", (F.col("_s") / n).alias("response"), (F.col("_e") / n).alias("null_mean"), (F.sqrt("_var") / n).alias("null_sd")))
 
 
 def with_z(m: DataFrame) -> DataFrame:
@@ -119,11 +123,12 @@ GAP_TWO = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if (dy, dx) !=
 
 def components(cells: DataFrame, keys: list[str], ny: int, nx: int, *, wrap_x: bool = True, offsets=None, label: str = "component") -> DataFrame:
     """Add the component id (its smallest flat cell) to every candidate cell. One map is one row while labelling."""
-    packed = cells.groupBy(*keys).agg(F.sort_array(F.collect_list((F.col("y") * nx + F.col("x")).cast("int"))).alias("_cells"))
-    udf = label_udf(ny, nx, offsets or FOUR, wrap_x)
-    lab = packed.withColumn("_l", udf("_cells")).select(*keys, F.explode(F.arrays_zip("_cells", "_l")).alias("_z"))
-    lab = lab.select(*keys, F.floor(F.col("_z._cells") / nx).cast("int").alias("y"), (F.col("_z._cells") % nx).cast("int").alias("x"), F.col("_z._l").alias(label))
-    return cells.join(lab, [*keys, "y", "x"])
+    rest = [c for c in cells.columns if c not in {*keys, label}]
+    row = F.struct((F.col("y") * nx + F.col("x")).cast("int").alias("_f"), *rest)
+    packed = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_cells"))
+    lab = packed.withColumn("_l", label_udf(ny, nx, offsets or FOUR, wrap_x)(F.col("_cells._f")))
+    lab = lab.select(*keys, F.explode(F.arrays_zip("_cells", "_l")).alias("_z"))
+    return lab.select(*keys, *[F.col(f"_z._cells.{c}") for c in rest], F.col("_z._l").alias(label))
 
 
 def drop_small(labelled: DataFrame, keys: list[str], drop_bins: int, label: str = "component") -> DataFrame:
@@ -143,25 +148,22 @@ def sections(mask: DataFrame, keys: list[str], ny: int, nx: int, *, wrap_x: bool
 def section_centers(sec: DataFrame, keys: list[str], weight: str, nx: int, *, wrap_x: bool = True) -> DataFrame:
     """Weighted medoid cell of every section: least weighted squared distance, then larger weight, then first cell.
 
-    The y part of the cost is a closed form in the section's sums; the x part sums over the section's
-    columns (at most nx), so cells are never paired with cells.
+    A section is at most one grid, so its cells travel as one array and the cost is evaluated in the row.
     """
     S = [*keys, "section"]
     w = F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0))
-    c = sec.withColumn("_w0", w)
-    c = c.withColumn("_w", F.when(F.max("_w0").over(Window.partitionBy(*S)) > 0, F.col("_w0")).otherwise(F.lit(1.0)))
-    per_x = c.groupBy(*S, "x").agg(F.sum("_w").alias("_wx"), F.sum(F.col("_w") * F.col("y")).alias("_wy"), F.sum(F.col("_w") * F.col("y") ** 2).alias("_wyy"))
-    tot = per_x.groupBy(*S).agg(F.sum("_wx").alias("_tw"), F.sum("_wy").alias("_twy"), F.sum("_wyy").alias("_twyy"),
-                                F.collect_list(F.struct("x", "_wx")).alias("_cols"))
-    j = c.join(tot, S)
-    dx = lambda e: F.abs(e["x"] - F.col("x"))
-    d = (lambda e: F.least(dx(e), F.lit(nx) - dx(e))) if wrap_x else dx
-    xcost = F.aggregate("_cols", F.lit(0.0), lambda acc, e: acc + e["_wx"] * d(e) * d(e))
-    cost = F.col("y") ** 2 * F.col("_tw") - 2 * F.col("y") * F.col("_twy") + F.col("_twyy") + xcost
-    j = j.withColumn("_cost", F.round(cost, 9))
-    best = j.groupBy(*S).agg(F.min_by(F.struct("y", "x"), F.struct(F.col("_cost"), (-F.col("_w")).alias("nw"), F.col("y"), F.col("x"))).alias("_b"),
-                             F.count(F.lit(1)).alias("size"))
-    return best.select(*S, F.col("_b.y").alias("y"), F.col("_b.x").alias("x"), "size")
+    g = sec.groupBy(*S).agg(F.collect_list(F.struct("y", "x", w.alias("w"))).alias("_c"), F.max(w).alias("_mw"), F.count(F.lit(1)).alias("size"))
+    g = g.withColumn("_c", F.transform("_c", lambda e: F.struct(e["y"].alias("y"), e["x"].alias("x"), F.when(F.col("_mw") > 0, e["w"]).otherwise(F.lit(1.0)).alias("w"))))
+
+    def cost(c):
+        def add(acc, e):
+            dx = F.abs(e["x"] - c["x"])
+            d = F.least(dx, F.lit(nx) - dx) if wrap_x else dx
+            return acc + e["w"] * ((e["y"] - c["y"]) * (e["y"] - c["y"]) + d * d)
+        return F.round(F.aggregate("_c", F.lit(0.0), add), 9)
+
+    best = F.array_min(F.transform("_c", lambda c: F.struct(cost(c).alias("cost"), (-c["w"]).alias("nw"), c["y"].alias("y"), c["x"].alias("x"))))
+    return g.withColumn("_b", best).select(*S, F.col("_b.y").alias("y"), F.col("_b.x").alias("x"), "size")
 
 
 def component_moments(sec: DataFrame, centers: DataFrame, keys: list[str], weight: str, nx: int) -> DataFrame:
