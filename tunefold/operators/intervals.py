@@ -55,7 +55,7 @@ def merge_intervals(df: DataFrame, keys: list[str], *, start: str = "start_s", e
         m = df.withColumn("_pm", F.max(end).over(w))
     else:
         from pyspark.sql import Window
-        src = df.withColumn(BUCKET, order_bucket(start, width)).repartition(*keys, BUCKET)
+        src = df.withColumn(BUCKET, order_bucket(start, width))
         s = src.groupBy(*keys, BUCKET).agg(F.max(end).alias("_bm"))
         ws = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         s = s.select(*keys, BUCKET, F.max("_bm").over(ws).alias("_xm"))

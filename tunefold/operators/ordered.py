@@ -24,6 +24,8 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], *, width: float |
 
     lag / lead: previous / next row's expression. cumsum: inclusive running sum (NULL counts as 0).
     last / nxt: nearest non-NULL value at or before / at or after the row.
+    The input is read twice: the summary side is a narrow, map-side combined aggregate, only the main side
+    shuffles rows. Chains of these operators should therefore cut lineage between steps (session.cut_lineage).
     width cuts order[0] into buckets; bucket gives any other monotone cut. Without either the keys
     must be small groups (bins of a curve) and one window is used.
     """
@@ -44,7 +46,7 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], *, width: float |
 
     if BUCKET not in df.columns:
         b = bucket if bucket is not None else order_bucket(order[0], width)
-        df = df.withColumn(BUCKET, b).repartition(*keys, BUCKET)
+        df = df.withColumn(BUCKET, b)
     specs = {**lag, **lead, **cumsum, **last, **nxt}
     src = df.withColumns({f"_e_{k}": e for k, e in specs.items()}) if specs else df
     ordv = F.struct(*order)
@@ -128,3 +130,23 @@ def hash_rank(df: DataFrame, keys: list[str], hash_col: str, name: str, *, sprea
     """Row number by a hex hash, cut by hash prefix so a hot group still spreads over tasks."""
     return sequence(df, keys, [hash_col, *(tie or [])], bucket=F.conv(F.substring(hash_col, 1, spread), 16, 10).cast("long"),
                     row_number=name)
+
+
+def exact_quantile(df: DataFrame, keys: list[str], value: str, p: float, out: str, *, width: float | None = None) -> DataFrame:
+    """Linear-interpolation quantile per key.
+
+    Without `width` this is the built-in percentile, meant for groups of bounded size. With `width` values are
+    counted, given running counts over value buckets, and only the two order statistics that matter are kept.
+    """
+    ok = df.filter(F.col(value).isNotNull())
+    if width is None:
+        return ok.groupBy(*keys).agg(F.percentile(value, F.lit(p)).alias(out))
+    v = ok.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    v = sequence(v, keys, [value], width=width, cumsum={"_hi": F.col("_c")})
+    n = v.groupBy(*keys).agg(F.max("_hi").alias("_n"))
+    pos = F.lit(p) * (F.col("_n") - 1)
+    j = v.join(n, keys).withColumns({"_lo": F.col("_hi") - F.col("_c"), "_pos": pos})
+    hit_a = (F.col("_lo") <= F.floor("_pos")) & (F.floor("_pos") < F.col("_hi"))
+    hit_b = (F.col("_lo") <= F.ceil("_pos")) & (F.ceil("_pos") < F.col("_hi"))
+    g = j.filter(hit_a | hit_b).groupBy(*keys).agg(F.max(F.when(hit_a, F.col(value))).alias("_a"), F.max(F.when(hit_b, F.col(value))).alias("_b"), F.max("_pos").alias("_p"))
+    return g.select(*keys, (F.col("_a") + (F.col("_p") - F.floor("_p")) * (F.col("_b") - F.col("_a"))).alias(out))

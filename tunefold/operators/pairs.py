@@ -100,10 +100,10 @@ def state_pairs(states: DataFrame, group: list[str], cols: list[str]) -> DataFra
 
 def weighted_rank(df: DataFrame, group: list[str], value: str, weight: str, out: str) -> DataFrame:
     """Average rank of a value that stands for `weight` tied rows."""
-    v = df.groupBy(*group, value).agg(F.sum(weight).alias("_w"))
-    w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn(out, F.coalesce(F.sum("_w").over(w), F.lit(0.0)) + (F.col("_w") + 1.0) / 2.0).drop("_w")
-    return df.join(v, [*group, value])
+    w = Window.partitionBy(*group)
+    peers = F.sum(weight).over(Window.partitionBy(*group, value))
+    upto = F.sum(weight).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(out, upto - (peers - 1.0) / 2.0)
 
 
 def weighted_corr(df: DataFrame, group: list[str], x: str, y: str, w: str, out: str = "rho") -> DataFrame:

@@ -88,8 +88,10 @@ CTES["r_epochs"] = """SELECT session, CAST(row_number() OVER (PARTITION BY sessi
 
 def epochs(spark, sf):
     from ..operators.intervals import merge_intervals
-    return merge_intervals(intervals(spark, sf), ["session"], width=86400.0).withColumnRenamed("merged_id", "epoch_id").select(
-        "session", F.col("epoch_id").cast("long").alias("epoch_id"), "start_s", "end_s")
+    from ..session import cut_lineage
+    m = merge_intervals(intervals(spark, sf), ["session"], width=86400.0).withColumnRenamed("merged_id", "epoch_id")
+    # a small table many later steps read; keeping its lineage would repeat the merge in each of them
+    return cut_lineage(m.select("session", F.col("epoch_id").cast("long").alias("epoch_id"), "start_s", "end_s"))
 
 
 def resp(spark, sf):
