@@ -50,4 +50,5 @@ def range_label(lo, hi) -> Column:
 
 
 def unit_clip(x: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x))
+    """Clip to [-1, 1]; NULL stays NULL (least and greatest alone would skip it)."""
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x)))

@@ -18,7 +18,8 @@ def even_bin(x, lo: float, width: float, n: int, close_last: bool = True) -> Col
 
 def angle_bin(deg, n: int) -> Column:
     """Bin of an angle on [0, 360) after wrapping."""
-    return F.least(F.floor(F.pmod(col(deg), F.lit(360.0)) / F.lit(360.0 / n)).cast("int"), F.lit(n - 1))
+    b = F.floor(F.pmod(col(deg), F.lit(360.0)) / F.lit(360.0 / n)).cast("int")
+    return F.when(b.isNotNull(), F.least(b, F.lit(n - 1)))
 
 
 def right_closed_bin(x, lo: float, width: float, n: int) -> Column:

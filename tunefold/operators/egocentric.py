@@ -91,7 +91,7 @@ def boundary_quality(maps: DataFrame, keys: list[str], *, min_bins: int = 3) ->
                              F.percentile("full", F.lit(0.05)).alias("_q05"), F.percentile("full", F.lit(0.95)).alias("_q95"),
                              F.count_if(F.col("first").isNotNull() & F.col("second").isNotNull()).alias("half_shared_bins"))
     mod = F.when(F.col("_q95") > 0, (F.col("_q95") - F.col("_q05")) / F.col("_q95"))
-    return g.select(*keys, "half_r", "unheld_r", mod.alias("modulation"), (F.greatest("half_r", F.lit(0.0)) * mod).alias("score"), "half_shared_bins")
+    return g.select(*keys, "half_r", "unheld_r", mod.alias("modulation"), F.when(F.col("half_r").isNotNull(), F.greatest("half_r", F.lit(0.0)) * mod).alias("score"), "half_shared_bins")
 
 
 def product_vs_joint(joint: DataFrame, keys: list[str]) -> DataFrame:

@@ -246,8 +246,8 @@ def combine_close_events(events: DataFrame, samples: DataFrame, keys: list[str],
     """Join an event with its successor when they are close and the signal dips low between them."""
     from .intervals import window_join
     e = sequence(events, keys, ["start_s"], width=width, lead={"_ns": "start_s", "_ne": "end_s"}).filter("_ns IS NOT NULL")
-    hit = window_join(samples.select(*keys, t, value), e.select(*keys, F.col("start_s").alias("_k"), F.col("end_s").alias("_a"), F.col("_ns").alias("_b")), keys, t,
-                      start="_a", end="_b", widths=widths, closed="both")
+    hit = window_join(samples.select(*keys, t, value), e.select(*keys, F.col("start_s").alias("_k"), F.col("end_s").alias("_e0"), F.col("_ns").alias("_e1")), keys, t,
+                      start="_e0", end="_e1", widths=widths, closed="both")
     lo = hit.groupBy(*keys, F.col("_k").alias("start_s")).agg(F.min(value).alias("_min"))
     j = e.join(lo, [*keys, "start_s"], "left")
     join = F.coalesce((F.col("_ns") - F.col("end_s") <= max_gap) & (F.col("_min") <= trough), F.lit(False))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.angles import col, cosd, sind, direction
+from ..functions.angles import col, cosd, sind, direction, unit_clip
 from ..functions.bins import angle_bin, fan_bins, even_bin
 from ..functions import special
 
@@ -65,7 +65,7 @@ def vector_stats(curve: DataFrame, keys: list[str], n: int, *, rate: str = "rate
     th = (F.col("bin") + 0.5) * (360.0 / n)
     s = curve.groupBy(*keys).agg(F.sum(F.col(rate) * cosd(th)).alias("_c"), F.sum(F.col(rate) * sind(th)).alias("_s"),
                                  F.sum(rate).alias("_w"), F.count(rate).alias("n_bins"))
-    mvl = F.least(F.hypot("_c", "_s") / F.col("_w"), F.lit(1.0))
+    mvl = unit_clip(F.hypot("_c", "_s") / F.col("_w"))
     return s.select(*keys, "n_bins", F.when(F.col("_w") > 0, mvl).alias("mvl"),
                     F.when(F.col("_w") > 0, direction(F.col("_c"), F.col("_s"))).alias("preferred_deg"))
 
@@ -73,7 +73,7 @@ def vector_stats(curve: DataFrame, keys: list[str], n: int, *, rate: str = "rate
 def mean_resultant(df: DataFrame, keys: list[str], angle: str) -> DataFrame:
     """|mean exp(i theta)| over measured angles."""
     a = df.groupBy(*keys).agg(F.count(angle).alias("n"), F.avg(cosd(angle)).alias("_c"), F.avg(sind(angle)).alias("_s"))
-    return a.select(*keys, "n", F.least(F.hypot("_c", "_s"), F.lit(1.0)).alias("mrl"))
+    return a.select(*keys, "n", unit_clip(F.hypot("_c", "_s")).alias("mrl"))
 
 
 def rayleigh_uniformity(df: DataFrame, keys: list[str], angle: str) -> DataFrame:

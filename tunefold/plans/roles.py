@@ -168,12 +168,12 @@ CTES["r_curves"] = """SELECT u.unit_id, u.feature, o.bin, coalesce(c.n_spikes, 0
 
 
 def lfp(spark, sf):
-    """Regular daily series per priority: a trace with gaps; days without orders are missing samples."""
+    """Three-day totals per priority: a regular trace with gaps where no order fell."""
     o = table(spark, sf, "orders")
     return (o.groupBy(F.col("o_orderpriority").alias("session"),
-                      F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long").alias("sample_idx"))
+                      F.floor(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")) / 3).alias("sample_idx"))
             .agg((F.sum("o_totalprice") / 1000.0).alias("uv"), F.count(F.lit(1)).alias("n")))
 
 
-CTES["r_lfp"] = """SELECT o_orderpriority AS session, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS sample_idx,
+CTES["r_lfp"] = """SELECT o_orderpriority AS session, CAST(floor(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) / 3) AS BIGINT) AS sample_idx,
   sum(o_totalprice) / CAST(1000 AS DOUBLE) AS uv, count(*) AS n FROM orders GROUP BY 1, 2"""
