@@ -57,7 +57,7 @@ def read_motive_pose(spark: SparkSession, path: str, columns: list[str]) -> Data
     """Rigid-body CSV with several header rows: data rows are those whose first field is a frame number."""
     parts = F.split("value", ",")
     rows = spark.read.text(path).filter(F.col("value").rlike(r"^\s*\d+\s*,"))
-    cast = lambda i, c: parts[i].cast("long" if c == "frame" else "double").alias(c)
+    cast = lambda i, c: F.trim(parts[i]).try_cast("long" if c == "frame" else "double").alias(c)
     return rows.select(*[cast(i, c) for i, c in enumerate(columns)])
 
 
