@@ -8,6 +8,7 @@ from ..functions.bins import even_bin, right_closed_bin
 from ..functions.geometry import ray_circle, ray_rectangle
 from ..functions.hashing import replicate, uniform
 from ..session import cut_lineage
+from .dense import dense_by_table
 
 
 def ray_bins(poses: DataFrame, *, n_theta: int, dist_cm: float, n_dist: int, arena: tuple[float, float] | None = None, circle: tuple[float, float, float] | None = None) -> DataFrame:
@@ -32,10 +33,9 @@ def spike_map(spike_poses: DataFrame, keys: list[str], count: str, **geom) -> Da
 
 def ego_rates(counts: DataFrame, occupancy: DataFrame, session: list[str], unit: list[str], extra: list[str] = ()) -> DataFrame:
     """Rate on every visited cell of the session; unvisited cells do not exist (missing)."""
-    units = counts.select(*session, *unit).distinct()
-    cells = units.join(occupancy, session)
-    j = cells.join(counts, [*session, *unit, *extra, "theta_bin", "dist_bin"], "left")
-    return j.withColumn("n_spikes", F.coalesce("n_spikes", F.lit(0).cast("long"))).withColumn("rate_hz", F.when(F.col("occ_s") > 0, F.col("n_spikes") / F.col("occ_s")))
+    cell = [*extra, "theta_bin", "dist_bin"]
+    j = dense_by_table(counts, [*session, *unit], occupancy, session, cell, ["n_spikes"], ["occ_s"], fill=0)
+    return j.withColumn("rate_hz", F.when(F.col("occ_s") > 0, F.col("n_spikes") / F.col("occ_s")))
 
 
 def band_sum(rates: DataFrame, keys: list[str], lo: float, hi: float, dist_cm: float) -> DataFrame:
@@ -73,9 +73,10 @@ def subset_maps(poses: DataFrame, spikes: DataFrame, session: list[str], unit: l
     arr = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in subsets.items()]), lambda x: x.isNotNull())
     o = occupancy_map(poses.withColumn("subset", F.explode(arr)), [*session, "subset"], dt, **geom)
     n = spike_map(spikes.withColumn("subset", F.explode(arr)).withColumn("_one", F.lit(1)), [*session, *unit, "subset"], "_one", **geom)
-    units = n.select(*session, *unit).distinct()
-    j = units.join(o, session).join(n, [*session, *unit, "subset", "theta_bin", "dist_bin"], "left")
-    return j.withColumn("rate_hz", F.coalesce("n_spikes", F.lit(0)) / F.col("occ_s"))
+    tag = F.create_map(*[x for i, k in enumerate(subsets) for x in (F.lit(k), F.lit(i))])
+    coded = lambda d: d.withColumn("_s", tag[F.col("subset")])
+    j = dense_by_table(coded(n), [*session, *unit], coded(o), session, ["_s", "theta_bin", "dist_bin"], ["n_spikes"], ["subset", "occ_s"], fill=0)
+    return j.drop("_s").withColumn("rate_hz", F.col("n_spikes") / F.col("occ_s"))
 
 
 def boundary_quality(maps: DataFrame, keys: list[str], *, min_bins: int = 3) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.angles import col
 from ..functions.hashing import hash_key, replicate
+from ..session import cut_lineage
 from .ordered import sequence, hash_rank
 
 
@@ -212,8 +213,8 @@ def cluster_permutation(responses: DataFrame, trials: DataFrame, session: list[s
     """
     K = list(dict.fromkeys([*session, *unit]))
     placed = responses.join(trials.select(*session, trial, stratum, "y", "x"), [*session, trial])
-    zm = z_map(placed, trials, session, unit, stratum=stratum)
-    obs = components(score(zm, alternative).filter(F.col("score") >= z), K, ny, nx, wrap_x=wrap_x)
+    zm = cut_lineage(z_map(placed, trials, session, unit, stratum=stratum))
+    obs = cut_lineage(components(score(zm, alternative).filter(F.col("score") >= z), K, ny, nx, wrap_x=wrap_x))
     masses = component_mass(obs, K)
     perm = permute_trials(trials, session, trial, stratum, n_rep, seed)
     sums = responses.join(perm, [*session, trial]).groupBy("rep", *K, "y", "x").agg(F.sum("response").alias("_sum"))

@@ -135,18 +135,22 @@ def hash_rank(df: DataFrame, keys: list[str], hash_col: str, name: str, *, sprea
 def exact_quantile(df: DataFrame, keys: list[str], value: str, p: float, out: str, *, width: float | None = None) -> DataFrame:
     """Linear-interpolation quantile per key.
 
-    Without `width` this is the built-in percentile, meant for groups of bounded size. With `width` values are
-    counted, given running counts over value buckets, and only the two order statistics that matter are kept.
+    Without `width` this is the built-in percentile, meant for groups of bounded size. With `width` a first
+    map-side combined pass counts values per bucket; running counts over that short table say which buckets
+    hold the two order statistics, and only the values of those buckets are sorted.
     """
     ok = df.filter(F.col(value).isNotNull())
     if width is None:
         return ok.groupBy(*keys).agg(F.percentile(value, F.lit(p)).alias(out))
-    v = ok.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    v = sequence(v, keys, [value], width=width, cumsum={"_hi": F.col("_c")})
-    n = v.groupBy(*keys).agg(F.max("_hi").alias("_n"))
-    pos = F.lit(p) * (F.col("_n") - 1)
-    j = v.join(n, keys).withColumns({"_lo": F.col("_hi") - F.col("_c"), "_pos": pos})
-    hit_a = (F.col("_lo") <= F.floor("_pos")) & (F.floor("_pos") < F.col("_hi"))
-    hit_b = (F.col("_lo") <= F.ceil("_pos")) & (F.ceil("_pos") < F.col("_hi"))
-    g = j.filter(hit_a | hit_b).groupBy(*keys).agg(F.max(F.when(hit_a, F.col(value))).alias("_a"), F.max(F.when(hit_b, F.col(value))).alias("_b"), F.max("_pos").alias("_p"))
-    return g.select(*keys, (F.col("_a") + (F.col("_p") - F.floor("_p")) * (F.col("_b") - F.col("_a"))).alias(out))
+    ok = ok.select(*keys, F.col(value).alias("_v"), order_bucket(value, width).alias(BUCKET))
+    w = Window.partitionBy(*keys)
+    b = ok.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_c"))
+    b = b.withColumns({"_hi": F.sum("_c").over(w.orderBy(BUCKET)), "_pos": F.lit(p) * (F.sum("_c").over(w) - 1)})
+    b = b.withColumn("_lo", F.col("_hi") - F.col("_c"))
+    holds = lambda r: (F.col("_lo") <= r) & (r < F.col("_hi"))
+    a, z = F.floor("_pos"), F.ceil("_pos")
+    target = b.filter(holds(a) | holds(z)).select(*keys, BUCKET, F.col("_lo").alias("_base"), "_pos")
+    v = ok.join(target, [*keys, BUCKET]).groupBy(*keys, BUCKET, "_base", "_pos", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    v = v.withColumn("_hi", F.col("_base") + F.sum("_c").over(Window.partitionBy(*keys, BUCKET).orderBy("_v"))).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    g = v.groupBy(*keys).agg(F.max(F.when(holds(a), F.col("_v"))).alias("_a"), F.max(F.when(holds(z), F.col("_v"))).alias("_z"), F.max("_pos").alias("_p"))
+    return g.select(*keys, (F.col("_a") + (F.col("_p") - F.floor("_p")) * (F.col("_z") - F.col("_a"))).alias(out))

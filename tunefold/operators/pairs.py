@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.angles import col, cosd, sind, wrap180, wrap360, direction, circular_distance, unit_clip
 from ..functions.special import cramer3
+from .ordered import sequence
 from .profiles import peak_bin, peak_order, align_profiles
 
 
@@ -125,18 +126,18 @@ def mantel_spearman(pairs: DataFrame, group: list[str], a: str, b: str) -> DataF
     return weighted_corr(d, group, "ra", "rb", "pairs_n")
 
 
-def average_rank(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
-    """Tied values share the mean rank. Ranks come from value counts, so ties never pile up in one window frame."""
+def average_rank(df: DataFrame, group: list[str], value: str, out: str, *, width: float | None = None) -> DataFrame:
+    """Tied values share the mean rank. Ranks come from value counts, so ties never pile up; `width` cuts the
+    value axis so that a group with very many distinct values spreads over tasks."""
     v = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    # running counts over distinct values, cut by value range so a hot group still spreads
-    w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn(out, F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1.0) / 2.0).drop("_n")
+    v = sequence(v, group, [value], width=width, cumsum={"_cum": "_n"})
+    v = v.withColumn(out, F.col("_cum") - (F.col("_n") - 1.0) / 2.0).drop("_n", "_cum")
     return df.join(v, [*group, value], "left")
 
 
-def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
+def spearman(df: DataFrame, group: list[str], x: str, y: str, *, widths: tuple[float | None, float | None] = (None, None)) -> DataFrame:
     ok = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = average_rank(average_rank(ok, group, x, "_rx"), group, y, "_ry")
+    r = average_rank(average_rank(ok, group, x, "_rx", width=widths[0]), group, y, "_ry", width=widths[1])
     g = r.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"), F.stddev_pop("_rx").alias("_a"), F.stddev_pop("_ry").alias("_b"))
     return g.select(*group, "n", F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("rho")).alias("rho"))
 
@@ -227,13 +228,18 @@ def bh_fdr(df: DataFrame, group: list[str], p: str, out: str = "q") -> DataFrame
     q of a row = min over p' >= p of p' * m / rank(p'); it depends only on distinct p values, so those
     are counted first and ties never need a per-row window.
     """
-    a = df.filter(F.col(p).isNotNull()).groupBy(*group, p).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*group)
-    up = w.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    a = a.withColumn("_raw", F.col(p) * F.sum("_c").over(w) / F.sum("_c").over(up))
-    back = w.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    a = a.withColumn(out, F.least(F.min("_raw").over(back), F.lit(1.0))).select(*group, p, out)
-    return df.join(a, [*group, p], "left")
+    g = ["_g", *group]
+    d = df.withColumn("_g", F.lit(0))
+    a = d.filter(F.col(p).isNotNull()).groupBy(*g, p).agg(F.count(F.lit(1)).alias("_c"))
+    m = a.groupBy(*g).agg(F.sum("_c").alias("_m"))
+    a = sequence(a, g, [p], width=0.001, cumsum={"_r": "_c"}).join(m, g)
+    a = a.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_r")).withColumn("_b", F.floor(F.col(p) / 0.001))
+    # running minimum from the top: inside a slice of p, and over the slices above it (at most 1001 rows)
+    s = a.groupBy(*g, "_b").agg(F.min("_raw").alias("_bm"))
+    s = s.select(*g, "_b", F.min("_bm").over(Window.partitionBy(*g).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))
+    own = F.min("_raw").over(Window.partitionBy(*g, "_b").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    a = a.join(s, [*g, "_b"]).withColumn(out, F.least(own, F.col("_above"), F.lit(1.0))).select(*g, p, out)
+    return d.join(a, [*g, p], "left").drop("_g")
 
 
 def center_pairs_histogram(centers: DataFrame, keys: list[str], a: str, b: str, width: float, *, same: bool) -> DataFrame:

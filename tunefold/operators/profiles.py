@@ -28,9 +28,11 @@ def peak_ties(curve: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def peak_order(peaks: DataFrame, group: list[str], peak: str, original: list[str]) -> DataFrame:
     """Rank units by peak, then original order; units without a peak go last. One row per unit."""
-    w = Window.partitionBy(*group).orderBy(F.col(peak).asc_nulls_last(), *original) if group else \
-        Window.orderBy(F.col(peak).asc_nulls_last(), *original)
-    return peaks.withColumn("order_no", F.row_number().over(w))
+    from .ordered import sequence
+    d = peaks.withColumn("_g", F.lit(0)).withColumn("_pk", F.coalesce(F.col(peak).cast("double"), F.lit(float("inf"))))
+    # numbering is cut by peak value, so the cohort never has to be sorted in one task
+    cut = F.coalesce(F.floor(F.col(peak)).cast("long"), F.lit(2 ** 62))
+    return sequence(d, ["_g", *group], ["_pk", *original], bucket=cut, row_number="order_no").drop("_g", "_pk").withColumn("order_no", F.col("order_no").cast("int"))
 
 
 def normalize_max(curve: DataFrame, keys: list[str], value: str) -> DataFrame:

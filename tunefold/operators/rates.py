@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.angles import col, wrap180
+from .dense import dense_fixed
 from .intervals import trial_window_join
 from .ordered import sequence
 
@@ -114,13 +115,8 @@ def dense_map(values: DataFrame, keys: list[str], shape: tuple[int, int], value:
               grid: DataFrame | None = None) -> DataFrame:
     """Every unit with every cell of the ny x nx grid (only presented cells when a grid table is given)."""
     ny, nx = shape
-    units = values.select(*keys).distinct()
-    dense = units.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(ny - 1)))).withColumn(
-        "x", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
-    if grid is not None:
-        dense = dense.join(grid.select("y", "x"), ["y", "x"], "left_semi")
-    out = dense.join(values, [*keys, "y", "x"], "left")
-    return out if fill is None else out.withColumn(value, F.coalesce(F.col(value), F.lit(fill)))
+    out = dense_fixed(values, keys, {"y": ny, "x": nx}, [value], fill=fill)
+    return out if grid is None else out.join(grid.select("y", "x"), ["y", "x"], "left_semi")
 
 
 def sum_to_1d(maps: DataFrame, keys: list[str], axis: str, *, value: str, mask: DataFrame | None = None,

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.angles import col, unit_clip, wrap_pi
 from ..functions.special import rayleigh_p
 from .asof import neighbours
+from .dense import dense_fixed
 from .ordered import halo, islands, sequence
 
 
@@ -206,10 +207,9 @@ def phase_exposure(phase: DataFrame, keys: list[str], t: str, n: int, *, width:
 
 def phase_histogram(sampled: DataFrame, exposure: DataFrame, session: list[str], unit: list[str], n: int) -> DataFrame:
     """Counts, exposure and rate per phase bin on the exposed bins."""
-    from .tuning import dense_units
     K = [*session, *unit]
     c = sampled.filter("phase_rad IS NOT NULL").groupBy(*K, phase_bin("phase_rad", n).alias("bin")).agg(F.count(F.lit(1)).alias("n_spikes"))
-    d = dense_units(c, K, n).join(c, [*K, "bin"], "left").join(exposure, [*session, "bin"], "left").withColumn("n_spikes", F.coalesce("n_spikes", F.lit(0)))
+    d = dense_fixed(c, K, {"bin": n}, ["n_spikes"], fill=0).join(exposure, [*session, "bin"], "left")
     return d.withColumn("rate_hz", F.when(F.col("occ_s") > 0, F.col("n_spikes") / F.col("occ_s")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.angles import col, cosd, sind, direction, unit_clip
 from ..functions.bins import angle_bin, fan_bins, even_bin
 from ..functions import special
+from .dense import dense_fixed
 
 
 def dense_units(df: DataFrame, keys: list[str], n: int, name: str = "bin") -> DataFrame:
@@ -25,11 +26,8 @@ def rate_curve(spike_angles: DataFrame, keys: list[str], angle: str, exposure: D
     ek = exposure_keys or []
     counts = (spike_angles.filter(F.col(angle).isNotNull())
               .groupBy(*keys, angle_bin(angle, n).alias("bin")).agg(F.count(F.lit(1)).alias("n_spikes")))
-    # the unit list falls out of the counts themselves, so the spikes are read and shuffled once
-    units = counts.select(*keys).distinct()
-    dense = fan_bins(units, n)
-    return (dense.join(counts, [*keys, "bin"], "left").join(exposure, [*ek, "bin"], "left")
-            .withColumn("n_spikes", F.coalesce("n_spikes", F.lit(0).cast("long")))
+    dense = dense_fixed(counts, keys, {"bin": n}, ["n_spikes"], fill=0)
+    return (dense.join(exposure, [*ek, "bin"], "left")
             .withColumn("rate_hz", F.when(F.col("occ_s") > 0, F.col("n_spikes") / F.col("occ_s"))))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from .registry import query, CTES
 from . import roles as R
 from ..operators import grid as G, rates as RT
+from ..session import cut_lineage
 
 NY, NX = 7, 30
 CTES["r_zmap"] = """WITH st AS (SELECT unit_id, stratum, count(*) AS N, avg(response) AS m, var_pop(response) AS v FROM r_resp GROUP BY ALL),
@@ -212,5 +213,6 @@ def g07(spark, sf):
     tr = t.select("session", "trial_id", F.col("luminance").alias("stratum"), F.col("y_idx").alias("y"), F.col("x_idx").alias("x"))
     hits = trial_window_join(R.spikes(spark, sf), t, ["session"], lo=LO, hi=HI)
     resp = hits.groupBy("session", "unit_id", "trial_id").agg(F.count(F.lit(1)).cast("double").alias("response"))
+    resp = cut_lineage(resp)
     _, cl = G.cluster_permutation(resp, tr, ["session"], ["unit_id"], "trial_id", ny=NY, nx=NX, n_rep=N_REP, seed=7)
     return cl.select("unit_id", "component", R.rnd("mass").alias("mass"), "size", R.rnd("p").alias("p"))

@@ -59,13 +59,13 @@ CTES["r_rank"] = """SELECT l_suppkey AS unit_id, rank() OVER (PARTITION BY l_sup
 @query("W28_average_rank", "SELECT unit_id, l_orderkey, l_linenumber, rx FROM r_rank")
 def w28(spark, sf):
     li = R.table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "unit_id")
-    return P.average_rank(li, ["unit_id"], "l_quantity", "rx").select("unit_id", "l_orderkey", "l_linenumber", "rx")
+    return P.average_rank(li, ["unit_id"], "l_quantity", "rx", width=5.0).select("unit_id", "l_orderkey", "l_linenumber", "rx")
 
 
 @query("A42_spearman", "SELECT unit_id, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r_rank GROUP BY unit_id")
 def a42(spark, sf):
     li = R.table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "unit_id")
-    return P.spearman(li, ["unit_id"], "l_quantity", "l_discount").select("unit_id", "n", R.rnd("rho").alias("rho"))
+    return P.spearman(li, ["unit_id"], "l_quantity", "l_discount", widths=(5.0, 0.01)).select("unit_id", "n", R.rnd("rho").alias("rho"))
 
 
 @query("A43_map_correlation", """SELECT a.unit_id, count(*) AS n_bins, round(CASE WHEN count(*) >= 10 THEN corr(a.rate_hz, b.rate_hz) END, 6) AS r FROM r_curves a JOIN r_curves b ON a.unit_id = b.unit_id AND a.bin = b.bin
