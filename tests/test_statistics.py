@@ -190,6 +190,12 @@ def test_poisson_draw(spark):
     assert got == {u: int(np.searchsorted(cdf, u)) for u in us}
 
 
+def test_poisson_null_pieces(spark):
+    d = spark.createDataFrame([(u, 0, 400, 0.5) for u in range(300)], "u INT, c INT, n INT, l DOUBLE")
+    v = np.array([x for x, in rows(E.poisson_null(d, ["u"], ["c"], "n", "l", n_sim=5, seed=1), "n")], dtype=float)
+    assert len(v) == 1500 and abs(v.mean() - 200) < 2 and abs(v.var() - 200) < 30
+
+
 def test_acg_fixture(spark):
     d = spark.createDataFrame([(0, .05), (0, .15), (1, 1.05), (1, 1.15)], "seg INT, t DOUBLE")
     h = SP.acg(d, ["seg"], "t", bin_s=0.1, max_lag_s=0.2).groupBy("lag").agg(F.sum("n").alias("n"))

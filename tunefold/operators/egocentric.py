@@ -189,8 +189,8 @@ def cv_lookup(frames: DataFrame, counts: DataFrame, session: list[str], unit: li
     return j.select(*session, *unit, "fold", "bin", F.when(F.col("train_n") > 0, n / F.col("train_n")).alias("expected_per_frame"))
 
 
-def poisson_draw(lam, u, cap: int = 40) -> Column:
-    """Inverse Poisson CDF at u by a fixed-length running sum; meant for per-frame means well below 10."""
+def poisson_draw(lam, u) -> Column:
+    """Inverse Poisson CDF at u by a running sum that ends 12 SD above the mean; for means up to a few hundred."""
     # lam and u ride in the accumulator, so they are evaluated once per row and not in every step
     z = F.struct(col(lam).alias("l"), col(u).alias("u"), F.exp(-col(lam)).alias("p"), F.exp(-col(lam)).alias("c"), F.lit(0).alias("k"))
 
@@ -199,11 +199,20 @@ def poisson_draw(lam, u, cap: int = 40) -> Column:
         return F.struct(acc["l"].alias("l"), acc["u"].alias("u"), p.alias("p"), (acc["c"] + p).alias("c"),
                         F.when(acc["u"] > acc["c"], i).otherwise(acc["k"]).cast("int").alias("k"))
 
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(cap)), z, step)
-    return F.when(col(lam).isNotNull(), out["k"])
+    top = F.ceil(col(lam) + 12.0 * F.sqrt(col(lam)) + 12.0).cast("int")
+    return F.when(col(lam).isNotNull(), F.aggregate(F.sequence(F.lit(1), F.coalesce(top, F.lit(1))), z, step)["k"])
 
 
-def poisson_null(expected: DataFrame, keys: list[str], frame: str, lam: str, *, n_sim: int, seed: int, value_cols: list[str]) -> DataFrame:
-    """Simulated counts per replicate and frame, already summed per unit, replicate and the given bin columns."""
-    r = replicate(expected, n_sim, "sim").withColumn("_u", uniform(seed, "sim", *keys, frame))
-    return r.withColumn("n", poisson_draw(lam, F.col("_u"))).groupBy("sim", *keys, *value_cols).agg(F.sum("n").alias("n"))
+def poisson_null(states: DataFrame, keys: list[str], cell: list[str], n: str, lam: str, *, n_sim: int, seed: int, piece: float = 32.0) -> DataFrame:
+    """Simulated counts per replicate and cell from per-frame expectations.
+
+    `states` holds, per unit and cell (fold, heading bin, map bin, ...), the number n of frames and their common
+    expectation. The sum of independent Poisson counts is Poisson with the summed mean, so one draw per state
+    stands for all its frames; large means are split into independent pieces of at most `piece`.
+    """
+    m = F.col(n) * F.col(lam)
+    r = replicate(states.filter(m.isNotNull()), n_sim, "sim")
+    k = F.greatest(F.ceil(m / piece).cast("int"), F.lit(1))
+    r = r.withColumn("_k", k).withColumn("_piece", F.explode(F.sequence(F.lit(1), F.col("_k")))).withColumn("_mean", m / F.col("_k"))
+    r = r.withColumn("_u", uniform(seed, "sim", *keys, *cell, "_piece"))
+    return r.withColumn("n_sim", poisson_draw("_mean", F.col("_u"))).groupBy("sim", *keys, *cell).agg(F.sum("n_sim").alias("n"))

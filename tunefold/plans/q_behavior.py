@@ -9,7 +9,7 @@ from ..session import cut_lineage
 from .q_tuning import WEEK
 
 GAPW = 1000.0
-SM = 21600.0  # boxcar length in the stand-in clock
+SM = 3600.0  # boxcar length in the stand-in clock
 
 CTES["r_fdt"] = "SELECT session, quantile_cont(g, 0.5) AS dt FROM (SELECT session, t - lag(t) OVER (PARTITION BY session ORDER BY t) AS g FROM r_frames) GROUP BY session"
 CTES["r_runs"] = """SELECT *, CASE WHEN valid THEN sum(brk) OVER (PARTITION BY session ORDER BY t ROWS UNBOUNDED PRECEDING) END AS run_id,
@@ -287,8 +287,9 @@ def g20(spark, sf):
     tr = trial(spark, sf)
     fr = R.frames(spark, sf).join(tr, "session").withColumn("fold", F.least(F.floor((F.col("t") - F.col("t0")) / ((F.col("t1") - F.col("t0")) / 5)).cast("int"), F.lit(4)))
     fr = fr.withColumn("bin", F.least(F.floor(F.col("hd") / 30).cast("int"), F.lit(11))).select("session", "frame_id", "fold", "bin")
-    lam = ex.join(fr, ["session", "fold", "bin"])
-    sim = E.poisson_null(lam, ["session", "unit_id"], "frame_id", "expected_per_frame", n_sim=5, seed=0, value_cols=["bin"])
+    held = fr.groupBy("session", "fold", "bin").agg(F.count(F.lit(1)).alias("n_frames"))
+    sim = E.poisson_null(ex.join(held, ["session", "fold", "bin"]), ["session", "unit_id"], ["fold", "bin"], "n_frames", "expected_per_frame", n_sim=5, seed=0)
+    sim = sim.groupBy("sim", "session", "unit_id", "bin").agg(F.sum("n").alias("n"))
     occ = fr.groupBy("session", "bin").agg(F.count(F.lit(1)).alias("o"))
     nul = T.vector_stats(sim.join(occ, ["session", "bin"]).withColumn("rate_hz", F.col("n") / F.col("o")), ["sim", "session", "unit_id"], 12)
     h = asof_nearest(R.spikes(spark, sf), R.frames(spark, sf), ["session"], "t", "t", ["hd"], tie="earlier", width=WEEK)

@@ -68,14 +68,14 @@ def g34(spark, sf):
 
 @query("G35_frame_export", """WITH b AS (SELECT session, min(t) AS a, max(t) AS z FROM r_frames GROUP BY 1), c AS (SELECT session, a + i * CAST(21600 AS DOUBLE) AS q FROM b, (SELECT unnest(range(200)) AS i) WHERE a + i * 21600 <= z),
   n AS (SELECT c.*, CASE WHEN p.t IS NULL OR (x.t IS NOT NULL AND x.t - c.q < c.q - p.t) THEN x.frame_id ELSE p.frame_id END AS frame_id, CASE WHEN p.t IS NULL OR (x.t IS NOT NULL AND x.t - c.q < c.q - p.t) THEN x.hd ELSE p.hd END AS hd FROM c ASOF LEFT JOIN r_frames p ON p.session = c.session AND c.q >= p.t ASOF LEFT JOIN r_frames x ON x.session = c.session AND c.q < x.t)
-  SELECT n.session, round(q, 4) AS clock_s, n.frame_id, round(n.hd, 5) AS hd, CASE WHEN r.luminance = 1 THEN r.x_idx END AS x_idx FROM n ASOF LEFT JOIN r_trials r ON r.session = n.session AND n.q >= r.onset_s""")
+  SELECT n.session, round(q, 6) AS clock_s, n.frame_id, round(n.hd, 5) AS hd, CASE WHEN r.luminance = 1 THEN r.x_idx END AS x_idx FROM n ASOF LEFT JOIN r_trials r ON r.session = n.session AND n.q >= r.onset_s""")
 def g35(spark, sf):
     from ..operators.cube import display_clock
     f = R.frames(spark, sf)
     c = display_clock(f, ["session"], "t", 21600.0)
     h = asof.asof_nearest(c, f, ["session"], "clock_s", "t", ["frame_id", "hd"], tie="earlier", width=WEEK).drop("sample_t")
     s = asof.asof_backward(h, R.trials(spark, sf), ["session"], "clock_s", "onset_s", ["x_idx", "luminance"], width=WEEK)
-    return s.select("session", R.rnd("clock_s", 4).alias("clock_s"), "frame_id", R.rnd("hd", 5).alias("hd"), F.when(F.col("luminance") == 1, F.col("x_idx")).alias("x_idx"))
+    return s.select("session", R.rnd("clock_s", 6).alias("clock_s"), "frame_id", R.rnd("hd", 5).alias("hd"), F.when(F.col("luminance") == 1, F.col("x_idx")).alias("x_idx"))
 
 
 # ---- scalar families over whole tables ----
