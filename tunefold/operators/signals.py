@@ -296,7 +296,8 @@ def protocol_match(observed: DataFrame, expected: DataFrame, keys: list[str], *,
     """
     o = observed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start_s", "duration_s", "interval_type"))).alias("_o"))
     e = expected.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", "expected_s", "label"))).alias("_e"))
-    j = o.join(e, keys)
+    # a session without a protocol keeps its intervals, all unmatched
+    j = o.join(e, keys, "left").withColumn("_e", F.coalesce("_e", F.array().cast("array<struct<position:int,expected_s:double,label:string>>")))
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<start_s:double,duration_s:double,interval_type:string,position:int,label:string,error_pct:double>>").alias("out"))
 
     def step(acc, x):

@@ -41,7 +41,7 @@ CTES["r_mantel"] = """SELECT grp, da, db, (rank() OVER (PARTITION BY grp ORDER B
   FROM r_pairs a JOIN r_pairs b ON a.grp = b.grp AND a.unit_id < b.unit_id)"""
 
 
-@query("A40_J12_mantel_spearman", "SELECT grp, CAST(count(*) AS DOUBLE) AS n_pairs, round(corr(ra, rb), 6) AS rho FROM r_mantel GROUP BY grp")
+@query("A40_J12_mantel_spearman", "SELECT grp, CAST(count(*) AS DOUBLE) AS n_pairs, round(CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END, 6) AS rho FROM r_mantel GROUP BY grp")
 def a40(spark, sf):
     return P.mantel_spearman(pairs(spark, sf), ["grp"], "hd_deg", "rf_deg").select("grp", "n_pairs", R.rnd("rho").alias("rho"))
 
@@ -143,11 +143,14 @@ def a78(spark, sf):
 NREP = 39
 CTES["r_pperm"] = f"""SELECT h.rep, h.grp, b.hd_deg, h.rf_deg FROM (SELECT rep, grp, rf_deg, row_number() OVER (PARTITION BY rep, grp ORDER BY md5('1|' || rep || '|' || unit_id), unit_id) AS r FROM r_pairs, (SELECT unnest(range({NREP})) AS rep)) h
   JOIN (SELECT grp, hd_deg, row_number() OVER (PARTITION BY grp ORDER BY unit_id) AS r FROM r_pairs) b ON b.grp = h.grp AND b.r = h.r"""
-FLS = "(sum(cos(radians(hd_deg - rf_deg))) ** 2 + sum(sin(radians(hd_deg - rf_deg))) ** 2 - sum(cos(radians(hd_deg + rf_deg))) ** 2 - sum(sin(radians(hd_deg + rf_deg))) ** 2) / sqrt((count(*) ** 2 - sum(cos(2 * radians(hd_deg))) ** 2 - sum(sin(2 * radians(hd_deg))) ** 2) * (count(*) ** 2 - sum(cos(2 * radians(rf_deg))) ** 2 - sum(sin(2 * radians(rf_deg))) ** 2))"
+FLS_RAW = "(sum(cos(radians(hd_deg - rf_deg))) ** 2 + sum(sin(radians(hd_deg - rf_deg))) ** 2 - sum(cos(radians(hd_deg + rf_deg))) ** 2 - sum(sin(radians(hd_deg + rf_deg))) ** 2) / sqrt((count(*) ** 2 - sum(cos(2 * radians(hd_deg))) ** 2 - sum(sin(2 * radians(hd_deg))) ** 2) * (count(*) ** 2 - sum(cos(2 * radians(rf_deg))) ** 2 - sum(sin(2 * radians(rf_deg))) ** 2))"
+# undefined below three pairs and when one side has a single axis
+FLS = ("CASE WHEN count(*) >= 3 AND count(*) ** 2 - sum(cos(2 * radians(hd_deg))) ** 2 - sum(sin(2 * radians(hd_deg))) ** 2 > 1e-12 * count(*) ** 2 "
+       "AND count(*) ** 2 - sum(cos(2 * radians(rf_deg))) ** 2 - sum(sin(2 * radians(rf_deg))) ** 2 > 1e-12 * count(*) ** 2 THEN greatest(-1, least(1, " + FLS_RAW + ")) END")
 
 
 @query("G14_pairing_permutation", f"""WITH o AS (SELECT grp, {FLS} AS v FROM r_pairs GROUP BY grp), n AS (SELECT rep, grp, {FLS} AS v FROM r_pperm GROUP BY ALL)
-  SELECT o.grp, round(o.v, 6) AS observed, round((1 + count(*) FILTER (abs(n.v) >= abs(o.v) - 1e-12)) / CAST({NREP + 1} AS DOUBLE), 6) AS p FROM o JOIN n ON n.grp = o.grp GROUP BY o.grp, o.v""")
+  SELECT o.grp, round(o.v, 6) AS observed, round(CASE WHEN o.v IS NOT NULL THEN (1 + count(*) FILTER (abs(n.v) >= abs(o.v) - 1e-12)) / CAST({NREP + 1} AS DOUBLE) END, 6) AS p FROM o JOIN n ON n.grp = o.grp GROUP BY o.grp, o.v""")
 def g14(spark, sf):
     r = N.pairing_permutation(pairs(spark, sf), ["grp"], "unit_id", "hd_deg", "rf_deg", "fisher_lee", n_rep=NREP, seed=1)
     return r.select("grp", R.rnd("observed").alias("observed"), R.rnd("p").alias("p"))
@@ -240,7 +243,7 @@ def a75(spark, sf):
     return PO.depth_summary(p, ["p_brand"], "shank", "p_retailprice").withColumn("span_um", R.rnd("span_um"))
 
 
-@query("W45_depth_normalize", """SELECT p_partkey, round(max(p_retailprice) OVER w - p_retailprice, 6) AS depth_um, round((max(p_retailprice) OVER w - p_retailprice) / (max(p_retailprice) OVER w - min(p_retailprice) OVER w), 7) AS depth_fraction
+@query("W45_depth_normalize", """SELECT p_partkey, round(max(p_retailprice) OVER w - p_retailprice, 6) AS depth_um, round((max(p_retailprice) OVER w - p_retailprice) / nullif(max(p_retailprice) OVER w - min(p_retailprice) OVER w, 0), 7) AS depth_fraction
   FROM part WINDOW w AS (PARTITION BY p_brand, p_size % 4)""")
 def w45(spark, sf):
     p = R.table(spark, sf, "part").withColumn("shank", F.col("p_size") % 4)
