@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sharding
+from . import bpe, sharding
 from .common import read_table
 
 
@@ -14,8 +14,19 @@ def op1_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read_table(spark, sf_dir, "documents"), sharding.Layout.of(24), grown=sharding.Layout.of(25))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Every whole text encoded and decoded again, as digests."""
+    if tokenizer is None:
+        import public_tokenizers
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), tokenizer, keep=["doc_id"]), tokenizer, keep=["doc_id", "token_ids"])
+    ids = F.concat_ws(",", F.col("token_ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_tree": op1_shard_tree,
+    "op2_bpe": op2_bpe,
 }
 ORACLES: dict[str, str] = {}
 

@@ -1,6 +1,7 @@
 """Column helpers and the shared folder that the training-data operators use."""
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -8,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
 
-__all__ = ["cut_lineage", "carried", "digest_bits", "read_table", "shared_folder", "stable"]
+__all__ = ["cut_lineage", "carried", "digest_bits", "read_table", "shared_folder", "ship", "stable"]
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,13 @@ def digest_bits(*parts: Column | str, bits: int = 52) -> Column:
     return F.conv(F.substring(F.md5(text), 1, bits // 4), 16, 10).cast("long")
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; a cluster has it there or by --py-files."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """New folder name below spark.checkpoint.dir. Only a local session without that setting gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
