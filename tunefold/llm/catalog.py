@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, sharding
-from .common import read_table
+from . import bpe, pii, sharding, warc
+from .common import read_table, shared_folder
 
 
 def op1_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +24,30 @@ def op2_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: counts and spans."""
+    found = pii.find(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("pii", lambda s: s["base"])
+    return found.select("doc_id", *[pii.count(F.col("pii"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+                        F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as an archive with revisits and read back: responses with their payloads, revisits by their headers."""
+    path = shared_folder(spark, "warc")
+    warc.write(warc.deduplicated(read_table(spark, sf_dir, "pages")), path)
+    back = warc.read(spark, path)
+    full = back.filter(F.col("record_type") == "response").select("record_id", "record_type", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest"))
+    again = warc.read(spark, path, payload="false").filter(F.col("record_type") == "revisit").select("record_id", "record_type", "refers_to", "payload_bytes", "payload_digest")
+    number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS bigint)")
+    return full.unionByName(again).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_tree": op1_shard_tree,
     "op2_bpe": op2_bpe,
+    "op5_pii": op5_pii,
+    "op9_warc": op9_warc,
 }
 ORACLES: dict[str, str] = {}
 
