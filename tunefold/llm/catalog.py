@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, pii, sharding, warc
+from . import bpe, minhash, pii, sharding, warc
 from .common import read_table, shared_folder
 
 
@@ -43,11 +43,17 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.unionByName(again).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
+    return minhash.classes(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_tree": op1_shard_tree,
     "op2_bpe": op2_bpe,
     "op5_pii": op5_pii,
     "op9_warc": op9_warc,
+    "op10_order_minhash": op10_order_minhash,
 }
 ORACLES: dict[str, str] = {}
 
