@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, minhash, pii, sharding, warc
+from . import bpe, ego, minhash, pii, sharding, warc
 from .common import read_table, shared_folder
 
 
@@ -24,6 +24,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with cosine of at least 0.95."""
+    return ego.classes(read_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: counts and spans."""
     found = pii.find(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -51,6 +56,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_tree": op1_shard_tree,
     "op2_bpe": op2_bpe,
+    "op3_grid_order_join": op3_grid_order_join,
     "op5_pii": op5_pii,
     "op9_warc": op9_warc,
     "op10_order_minhash": op10_order_minhash,
