@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, ego, minhash, pii, sharding, warc
+from . import bpe, ego, maxscore, minhash, pii, sharding, warc
 from .common import read_table, shared_folder
 
 
@@ -37,6 +37,15 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
 
 
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 embeddings of largest inner product for every 20th, over components in 64ths; a component is a term."""
+    e = read_table(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    docs = e.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select(
+        F.col("vec_id").alias("id"), F.transform("embedding", lambda x, i: i).alias("terms"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 64)).alias("weights"))
+    return maxscore.top_k(docs, docs.filter(F.col("id") % 20 == 0), 20)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as an archive with revisits and read back: responses with their payloads, revisits by their headers."""
     path = shared_folder(spark, "warc")
@@ -58,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_grid_order_join": op3_grid_order_join,
     "op5_pii": op5_pii,
+    "op8_maxscore": op8_maxscore,
     "op9_warc": op9_warc,
     "op10_order_minhash": op10_order_minhash,
 }
