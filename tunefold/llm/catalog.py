@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, ego, maxscore, minhash, pii, sharding, warc
+from . import bpe, ego, langid, maxscore, minhash, pii, quality, sharding, warc
 from .common import read_table, shared_folder
 
 
@@ -29,6 +29,14 @@ def op3_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego.classes(read_table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, by a model that never saw a quarter of the documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.train(docs, allowed=~langid.held_out(docs["doc_id"]))
+    out = langid.predict(docs, model, keep=["doc_id"])
+    return out.select("doc_id", langid.held_out(out["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: counts and spans."""
     found = pii.find(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -37,6 +45,15 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text, by a model that never saw a fifth of the labels."""
+    labels = read_table(spark, sf_dir, "labels")
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.train(docs, labels, allowed=~quality.held_out(labels["doc_id"]))
+    out = quality.score(docs, model, keep=["doc_id"])
+    return out.select("doc_id", quality.held_out(out["doc_id"]).alias("held_out"), "score", "predicted")
+
+
 def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 embeddings of largest inner product for every 20th, over components in 64ths; a component is a term."""
     e = read_table(spark, sf_dir, "embeddings")
@@ -66,7 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_tree": op1_shard_tree,
     "op2_bpe": op2_bpe,
     "op3_grid_order_join": op3_grid_order_join,
+    "op4_language": op4_language,
     "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
     "op8_maxscore": op8_maxscore,
     "op9_warc": op9_warc,
     "op10_order_minhash": op10_order_minhash,
