@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, ego, langid, maxscore, minhash, pii, quality, sharding, warc
+from . import bpe, ego, langid, maxscore, minhash, mixing, pii, quality, sharding, warc
 from .common import read_table, shared_folder
 
 
@@ -54,6 +54,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(out["doc_id"]).alias("held_out"), "score", "predicted")
 
 
+MIX = {"domain": {"family0": 2.0, "family1": 3.0, "family2": 2.0, "family3": 1.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0}, "source": {}}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is read in a mixture of as many tokens as there are, with up to four epochs of a source."""
+    docs = read_table(spark, sf_dir, "documents")
+    return mixing.select(docs, domain=mixing.family(docs["source"]), tokens=mixing.words(docs["text"]), weights=MIX, share=1.0, epochs=4)
+
+
 def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 embeddings of largest inner product for every 20th, over components in 64ths; a component is a term."""
     e = read_table(spark, sf_dir, "embeddings")
@@ -86,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
     "op8_maxscore": op8_maxscore,
     "op9_warc": op9_warc,
     "op10_order_minhash": op10_order_minhash,
