@@ -6,20 +6,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tunefold.llm import bpe, catalog, minhash, mixing, pii, quality
 from tunefold.llm.common import read_table, stable
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of the tokens that the mixture keeps.
+SHARE = 0.9
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it learns from the labels of the documents at hand."""
+    labels = read_table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, allowed=~quality.held_out(labels["doc_id"]))
+    return quality.score(docs, model, keep=list(COLUMNS)).filter("predicted = 1").select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near copies, that of the smallest id."""
+    return minhash.deduplicated(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind; n_chars counts the new text."""
+    found = pii.find(docs.select(*COLUMNS), keep=list(COLUMNS))
+    return pii.redacted(found).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mixture to the target weights, SHARE of the tokens, each document at most once."""
+    docs = docs.select(*COLUMNS)
+    chosen = mixing.select(docs, domain=mixing.family(docs["source"]), tokens=mixing.words(docs["text"]), weights=catalog.MIX, share=SHARE, epochs=1)
+    return mixing.taken(docs, chosen).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of ids and decoded text."""
+    return catalog.coded(docs, keep=["token_ids"])
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", good_quality),
+    ("MinHash near-dedup", one_of_each),
+    ("PII", without_personal_data),
+    ("mixing sources to target weights", mixture),
+    ("BPE encoding and decoding", tokens),
+]
+#: Learned weights and sketches are not expressed in SQL; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each stage's rows written to the shared folder and read back."""
     docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stable(docs, f"stage{i}")

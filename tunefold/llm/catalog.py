@@ -14,14 +14,19 @@ def op1_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read_table(spark, sf_dir, "documents"), sharding.Layout.of(24), grown=sharding.Layout.of(25))
 
 
-def op2_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """Every whole text encoded and decoded again, as digests."""
+def coded(docs: DataFrame, tokenizer: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Every whole text encoded and decoded again, as digests; keep: more columns of the coded rows."""
     if tokenizer is None:
         import public_tokenizers
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), tokenizer, keep=["doc_id"]), tokenizer, keep=["doc_id", "token_ids"])
+    rows = bpe.decode(bpe.encode(docs, tokenizer, keep=["doc_id"]), tokenizer, keep=["doc_id", "token_ids"])
     ids = F.concat_ws(",", F.col("token_ids").cast("array<string>"))
-    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(keep or []))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Token digests of all documents."""
+    return coded(read_table(spark, sf_dir, "documents"), tokenizer)
 
 
 def op3_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:

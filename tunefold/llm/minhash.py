@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words
 from .bpe import slices
@@ -177,3 +177,17 @@ def _labelled(docs: DataFrame, nodes: DataFrame, known: DataFrame, id_col: str)
     merged = nodes.join(known, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     out = ids.join(merged, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     return out.select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of df without those whose class has a smaller id; of rows that share an id one stays, by the text's digest.
+
+    Rows without id or text all stay. Columns are those of df.
+    """
+    marks = classes(df, id_col=id_col, text_col=text_col, **how)
+    gone = marks.filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
+    rows = df.join(gone, df[id_col].cast("long") == F.col("__gone"), "left_anti")
+    has = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.md5(F.col(text_col).cast("binary"))))
+    once = rows.filter(has).withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    return once.unionByName(rows.filter(~has))

@@ -154,3 +154,26 @@ def merged(spans: Column) -> Column:
     nothing = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("kind"))
     return F.aggregate(spans, F.struct(empty.alias("out"), nothing.alias("last")), step,
                        lambda a: F.when(a["last"]["end"] > 0, F.array_append(a["out"], a["last"])).otherwise(a["out"]))
+
+
+PAGE = 4096
+
+
+def redacted(df: DataFrame, *, text_col: str = "text", spans_col: str = "pii") -> DataFrame:
+    """The text with every found span replaced by its kind in brackets, such as [EMAIL]; overlapping spans are replaced as one.
+
+    The text is cut into pages once, so a piece between spans costs its own length wherever it lies. A null text stays null.
+    """
+    text, spans = F.col(text_col), merged(F.col(spans_col))
+    pages = F.when(F.size(spans_col) > 0, F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{PAGE}}}"), 0))
+    src = df.select("*", pages.alias("__pages"), F.when(F.size(spans_col) > 0, spans).alias("__spans"))
+
+    def piece(a: Column, b: Column) -> Column:
+        part = lambda c: F.substring(F.col("__pages")[c], F.greatest(a - c * PAGE, F.lit(0)) + 1, F.least(b, (c + 1) * PAGE) - F.greatest(a, c * PAGE))
+        return F.when(b > a, F.array_join(F.transform(F.sequence(F.floor(a / PAGE).cast("int"), F.floor((b - 1) / PAGE).cast("int")), part), "")).otherwise("")
+
+    s, n = F.col("__spans"), F.size("__spans")
+    body = F.transform(s, lambda x, i: F.concat(piece(F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(0), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    tail = piece(F.element_at(s, -1)["end"], F.length(text))
+    out = F.when(F.col("__spans").isNull(), text).otherwise(F.concat(F.array_join(body, ""), tail))
+    return src.withColumn(text_col, out).drop("__pages", "__spans")
