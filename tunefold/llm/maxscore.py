@@ -21,79 +21,111 @@ from .common import ship, stable
 SHARD = 8192
 QUERIES = 1024
 SEED_DOCS = 256
+#: Queries whose essential columns are added up at once.
+TOGETHER = 64
 LONG = (1 << 63) - 1
 
 
 class Postings:
-    """Postings of the documents of a shard, which are numbered in the order of their ids."""
+    """Postings of the documents of a shard, which are numbered in the order of their ids.
 
-    def __init__(self, n: int, doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+    Terms that a quarter of the documents have are columns of a matrix (in double precision, if all scores are exact in it),
+    so that adding up their postings for many queries is a product of matrices; the others are lists of documents and weights.
+    """
+
+    def __init__(self, n: int, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, exact: bool) -> None:
         order = np.lexsort((doc, term))
         self.n, self.doc, self.weight = n, doc[order], weight[order]
         self.terms, start = np.unique(term[order], return_index=True)
         self.start = np.append(start, len(order))
         self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0, np.int64)
         self.least = np.minimum.reduceat(self.weight, start) if len(start) else np.zeros(0, np.int64)
-
-    def of(self, t: int) -> tuple[np.ndarray | None, np.ndarray]:
-        """Documents (None: all of them) and weights of a term."""
+        full = np.flatnonzero(np.diff(self.start) * 4 >= n) if exact else np.zeros(0, np.int64)
+        self.column = np.full(len(self.terms), -1)
+        self.column[full] = np.arange(len(full))
+        self.matrix = np.zeros((len(full), n))
+        for row, t in zip(self.matrix, full):
+            docs, w = self.of(t)
+            row[docs] = w
+
+    def of(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and weights of a term."""
         s, e = self.start[t], self.start[t + 1]
-        return (None if e - s == self.n else self.doc[s:e]), self.weight[s:e]
-
-    def add(self, t: int, by, score: np.ndarray) -> None:
-        docs, w = self.of(t)
-        if docs is None:
-            score += by * w
-        else:
-            score[docs] += by * w
+        return self.doc[s:e], self.weight[s:e]
 
     def probe(self, t: int, docs: np.ndarray):
         """Weights of a term in some documents, 0 where it does not occur."""
+        if self.column[t] >= 0:
+            return self.matrix[self.column[t], docs]
         have, w = self.of(t)
-        if have is None:
-            return w[docs]
         at = np.minimum(np.searchsorted(have, docs), len(have) - 1)
         return np.where(have[at] == docs, w[at], 0)
 
-
-def search(p: Postings, terms: np.ndarray, weights: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, scores) of the k best of a shard, and of all equal to the last; `own` documents take no part."""
-    at = np.searchsorted(p.terms, terms)
-    ok = (at < len(p.terms)) & (weights != 0)
-    ok[ok] = p.terms[at[ok]] == terms[ok]
-    at, q = at[ok], weights[ok]
-    bound = np.maximum(np.maximum(q * p.most[at], q * p.least[at]), 0)
-    order = np.argsort(bound, kind="stable")
-    at, q, bound = at[order], q[order], bound[order]
-    reach = np.cumsum(bound)
-
-    limit = None
-    seed = np.setdiff1d(np.arange(min(p.n, SEED_DOCS + len(own))), own)
-    if len(seed) >= k:
-        first = np.zeros(len(seed), p.weight.dtype)
-        for t, w in zip(at, q):
-            first += w * p.probe(t, seed)
-        limit = np.sort(first)[-k]
-    cut = 0 if limit is None else int(np.searchsorted(reach, limit, side="left"))
-    score = np.zeros(p.n, p.weight.dtype)
-    touched = np.zeros(p.n, bool)
-    for t, w in zip(at[cut:], q[cut:]):
-        p.add(t, w, score)
-        docs = p.of(t)[0]
-        touched[slice(None) if docs is None else docs] = True
-    rest = reach[cut - 1] if cut else 0
-    docs = np.flatnonzero(touched) if cut else np.arange(p.n)
-    docs = docs[~np.isin(docs, own)] if len(own) else docs
-    got = score[docs]
-    for t, w, b in zip(at[:cut][::-1], q[:cut][::-1], bound[:cut][::-1]):
-        able = got + rest >= limit
-        docs, got = docs[able], got[able]
-        got = got + w * p.probe(t, docs)
-        rest -= b
-    if len(docs) > k:
-        last = np.sort(got)[-k] if got.dtype == object else np.partition(got, len(got) - k)[-k]
-        docs, got = docs[got >= last], got[got >= last]
-    return docs, got
+    def scores(self, at: np.ndarray, q: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Whole scores of some documents for the terms `at` with weights `q`."""
+        full = self.column[at] >= 0
+        out = q[full].astype(np.float64) @ self.matrix[np.ix_(self.column[at[full]], docs)] if full.any() else np.zeros(len(docs), self.weight.dtype)
+        for t, w in zip(at[~full], q[~full]):
+            out = out + w * self.probe(t, docs)
+        return out
+
+
+class Query:
+    """The terms of a query that a shard has, by rising bound. cut: how many of them are non-essential for the limit."""
+
+    def __init__(self, p: Postings, terms: np.ndarray, weights: np.ndarray, own: np.ndarray, k: int) -> None:
+        at = np.searchsorted(p.terms, terms)
+        ok = (at < len(p.terms)) & (weights != 0)
+        ok[ok] = p.terms[at[ok]] == terms[ok]
+        at, q = at[ok], weights[ok]
+        bound = np.maximum(np.maximum(q * p.most[at], q * p.least[at]), 0)
+        order = np.argsort(bound, kind="stable")
+        self.at, self.q, self.bound, self.own, self.k, self.limit, self.cut = at[order], q[order], bound[order], own, k, None, 0
+        self.reach = np.cumsum(self.bound)
+        self.raised(p, np.setdiff1d(np.arange(min(p.n, SEED_DOCS + len(own))), own))
+        if self.limit is not None:
+            self.cut = int(np.searchsorted(self.reach, self.limit, side="left"))
+
+    def raised(self, p: Postings, docs: np.ndarray) -> None:
+        """Raise the limit to the k-th best of some documents."""
+        if len(docs) >= self.k:
+            best = np.sort(p.scores(self.at, self.q, docs))[-self.k]
+            self.limit = best if self.limit is None else max(best, self.limit)
+
+    def best(self, p: Postings, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the k best of a shard, and of all equal to the last. score: sums of the essential columns."""
+        essential = self.at[self.cut:]
+        dense = p.column[essential] >= 0
+        touched = np.full(p.n, bool(dense.any()) or not self.cut)
+        for t, w in zip(essential[~dense], self.q[self.cut:][~dense]):
+            docs, weight = p.of(t)
+            score[docs] += w * weight
+            touched[docs] = True
+        touched[self.own] = False
+        docs = np.flatnonzero(touched)
+        got = score[docs]
+        rest = self.reach[self.cut - 1] if self.cut else 0
+        if self.cut and len(docs) > self.k:
+            self.raised(p, docs[np.argpartition(got, len(got) - self.k)[-self.k:]] if got.dtype != object else docs[: self.k])
+        for t, w, b in zip(self.at[: self.cut][::-1], self.q[: self.cut][::-1], self.bound[: self.cut][::-1]):
+            able = got + rest >= self.limit
+            docs, got = docs[able], got[able]
+            got = got + w * p.probe(t, docs)
+            rest -= b
+        if len(docs) > self.k:
+            last = np.sort(got)[-self.k] if got.dtype == object else np.partition(got, len(got) - self.k)[-self.k]
+            docs, got = docs[got >= last], got[got >= last]
+        return docs, got
+
+
+def search(p: Postings, queries: list[Query]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The k best of a shard for each query: essential columns of all queries at once, then each query's lists and probes."""
+    weights = np.zeros((len(queries), len(p.matrix)))
+    for i, q in enumerate(queries):
+        at = p.column[q.at[q.cut:]]
+        weights[i, at[at >= 0]] = q.q[q.cut:][at >= 0]
+    sums = weights @ p.matrix if len(p.matrix) else np.zeros((len(queries), p.n), p.weight.dtype)
+    return [q.best(p, s) for q, s in zip(queries, sums)]
 
 
 def _spread(column: pa.Array, rows: np.ndarray, kind) -> np.ndarray:
@@ -113,21 +145,24 @@ def _tile(table: pa.Table, k: int) -> pa.Table:
     out_q, out_d, out_s = [], [], []
     if len(ids) and len(asks):
         largest = lambda w: float(np.abs(w.astype(np.float64)).max(initial=0))
-        if largest(weight) * largest(qweight) * max(1, len(np.unique(term))) >= 2.0**61:
+        reach = largest(weight) * largest(qweight) * max(1, len(np.unique(term)))
+        if reach >= 2.0**61:
             weight, qweight = weight.astype(object), qweight.astype(object)
         used = weight != 0
-        p = Postings(len(ids), doc[used], term[used], weight[used])
-        for i, ask in enumerate(asks):
-            own = np.arange(np.searchsorted(ids, ask), np.searchsorted(ids, ask, side="right"))
-            docs, got = search(p, qterm[ends[i]:ends[i + 1]], qweight[ends[i]:ends[i + 1]], k, own)
-            order = np.lexsort((ids[docs], -got))[:k] if got.dtype != object else np.array(sorted(range(len(docs)), key=lambda j: (-got[j], ids[docs[j]]))[:k], np.int64)
-            docs, got = docs[order], got[order]
-            times = np.minimum(copies[docs], k)
-            out_q.append(np.full(int(times.sum()), ask))
-            out_d.append(np.repeat(ids[docs], times))
-            out_s += np.repeat(np.array([max(-LONG - 1, min(LONG, int(s))) for s in got], np.int64), times).tolist()
+        p = Postings(len(ids), doc[used], term[used], weight[used], reach < 2.0**52)
+        for at in range(0, len(asks), TOGETHER):
+            some = range(at, min(at + TOGETHER, len(asks)))
+            own = [np.arange(*np.searchsorted(ids, [asks[i], asks[i] + 1])) for i in some]
+            found = search(p, [Query(p, qterm[ends[i]:ends[i + 1]], qweight[ends[i]:ends[i + 1]], o, k) for i, o in zip(some, own)])
+            for i, (docs, got) in zip(some, found):
+                order = np.lexsort((ids[docs], -got))[:k] if got.dtype != object else np.array(sorted(range(len(docs)), key=lambda j: (-got[j], ids[docs[j]]))[:k], np.int64)
+                docs, got = docs[order], got[order]
+                times = np.minimum(copies[docs], k)
+                out_q.append(np.full(int(times.sum()), asks[i]))
+                out_d.append(np.repeat(ids[docs], times))
+                out_s.append(np.repeat(np.array([max(-LONG - 1, min(LONG, int(s))) for s in got], np.int64), times))
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.table({"query_id": join(out_q).astype(np.int64), "vec_id": join(out_d).astype(np.int64), "score": np.array(out_s, np.int64)})
+    return pa.table({"query_id": join(out_q).astype(np.int64), "vec_id": join(out_d).astype(np.int64), "score": join(out_s).astype(np.int64)})
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 20, *, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
