@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import stable
+
 LEVELS = ("domain", "lang", "source")
 #: Hexadecimal digits of the order's hash that cut a leaf into slices; only the slice with the end of the prefix is sorted.
 SLICE = 3
@@ -65,17 +67,18 @@ def select(df: DataFrame, *, domain: Column, tokens: Column, weights: Mapping[st
     name = lambda c: F.coalesce(c.cast("string"), F.lit(MISSING))
     rows = df.select(df[id_col].alias("doc_id"), F.md5(F.coalesce(df[text_col], F.lit("")).cast("binary")).alias("digest"), name(domain).alias("domain"), name(df[lang_col]).alias("lang"),
                      name(df[source_col]).alias("source"), F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"))
-    rows = rows.groupBy("doc_id", "digest", *LEVELS, "n_tokens").agg(F.count(F.lit(1)).alias("n_rows"))
+    # written once: the texts are read once, and no later step is dealt by the leaf, which may hold a third of all rows
+    rows = stable(rows.groupBy("doc_id", "digest", *LEVELS, "n_tokens").agg(F.count(F.lit(1)).alias("n_rows")), "rows")
     size = F.col("n_tokens") * F.col("n_rows")
-    leaves = rows.groupBy(*LEVELS).agg(F.sum(size).alias("tokens")).withColumn("cap", F.col("tokens") * F.lit(float(epochs)))
+    leaves = stable(rows.groupBy(*LEVELS).agg(F.sum(size).alias("tokens")).withColumn("cap", F.col("tokens") * F.lit(float(epochs))), "leaves")
     plan = budgets(leaves, F.floor(F.col("cap") / epochs * share), weights)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("long")
-    plan = plan.withColumn("whole", whole).select(*LEVELS, "whole", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("rest"))
+    plan = stable(plan.withColumn("whole", whole).select(*LEVELS, "whole", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("rest")), "plan")
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "digest"))
     rows = rows.join(plan, [*LEVELS]).withColumn("order", order).withColumn("slice", F.substring("order", 1, SLICE))
     sums = rows.groupBy(*LEVELS, "slice").agg(F.sum(size).alias("sum"))
     at = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*LEVELS, "slice", "sum", F.coalesce(F.sum("sum").over(at), F.lit(0)).alias("before"))
+    sums = stable(sums.select(*LEVELS, "slice", "sum", F.coalesce(F.sum("sum").over(at), F.lit(0)).alias("before")), "slices")
     rows = rows.join(sums, [*LEVELS, "slice"])
     inside = F.col("before") + F.col("sum") < F.col("rest")
     outside = F.col("before") >= F.col("rest")
