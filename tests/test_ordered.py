@@ -26,6 +26,34 @@ def test_sequence_equals_window(series, width):
     assert r(got) == r(want)
 
 
+def test_nulls_and_nan_have_one_result_with_and_without_width(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [(k, t, v) for k in (1, None) for t, v in ((None, 1.0), (0.5, 2.0), (0.7, None), (9.0, 4.0), (nan, 5.0), (-inf, 6.0), (inf, 7.0), (-3.0, 8.0))]
+    d = spark.createDataFrame(data, "k INT, t DOUBLE, v DOUBLE")
+    how = dict(lag={"lg": "v"}, lead={"ld": "v"}, cumsum={"cs": "v"}, last={"la": "v"}, nxt={"nx": "v"}, row_number="rn")
+    show = lambda x: sorted(str(tuple(r)) for r in x.select("k", "t", "v", "lg", "ld", "cs", "la", "nx", "rn").collect())
+    want = show(sequence(d, ["k"], ["t"], **how))
+    assert len(want) == 16
+    for width in (0.3, 2.0, 1e6):
+        assert show(sequence(d, ["k"], ["t"], width=width, **how)) == want
+
+
+def test_events_without_time_or_key_stay_without_a_hit(spark):
+    e = spark.createDataFrame([(1, 0.4, "a"), (1, None, "b"), (None, 0.4, "c"), (1, float("nan"), "d"), (2, 9.0, "e")], "k INT, t DOUBLE, n STRING")
+    s = spark.createDataFrame([(1, 0.0, 10), (1, None, 11), (None, 0.4, 12), (1, float("nan"), 13), (2, 9.5, 14)], "k INT, ft DOUBLE, v INT")
+    got = {r["n"]: r["v"] for r in asof.asof_nearest(e, s, ["k"], "t", "ft", ["v"], tie="earlier", width=0.5).collect()}
+    assert got == {"a": 10, "b": None, "c": None, "d": None, "e": 14}
+
+
+def test_chained_steps_read_their_input_once(spark, sf):
+    d = spark.read.parquet(f"{sf}/events.parquet").select("user_id", F.col("event_id").cast("double").alias("t"), "value")
+    for i in range(4):
+        d = sequence(d, ["user_id"], ["t"], width=50.0, lag={f"lag{i}": "value"}, cumsum={f"sum{i}": "value"})
+    d.collect()
+    plan = d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("FileScan") <= 2
+
+
 def test_long_gap_without_rows(spark):
     d = spark.createDataFrame([(0, 1.0, 5.0), (0, 900.0, None), (0, 901.0, None), (0, 5000.0, 7.0)], "k INT, t DOUBLE, v DOUBLE")
     got = sequence(d, ["k"], ["t"], width=1.0, last={"a": "v"}, nxt={"b": "v"})

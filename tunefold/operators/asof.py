@@ -8,7 +8,10 @@ from .ordered import sequence
 
 def _tagged(events: DataFrame, samples: DataFrame, keys: list[str], et: str, st: str, cols: list[str]) -> DataFrame:
     payload = F.struct(F.col(st).alias("t"), *[F.col(c) for c in cols])
-    s = samples.select(*keys, F.col(st).cast("double").alias("_t"), F.lit(0).alias("_kind"),
+    usable = F.col(st).isNotNull() & ~F.isnan(F.col(st).cast("double"))
+    for k in keys:
+        usable = usable & F.col(k).isNotNull()
+    s = samples.filter(usable).select(*keys, F.col(st).cast("double").alias("_t"), F.lit(0).alias("_kind"),
                        payload.alias("_sample"), F.lit(None).alias("_event"))
     e = events.select(*keys, F.col(et).cast("double").alias("_t"), F.lit(1).alias("_kind"),
                       F.lit(None).alias("_sample"), F.struct(*events.columns).alias("_event"))
@@ -17,11 +20,16 @@ def _tagged(events: DataFrame, samples: DataFrame, keys: list[str], et: str, st:
 
 def neighbours(events: DataFrame, samples: DataFrame, keys: list[str], et: str, st: str, cols: list[str],
                *, width: float, want_next: bool = True) -> DataFrame:
-    """Each event with `_prev` (last sample at or before) and `_next` (first sample after) structs."""
+    """Each event with `_prev` (last sample at or before) and `_next` (first sample after) structs.
+
+    Events without time (NULL or NaN) or with a NULL key stay and have neither; such samples are no one's neighbours.
+    """
     both = _tagged(events, samples, keys, et, st, cols)
     spec = {"nxt": {"_next": "_sample"}} if want_next else {}
-    seq = sequence(both, keys, ["_t", "_kind"], width=width, last={"_prev": "_sample"}, **spec)
-    return seq.filter("_kind = 1").select("_event.*", "_prev", *(["_next"] if want_next else []))
+    seq = sequence(both, keys, ["_t", "_kind"], width=width, last={"_prev": "_sample"}, keep=["_t", "_kind", "_event"], **spec)
+    timed = F.col("_t").isNotNull() & ~F.isnan("_t")
+    found = [F.when(timed, F.col(c)).alias(c) for c in ("_prev", *(["_next"] if want_next else []))]
+    return seq.filter("_kind = 1").select("_event.*", *found)
 
 
 def asof_nearest(events: DataFrame, samples: DataFrame, keys: list[str], et: str, st: str, cols: list[str],

@@ -11,21 +11,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.angles import col
 
 BUCKET = "_bucket"
+KEY = "_key"
 
 
 def order_bucket(order_col: str, width: float) -> Column:
-    return F.floor(F.col(order_col) / F.lit(float(width))).cast("long")
+    """Bucket of an order value. NULL has the bucket NULL, which sorts first, and NaN the last one, as the values do."""
+    x = F.col(order_col)
+    return F.when(F.isnan(x.cast("double")), F.lit(2**63 - 1)).otherwise(F.floor(x / F.lit(float(width))).cast("long"))
 
 
 def sequence(df: DataFrame, keys: list[str], order: list[str], *, width: float | None = None,
              bucket: Column | None = None, lag=None, lead=None, cumsum=None, last=None, nxt=None,
-             row_number: str | None = None, keep_bucket: bool = False) -> DataFrame:
+             row_number: str | None = None, keep_bucket: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Add neighbour, prefix and carry columns in key/order sequence.
 
+    keep: the columns of df that the result needs (all, if not given); others are not shuffled.
     lag / lead: previous / next row's expression. cumsum: inclusive running sum (NULL counts as 0).
     last / nxt: nearest non-NULL value at or before / at or after the row.
-    The input is read twice: the summary side is a narrow, map-side combined aggregate, only the main side
-    shuffles rows. Chains of these operators should therefore cut lineage between steps (session.cut_lineage).
+    Rows are dealt by keys and bucket once; the summary of the buckets and the rows themselves read that one shuffle,
+    so the input is computed once however many steps are chained. NULL keys are a key, NULL orders come first and NaN
+    orders last, with and without buckets.
     width cuts order[0] into buckets; bucket gives any other monotone cut. Without either the keys
     must be small groups (bins of a curve) and one window is used.
     """
@@ -42,13 +47,18 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], *, width: float |
         out |= {k: F.first(e, True).over(fut) for k, e in nxt.items()}
         if row_number:
             out[row_number] = F.row_number().over(w)
-        return df.withColumns(out)
+        return df.withColumns(out).select(*[c for c in df.columns if (keep is None or c in keep) and c not in out], *out)
 
     if BUCKET not in df.columns:
         b = bucket if bucket is not None else order_bucket(order[0], width)
         df = df.withColumn(BUCKET, b)
     specs = {**lag, **lead, **cumsum, **last, **nxt}
+    wanted = [c for c in df.columns if keep is None or c in keep]
     src = df.withColumns({f"_e_{k}": e for k, e in specs.items()}) if specs else df
+    # a struct is never NULL itself, so NULL keys and buckets meet in joins as they do in groups
+    src = src.select(*dict.fromkeys([*wanted, *keys, *order, BUCKET, *(f"_e_{k}" for k in specs)]))
+    src = src.withColumn(KEY, F.struct(*[F.col(k) for k in keys], F.col(BUCKET))).repartition(KEY)
+    hashable = [c for c, t in src.dtypes if "map<" not in t]
     ordv = F.struct(*order)
     aggs = []
     for k in lag:
@@ -63,9 +73,11 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], *, width: float |
         aggs.append(F.min_by(F.col(f"_e_{k}"), F.when(F.col(f"_e_{k}").isNotNull(), ordv)).alias(f"_s_{k}"))
     if row_number:
         aggs.append(F.count(F.lit(1)).alias(f"_s_{row_number}"))
-    summary = src.groupBy(*keys, BUCKET).agg(*aggs)
+    # the summary looks at every column (never NULL): both readers of the shuffle then ask for the same one
+    seen = F.bit_xor(F.xxhash64(*hashable)).alias("_seen")
+    summary = src.groupBy(KEY).agg(*aggs, seen).filter(F.col("_seen").isNotNull())
 
-    ws = Window.partitionBy(*keys).orderBy(BUCKET)
+    ws = Window.partitionBy(*[F.col(f"{KEY}.{k}") for k in keys]).orderBy(F.col(f"{KEY}.{BUCKET}"))
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
     after = ws.rowsBetween(1, Window.unboundedFollowing)
     carry = [F.lag(f"_s_{k}").over(ws).alias(f"_x_{k}") for k in lag]
@@ -74,13 +86,13 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], *, width: float |
               for k in list(cumsum) + ([row_number] if row_number else [])]
     carry += [F.last(f"_s_{k}", True).over(before).alias(f"_x_{k}") for k in last]
     carry += [F.first(f"_s_{k}", True).over(after).alias(f"_x_{k}") for k in nxt]
-    summary = summary.select(*keys, BUCKET, *carry)
+    summary = summary.select(KEY, *carry)
 
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    w = Window.partitionBy(KEY).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     fut = w.rowsBetween(0, Window.unboundedFollowing)
-    base = [c for c in df.columns if c != BUCKET or keep_bucket]
-    joined = src.join(summary, [*keys, BUCKET])
+    base = [c for c in wanted if c != BUCKET or keep_bucket]
+    joined = src.join(summary, KEY)
     out = []
     for k in lag:
         out.append(F.coalesce(F.lag(F.struct(F.col(f"_e_{k}").alias("v"))).over(w), F.col(f"_x_{k}"))["v"].alias(k))
@@ -125,6 +137,14 @@ def halo(df: DataFrame, keys: list[str], order: str, half: float, width: float,
             .filter(F.col("_home") == F.col(BUCKET)).drop("_home", BUCKET))
 
 
+def numbered(df: DataFrame, keys: list[str], ident: str, name: str) -> DataFrame:
+    """Row number by an identity, numbers in their order and texts in the order of their hashes, so neither is one bucket."""
+    if dict(df.dtypes)[ident] == "string":
+        h = df.withColumn("_ih", F.md5(ident))
+        return sequence(h, keys, ["_ih", ident], bucket=F.conv(F.substring("_ih", 1, 3), 16, 10).cast("long"), row_number=name).drop("_ih")
+    return sequence(df, keys, [ident], bucket=F.floor(F.col(ident) / 65536), row_number=name)
+
+
 def hash_rank(df: DataFrame, keys: list[str], hash_col: str, name: str, *, spread: int = 2,
               tie: list[str] | None = None) -> DataFrame:
     """Row number by a hex hash, cut by hash prefix so a hot group still spreads over tasks."""
