@@ -7,7 +7,8 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-Q, SQL = entry.queries(), entry.oracle_sql()
+OWN = entry.catalog.queries()  # the training-data queries have their own tests
+Q, SQL = OWN, {k: v for k, v in entry.oracle_sql().items() if k in OWN}
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +19,10 @@ def duck(sf):
     return c
 
 
+#: Too few rows for a result in the smallest tables.
+SPARSE = {"A59_phase_precession"}
+
+
 def norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else repr(v + 0.0)
@@ -40,4 +45,5 @@ def test_matches_sql(spark, duck, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(Q) - set(SQL)))
 def test_runs(spark, sf, name):
-    assert Q[name](spark, sf).count() >= 0
+    sf = sf.replace("sf0.001", "sf0.01") if name in SPARSE else sf
+    assert Q[name](spark, sf).count() > 0

@@ -296,3 +296,28 @@ def test_planted_boundary_cell(spark):
     r = E.ego_rates(E.spike_map(f, ["session", "unit_id"], "n", **geom), E.occupancy_map(f, ["session"], 1.0, **geom), ["session"], ["unit_id"])
     th, db = rows(E.distance_peaks(r.filter("occ_s > 20"), ["unit_id"], {"all": (0.0, 60.0)}, 2.0), "theta_bin", "dist_bin")[0]
     assert min(th, 59 - th) <= 5 and 1 <= db <= 3
+
+
+def test_many_candidates_are_ambiguous_without_overflow(spark):
+    from tunefold.operators import signals as S
+    g = spark.createDataFrame([(0, i, 1, True) for i in range(70)] + [(1, 5, 2, True), (1, 6, 3, True)], "s INT, left_edge LONG, change INT, candidate BOOLEAN")
+    r = spark.createDataFrame([(0, 35), (1, 3), (2, 0), (3, -1), (4, 2)], "s INT, required INT")
+    got = {x["s"]: (x["status"], x["n_plans"], x["selected_edges"]) for x in S.gap_repair_plan(g, r, ["s"]).collect()}
+    assert got == {0: ("ambiguous", 2, None), 1: ("repaired", 1, [6]), 2: ("complete", 0, None), 3: ("extra_transitions", 0, None), 4: ("no_plan", 0, None)}
+
+
+def test_text_identities_are_permuted_and_resampled(spark):
+    from tunefold.operators import nulls
+    p = spark.createDataFrame([("s", f"m:{i}", float(7 * i % 360), float(7 * i % 360 + 3)) for i in range(40)], "g STRING, u STRING, a DOUBLE, b DOUBLE")
+    r = nulls.pairing_permutation(p, ["g"], "u", "a", "b", "fisher_lee", n_rep=19).collect()
+    assert len(r) == 1 and r[0]["observed"] > 0.9 and r[0]["p"] <= 0.1
+    ci = nulls.bootstrap_ci(p, ["g"], "u", "a", "b", "fisher_lee", n_rep=19).collect()[0]
+    assert 0.5 < ci["ci_low"] <= ci["ci_high"] <= 1.0 + 1e-9
+
+
+def test_cells_beyond_two_bytes_stay_apart(spark):
+    from tunefold.operators import dense
+    d = spark.createDataFrame([(1, 0, 70_000, 1.0), (1, 1, 4_464, 2.0)], "k INT, y INT, x INT, v DOUBLE")
+    dim = d.select("k", "y", "x")
+    got = sorted((r["y"], r["x"], r["v"]) for r in dense.dense_by_table(d, ["k"], dim, ["k"], ["y", "x"], ["v"], []).collect())
+    assert got == [(0, 70_000, 1.0), (1, 4_464, 2.0)]

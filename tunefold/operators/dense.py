@@ -5,11 +5,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def cell_code(cell: list[str]) -> Column:
-    """One integer per cell (each axis below 65536)."""
-    c = F.col(cell[0]).cast("long")
-    for a in cell[1:]:
-        c = c * 65536 + F.col(a)
-    return c
+    """One key per cell, whatever the size of its axes."""
+    return F.struct(*[F.col(a).cast("long").alias(f"c{i}") for i, a in enumerate(cell)])
 
 
 def _packed(df: DataFrame, keys: list[str], cell: list[str], values: list[str]) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.angles import col
 from ..functions.hashing import hash_key, replicate
 from ..session import cut_lineage
-from .ordered import sequence, hash_rank
+from .dense import cell_code
+from .ordered import hash_rank, numbered, sequence
 
 
 def z_map(responses: DataFrame, trials: DataFrame, session: list[str], unit: list[str], *, stratum: str = "stratum",
@@ -25,7 +26,7 @@ def z_map(responses: DataFrame, trials: DataFrame, session: list[str], unit: lis
     mean of n*m and a variance of v*n*(N-n)/(N-1) for its n trials, so nothing is simulated.
     """
     K = list(dict.fromkeys([*session, *unit]))
-    cell = F.col("y") * 65536 + F.col("x")
+    cell = cell_code(["y", "x"])
     # stimulus side: per session a short list of strata, each with its trial count and cell counts
     pos = trials.groupBy(*session, stratum, "y", "x").agg(F.count(F.lit(1)).alias("_n"))
     stim = (pos.groupBy(*session, stratum).agg(F.sum("_n").alias("_tot"), F.collect_list(F.struct("y", "x", "_n")).alias("_cells"))
@@ -197,8 +198,7 @@ def permute_trials(trials: DataFrame, session: list[str], trial: str, stratum: s
     The r-th trial in hash order takes the cell of the r-th trial in id order. Both numberings are cut into
     buckets, so one huge stratum still spreads over tasks.
     """
-    base = sequence(trials.select(*session, stratum, trial, "y", "x"), [*session, stratum], [trial],
-                    bucket=F.floor(F.col(trial) / 65536), row_number="_r")
+    base = numbered(trials.select(*session, stratum, trial, "y", "x"), [*session, stratum], trial, "_r")
     h = replicate(trials.select(*session, stratum, trial), n_rep).withColumn("_h", hash_key(seed, "rep", trial))
     h = hash_rank(h, ["rep", *session, stratum], "_h", "_r", tie=[trial])
     return h.join(base.select(*session, stratum, "_r", "y", "x"), [*session, stratum, "_r"]).select("rep", *session, stratum, trial, "y", "x")

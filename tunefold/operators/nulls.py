@@ -9,7 +9,7 @@ from ..functions.angles import col, cosd, sind
 from ..functions.bins import angle_bin
 from ..functions.hashing import hash_key, replicate, uniform
 from ..session import cut_lineage
-from .ordered import sequence, hash_rank, exact_quantile
+from .ordered import exact_quantile, hash_rank, numbered, sequence
 from . import pairs as P
 
 
@@ -44,7 +44,7 @@ STATISTICS: dict[str, Callable] = {"fisher_lee": _stat_fisher, "js": _stat_js, "
 def permuted_pairs(pairs: DataFrame, within: list[str], unit: str, a: str, b: str, n_rep: int, seed: int, carry: list[str] = ()) -> DataFrame:
     """(rep, a, b) with b reassigned by a hash order of units inside `within`."""
     rest = [c for c in carry if c not in within]
-    base = sequence(pairs.select(*within, unit, a, *rest), within, [unit], bucket=F.floor(F.col(unit) / 65536), row_number="_r")
+    base = numbered(pairs.select(*within, unit, a, *rest), within, unit, "_r")
     h = replicate(pairs.select(*within, unit, b), n_rep).withColumn("_h", hash_key(seed, "rep", unit))
     h = hash_rank(h, ["rep", *within], "_h", "_r", tie=[unit])
     return h.select("rep", *within, "_r", b).join(base.select(*within, "_r", a, *rest), [*within, "_r"]).drop("_r")
@@ -68,7 +68,7 @@ def pairing_permutation(pairs: DataFrame, group: list[str], unit: str, a: str, b
 
 def bootstrap_samples(pairs: DataFrame, group: list[str], unit: str, n_rep: int, seed: int) -> DataFrame:
     """Resample units with replacement inside each group: slot k of replicate r takes unit floor(u * n)."""
-    base = sequence(pairs, group, [unit], bucket=F.floor(F.col(unit) / 65536), row_number="_slot")
+    base = numbered(pairs, group, unit, "_slot")
     n = pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     draws = replicate(base.select(*group, "_slot").join(n, group), n_rep)
     draws = draws.withColumn("_slot", (F.floor(uniform(seed, "rep", *group, "_slot") * F.col("_n")) + 1).cast("long"))
@@ -94,7 +94,7 @@ def block_bootstrap(blocks: DataFrame, keys: list[str], session: list[str], *, n
     blocks as there are, with replacement; a block's multiplicity is shared by all units of the session.
     """
     b = blocks.select(*session, "block").distinct()
-    b = sequence(b, session, ["block"], bucket=F.floor(F.col("block") / 65536), row_number="_slot")
+    b = numbered(b, session, "block", "_slot")
     n = b.groupBy(*session).agg(F.count(F.lit(1)).alias("_n"))
     d = replicate(b.select(*session, "_slot").join(n, session), n_rep)
     d = d.withColumn("_slot", (F.floor(uniform(seed, "rep", *session, "_slot") * F.col("_n")) + 1).cast("long"))

@@ -14,8 +14,7 @@ def peak_bin(curve: DataFrame, keys: list[str], axis: list[str], value: str, *,
     v = F.col(value)
     score = -v if lowest else v
     order = F.when(v.isNotNull(), F.struct(score.alias("v"), *[(-F.col(a)).alias(f"a{i}") for i, a in enumerate(axis)]))
-    g = curve.groupBy(*keys).agg(F.max_by(F.struct(*axis), order).alias("_p"), (F.min(v) if lowest else F.max(v)).alias("peak_value"),
-                                 F.mode(score).alias("_unused"))
+    g = curve.groupBy(*keys).agg(F.max_by(F.struct(*axis), order).alias("_p"), (F.min(v) if lowest else F.max(v)).alias("peak_value"))
     return g.select(*keys, *[F.col(f"_p.{a}").alias(f"peak_{a}") for a in axis], "peak_value").filter(F.col("peak_value").isNotNull())
 
 

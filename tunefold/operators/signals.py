@@ -155,7 +155,7 @@ def gap_groups(iv: DataFrame, keys: list[str], t: str, *, tolerance: float, phas
 def gap_repair_plan(groups: DataFrame, required: DataFrame, keys: list[str]) -> DataFrame:
     """Pick the one subset of candidates whose changes sum to the required count; refuse when there is not exactly one.
 
-    Subsets are counted by a running table of sums (a recording has few candidate gaps); with a single
+    n_plans is 0, 1, or 2 for more. Subsets are counted by a running table of sums (a recording has few candidate gaps); with a single
     solution, a candidate belongs to it exactly when leaving the candidate out removes every solution.
     """
     c = groups.filter("candidate").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("left_edge", F.col("change").cast("int").alias("change")))).alias("_c"))
@@ -164,7 +164,7 @@ def gap_repair_plan(groups: DataFrame, required: DataFrame, keys: list[str]) ->
 
     def ways(items):
         start = F.transform(F.sequence(F.lit(0), need), lambda s: F.when(s == 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
-        step = lambda acc, e: F.transform(acc, lambda v, s: v + F.when(s >= e["change"], F.get(acc, s - e["change"])).otherwise(F.lit(0)).cast("long"))
+        step = lambda acc, e: F.transform(acc, lambda v, s: F.least(F.lit(2).cast("long"), v + F.when(s >= e["change"], F.get(acc, s - e["change"])).otherwise(F.lit(0)).cast("long")))
         return F.get(F.aggregate(items, start, step), need)
 
     j = j.withColumn("n_plans", F.when(F.col("required") > 0, ways(F.col("_c"))).otherwise(F.lit(0).cast("long")))

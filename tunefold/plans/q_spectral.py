@@ -226,10 +226,10 @@ def a68s(spark, sf):
     return Wf.stepped_sample(R.spikes(spark, sf), K, "t", 5, width=WEEK).select(*K, "spike_id")
 
 
-@query("A68_spike_triggered_average", """WITH w AS (SELECT s.session, s.unit_id, s.spike_id, e.event_id - s.spike_id AS o, e.value FROM r_step s JOIN events e ON e.event_id BETWEEN s.spike_id - 3 AND s.spike_id + 3), m AS (SELECT *, median(value) OVER (PARTITION BY session, unit_id, spike_id) AS md FROM w)
+@query("A68_spike_triggered_average", """WITH w AS (SELECT s.session, s.unit_id, s.spike_id, e.event_id - s.spike_id AS o, e.value FROM r_spikes s JOIN events e ON e.event_id BETWEEN s.spike_id - 3 AND s.spike_id + 3), m AS (SELECT *, median(value) OVER (PARTITION BY session, unit_id, spike_id) AS md FROM w)
   SELECT session, unit_id, o AS "offset", round(avg(value - md), 6) AS mean, count(*) AS n FROM m GROUP BY 1, 2, 3""")
 def a68(spark, sf):
-    sp = Wf.stepped_sample(R.spikes(spark, sf), K, "t", 5, width=WEEK).select(*K, "spike_id", F.col("spike_id").alias("i"), F.lit(0).alias("g"))
+    sp = R.spikes(spark, sf).select(*K, "spike_id", F.col("spike_id").alias("i"), F.lit(0).alias("g"))
     sm = R.table(spark, sf, "events").select(F.lit(0).alias("g"), F.col("event_id").alias("i"), "value")
     return Wf.spike_triggered_average(sp, sm, ["g"], K, idx="i", value="value", k=3).select(*K, "offset", R.rnd("mean").alias("mean"), "n")
 
