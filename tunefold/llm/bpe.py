@@ -25,8 +25,8 @@ WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\x20?\p{{L}}+|\x20?\p{{N}}+|\x20?[^{SPACE}\p{
 
 NONE = 1 << 62
 SHORT = 128
-CACHED = 200_000
-SLICE_BYTES = 8 << 20
+CACHED = 60_000
+SLICE_BYTES = 2 << 20
 
 
 def byte_names() -> list[str]:

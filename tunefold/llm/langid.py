@@ -77,10 +77,10 @@ class Model:
 
 def _frequencies(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
     df, rows = np.zeros(dims, np.int64), 0
-    for batch in batches:
-        for at, _ in grams(batch.column(0).to_pylist(), dims):
+    for part in (p for batch in batches for p in slices(batch)):
+        for at, _ in grams(part.column(0).to_pylist(), dims):
             df[at] += 1
-        rows += batch.num_rows
+        rows += part.num_rows
     hit = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1).astype(np.int32)), pa.array(np.append(df[hit], rows))], names=["at", "n"])
 
@@ -129,9 +129,9 @@ def predict(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
     out = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in names), "lang_pred string, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, scores = held.value.predict(batch.column(len(names)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+        for part in (p for batch in batches for p in slices(batch)):
+            langs, scores = held.value.predict(part.column(len(names)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return src.mapInArrow(run, out)
 

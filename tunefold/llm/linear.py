@@ -86,7 +86,7 @@ def _fitted(batches: Iterator[pa.RecordBatch], p: Params, classes: int) -> Itera
         ends = at.offsets.to_numpy()
         a, v = at.flatten().to_numpy(), value.flatten().to_numpy()
         first = ends[0]
-        rows += [(o, y, a[s - first:e - first].copy(), v[s - first:e - first].astype(np.float64)) for o, y, s, e in zip(order.to_pylist(), label.to_pylist(), ends, ends[1:])]
+        rows += [(o, y, a[s - first:e - first].copy(), v[s - first:e - first].copy()) for o, y, s, e in zip(order.to_pylist(), label.to_pylist(), ends, ends[1:])]
     rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
     spare = [r for i, r in enumerate(rows) if (i * p.spare) % 1 + p.spare > 1 - 1e-9 and len(rows) > 20]
     keep = [r for i, r in enumerate(rows) if not ((i * p.spare) % 1 + p.spare > 1 - 1e-9 and len(rows) > 20)]
@@ -94,7 +94,7 @@ def _fitted(batches: Iterator[pa.RecordBatch], p: Params, classes: int) -> Itera
     for epoch in range(p.epochs):
         for i in np.random.default_rng(epoch).permutation(len(keep)):
             _, y, at, value = keep[i]
-            leader.learn(at, value, y)
+            leader.learn(at, value.astype(np.float64), y)
     w = leader.weights(slice(None))
     t = temperature(np.array([v @ w[a] for _, _, a, v in spare]).reshape(-1, classes), np.array([r[1] for r in spare], np.int64))
     i, k = np.nonzero(w)

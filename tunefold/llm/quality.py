@@ -117,7 +117,8 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held.value.score(batch.column(len(names)).to_pylist()), pa.float64())], names=[*names, "score"])
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(held.value.score(part.column(len(names)).to_pylist()), pa.float64())], names=[*names, "score"])
 
     return src.mapInArrow(run, out).withColumn("predicted", (F.col("score") >= least).cast("int"))
 

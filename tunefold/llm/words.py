@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Code points hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -29,19 +29,19 @@ def word_table() -> np.ndarray:
     return np.fromiter((c.isalnum() or unicodedata.category(c)[0] == "M" for c in map(chr, range(0x110000))), bool, 0x110000)
 
 
-@functools.cache
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    n = 2 * PIECE
+@functools.lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base and its inverse to all powers up to n."""
     return tuple(np.concatenate((np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, b, np.uint64)))) for b in (BASE, INVERSE))
 
 
 def _piece(points: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of one piece of text. Longer pieces than the table of powers are cut inside a word."""
+    """Start and hash of each word of one piece of text."""
     inside = np.zeros(len(points) + 2, np.int8)
     inside[1:-1] = table[points]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = powers()
+    up, down = powers(2 * PIECE) if len(points) <= 2 * PIECE else powers.__wrapped__(len(points))
     sums = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
     return start, mix((sums[end] - sums[start]) * down[start])
@@ -57,8 +57,8 @@ def tokens(texts: Sequence[str | None], lower: bool = True, table: np.ndarray |
     while at < len(whole):
         cut = at + PIECE
         if cut < len(whole):
-            near = [p + 1 for p in (whole.find(" ", cut, cut + PIECE), whole.find("\n", cut, cut + PIECE)) if p >= 0]
-            cut = min(near) if near else cut + PIECE - 1
+            ends_at = lambda *stop: [p + 1 for p in (whole.find(" ", cut, *stop), whole.find("\n", cut, *stop)) if p >= 0]
+            cut = min(ends_at(cut + PIECE) or ends_at())  # never inside a word: the text ends with a line end
         points = np.frombuffer(whole[at:cut].encode("utf-32-le", "surrogatepass"), np.uint32)
         s, h = _piece(points, table)
         starts.append(s + at)
