@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import ship, stable
-from .graph import components
+from .graph import components, labelled
 
 LEADING = 8
 BLOCK = 4096
@@ -157,9 +157,11 @@ def _near(eps: float) -> Column:
 def block_pairs(blocks: DataFrame, n: int, leading: int, eps: float) -> DataFrame:
     """(i, j), i <= j: blocks whose boxes may hold links, by refining pairs of intervals level by level."""
     top = max(1, math.ceil(math.log(max(n, 2), FAN)))
-    pairs = blocks.sparkSession.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    pairs = None
     for level in range(top - 1, -1, -1):
         boxes = _boxes(blocks, level, leading).withColumn("above", F.floor(F.col("part") / FAN).cast("long"))
+        if pairs is None:
+            pairs = boxes.select(F.col("above").alias("i"), F.col("above").alias("j")).distinct()
         grown = pairs.join(boxes.alias("a"), F.col("i") == F.col("a.above")).join(boxes.alias("b"), F.col("j") == F.col("b.above"))
         pairs = grown.filter((F.col("a.part") <= F.col("b.part")) & _near(eps)).select(F.col("a.part").alias("i"), F.col("b.part").alias("j"))
     return pairs
@@ -199,11 +201,11 @@ def classes(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embeddi
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = components(found.select("node", "other"), "node", "other")
     merged = nodes_of(held, sums, known)
-    out = rows.join(merged, ["d0", "d1"], "left")
+    out = labelled(rows.select("id", "d0", "d1"), merged, ["d0", "d1"], "weight", held.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("component_id"),
                       F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"))
 
 
 def nodes_of(held: DataFrame, sums: DataFrame, known: DataFrame) -> DataFrame:
     m = held.select("d0", "d1", "node", "weight").join(sums, "node", "left").join(known, "node", "left")
-    return m.select("d0", "d1", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    return m.select("d0", "d1", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))

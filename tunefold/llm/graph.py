@@ -3,6 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
+#: A group with this share of all rows is hot; so there are at most 1 / HOT hot groups.
+HOT = 1e-4
+
 from .common import shared_folder
 
 
@@ -43,3 +46,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         mark = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def labelled(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows with the columns of their group, null for none (a row without keys has none).
+
+    Groups of `size` above HOT of all rows, at most 1 / HOT of them, are broadcast; their rows then leave the keys for a
+    hash of the row's own `id`, so no task of the join gets a whole hot group.
+    """
+    made = [c for c in groups.columns if c not in keys and c != size]
+    hot = groups.filter(F.col(size) > HOT * total)
+    as_hot = hot.select(*keys, F.struct(*made).alias("__hot"))
+    first = rows.join(F.broadcast(as_hot), keys, "left")
+    apart = F.col("__hot").isNotNull() | F.col(keys[0]).isNull()
+    spread = [F.when(apart, F.xxhash64(F.lit(k), "id")).otherwise(F.xxhash64(*keys)).alias(f"__k{k}") for k in (0,)]
+    first = first.select(*rows.columns, "__hot", apart.alias("__apart"), *spread)
+    cold = groups.filter(F.col(size) <= HOT * total).select(*[F.col(k).alias(f"__g_{k}") for k in keys], F.xxhash64(*keys).alias("__k0"), F.struct(*made).alias("__cold"))
+    same = ~F.col("__apart")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__g_{k}"))
+    both = first.join(cold, (first["__k0"] == cold["__k0"]) & same, "left")
+    return both.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col(f"__hot.{c}"), F.col(f"__cold.{c}")).alias(c) for c in made])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import words
 from .bpe import slices
 from .common import ship, stable
-from .graph import components
+from .graph import components, labelled
 
 WORDS = 5
 PICKED = 3
@@ -156,7 +156,7 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     how = {"k": k, "picked": picked, "functions": functions}
     part = docs.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     drawn = stable(part.mapInArrow(lambda it: _sketched(it, **how), "id long, digest string, sketch array<long>"), "sketches")
-    nodes = drawn.groupBy("digest").agg(F.min("id").alias("node"))
+    nodes = drawn.groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     firsts = drawn.groupBy("digest").agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch")).dropDuplicates(["id"])
     single = firsts.select("id", F.explode("sketch").alias("key"))
     shared = single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
@@ -169,13 +169,13 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
         found = both.mapInArrow(lambda it: _linked(it, similarity), "a long, b long")
         known = components(found if known is None else found.union(known.toDF("a", "b")))
-    return _labelled(docs, nodes, known, id_col)
+    return _labelled(docs, nodes, known, id_col, drawn.count())
 
 
-def _labelled(docs: DataFrame, nodes: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
+def _labelled(docs: DataFrame, nodes: DataFrame, known: DataFrame, id_col: str, total: int) -> DataFrame:
     ids = docs.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
-    merged = nodes.join(known, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
-    out = ids.join(merged, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    merged = nodes.join(known, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("class_id"))
+    out = labelled(ids, merged, ["digest"], "n", total).select("id", F.coalesce("class_id", "id").alias("class_id"))
     return out.select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
