@@ -44,10 +44,6 @@ KINDS = (
 ORDER = {k.name: i for i, k in enumerate(KINDS)}
 
 
-def _all(arr: Column, rule) -> Column:
-    return F.forall(arr, rule)
-
-
 def luhn(digits: Column) -> Column:
     """Check digit of a string of digits: every second one from the right counts twice, with its digits added."""
     d = F.split(F.reverse(digits), "")
@@ -69,7 +65,7 @@ def _confirmed(kind: str, m: Column, before: Column, after: Column) -> Column:
     alone = ~before.rlike("[A-Za-z0-9-]$") & ~after.rlike("^[A-Za-z0-9-]")
     if kind == "ip":
         part = lambda p: F.regexp_replace(p, "^0+", "")
-        return _all(F.split(m, "[.]"), lambda p: (F.length(part(p)) <= 3) & (F.when(part(p) == "", 0).otherwise(F.left(part(p), F.lit(3)).cast("int")) <= 255))
+        return F.forall(F.split(m, "[.]"), lambda p: (F.length(part(p)) <= 3) & (F.when(part(p) == "", 0).otherwise(F.left(part(p), F.lit(3)).cast("int")) <= 255))
     if kind == "card":
         return F.when(n.between(12, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
