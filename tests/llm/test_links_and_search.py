@@ -114,6 +114,29 @@ def test_classes_equal_brute_force(docs_of, corpus):
     assert left == sorted(set(want))
 
 
+def edited(rng, words_, share):
+    """A share of the words replaced, dropped or doubled, at scattered places."""
+    out = []
+    at = set(rng.sample(range(len(words_)), round(share * len(words_))))
+    for i, w in enumerate(words_):
+        kind = rng.randrange(4) if i in at else -1
+        out += [w] if kind < 0 else [] if kind == 0 else [w, f"q{rng.randrange(10**6)}"] if kind == 1 else [f"q{rng.randrange(10**6)}"]
+    return out
+
+
+def test_pairs_just_above_the_similarity_meet():
+    rng = random.Random(11)
+    one, two = [], []
+    while len(one) < 400:
+        a = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 200))]
+        b = edited(rng, a, rng.uniform(0.1, 0.2))
+        if 0.8 <= 1 - levenshtein(a, b) / max(len(a), len(b)) <= 0.9:
+            one.append(" ".join(a))
+            two.append(" ".join(b))
+    s, t = minhash.sketches(one)[0], minhash.sketches(two)[0]
+    assert (s == t).any(axis=1).mean() >= 0.99
+
+
 def test_repeated_and_missing_ids(docs_of):
     texts = ["a b c d e f g", "a b c d e f g", "other text here now", "a b c d e f g", None]
     got = sorted((r["doc_id"] is None, r["doc_id"], r["class_id"], r["kept"]) for r in minhash.classes(docs_of(texts, [4, 4, 4, None, 9])).collect() if r["doc_id"] is not None)
