@@ -137,6 +137,35 @@ def test_pairs_just_above_the_similarity_meet():
     assert (s == t).any(axis=1).mean() >= 0.99
 
 
+def test_a_bucket_of_many_small_classes(docs_of):
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for _ in range(120):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(passage + own), " ".join(passage + edited(rng, own, 0.2))]
+    rng.shuffle(texts)
+    how = {"picked": 1, "functions": 2}
+    s = minhash.sketches(texts, **how)[0]
+    h, o = words.tokens(texts)
+    w = [h[o[i]:o[i + 1]] for i in range(len(texts))]
+    links = [(j, i) for i in range(len(texts)) for j in range(i) if (s[i] == s[j]).any() and minhash.similar(w[i], w[j])]
+    assert max(np.unique(s[:, 0], return_counts=True)[1]) > 60 and len(links) > 60
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs_of(texts), **how).collect()}
+    assert got == dict(enumerate(classes_of(len(texts), links)))
+
+
+def test_blocks_of_a_bucket_pair_every_two_rows_once(docs_of, monkeypatch):
+    rng = random.Random(13)
+    texts = [" ".join(["p q r s t"] * 12 + [f"w{rng.randrange(10**6)}"] * 3) for _ in range(50)]
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    how = {"picked": 1, "functions": 1, "rounds": 0}
+    s = minhash.sketches(texts, picked=1, functions=1)[0][:, 0]
+    links = [(j, i) for i in range(50) for j in range(i) if s[i] == s[j]]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs_of(texts), **how).collect()}
+    assert len(links) > 100 and got == dict(enumerate(classes_of(50, links)))
+
+
 def test_repeated_and_missing_ids(docs_of):
     texts = ["a b c d e f g", "a b c d e f g", "other text here now", "a b c d e f g", None]
     got = sorted((r["doc_id"] is None, r["doc_id"], r["class_id"], r["kept"]) for r in minhash.classes(docs_of(texts, [4, 4, 4, None, 9])).collect() if r["doc_id"] is not None)

@@ -2,10 +2,12 @@
 
 A sketch draws several functions; each takes the PICKED smallest of a text's occurrence-labelled runs of WORDS words and
 keeps them in the order of the text, so texts agree in a sketch only if they share those runs, equally often and in the
-same order. Texts with an equal sketch meet in a bucket. A bucket's leader is compared with its other members, in
-ROUNDS rounds with other leaders (the last on pairs of sketches), and members that are already in the leader's class are
-not compared again: the work is linear in the bucket, however large it is. A comparison aligns the words inside the band
-of the edits that similarity still allows; similarity is 1 - edits / words of the longer text.
+same order. Texts with an equal sketch meet in a bucket. First a bucket's leader is compared with its other members, in
+ROUNDS rounds with other leaders (the last on pairs of sketches): linear work that brings large classes together. Then
+all members of a bucket that are still in different classes are compared, block by block, so every pair that shares a
+bucket is either compared or in one class. Counts of words in BAG cells rule out most pairs before their texts are
+fetched: they differ by no more than the edits. A comparison aligns the words inside the band of the edits that
+similarity still allows; similarity is 1 - edits / words of the longer text.
 """
 from __future__ import annotations
 
@@ -29,12 +31,20 @@ SIMILARITY = 0.8
 ROUNDS = 3
 #: Runs looked at per function: those under the bound that about so many fall below, all if fewer than PICKED do.
 DRAWN = 24
+#: Cells of the counts of words.
+BAG = 256
+#: Members of a bucket that one group compares with as many others.
+BLOCK = 1024
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sketches(texts: list[str | None], *, k: int = WORDS, picked: int = PICKED, functions: int = FUNCTIONS) -> tuple[np.ndarray, np.ndarray]:
     """(texts x functions) sketches and the number of runs of each text; a text without words has none."""
-    runs, offsets = words.shingles(*words.tokens(texts), k)
+    return _drawn(*words.tokens(texts), k, picked, functions)
+
+
+def _drawn(hashes: np.ndarray, offsets: np.ndarray, k: int, picked: int, functions: int) -> tuple[np.ndarray, np.ndarray]:
+    runs, offsets = words.shingles(hashes, offsets, k)
     counts = np.diff(offsets)
     label = words.mix(runs + words.occurrences(runs, offsets).astype(np.uint64) * STEP)
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -59,6 +69,20 @@ def sketches(texts: list[str | None], *, k: int = WORDS, picked: int = PICKED, f
     return out, counts
 
 
+def bags(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts x BAG) how many words fall in each cell, at most 255."""
+    n = len(offsets) - 1
+    cell = np.repeat(np.arange(n), np.diff(offsets)) * BAG + (hashes % np.uint64(BAG)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=n * BAG), 255).astype(np.uint8).reshape(n, BAG)
+
+
+def near(bag: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts with these counts of words and numbers of words can be similar: an edit moves at most one word out and one in."""
+    apart = bag.astype(np.int16) - other
+    most = ((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
+    return (np.abs(n - m) <= most) & (np.maximum(apart, 0).sum(axis=-1) <= most) & (np.maximum(-apart, 0).sum(axis=-1) <= most)
+
+
 def _ends(a: np.ndarray, b: np.ndarray) -> int:
     n = min(len(a), len(b))
     other = np.flatnonzero(a[:n] != b[:n])
@@ -117,13 +141,74 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return edits(a, b, most) <= most
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], **how) -> Iterator[pa.RecordBatch]:
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(BAG), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def _bag(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BAG)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], k: int, picked: int, functions: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            s, n = sketches(part.column(2).to_pylist(), **how)
+            hashes, ends = words.tokens(part.column(2).to_pylist())
+            s, n = _drawn(hashes, ends, k, picked, functions)
             s = s[n > 0].view(np.int64)
             offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, s.shape[1], 0)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.ravel()))], names=["id", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.ravel())), pa.array(np.diff(ends).astype(np.int64)), _binary(bags(hashes, ends))],
+                                             names=["id", "digest", "sketch", "words", "bag"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, n, b, m = (batch.column(c) for c in ("bag_a", "words_a", "bag_b", "words_b"))
+        yield batch.select(["a", "b"]).filter(pa.array(near(_bag(a), n.to_numpy(), _bag(b), m.to_numpy(), similarity)))
+
+
+def _met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): rows of one group (key, lo, hi), which come in a row, that are in different classes and can be similar.
+
+    A group is one block (lo = hi) or two; of two blocks only rows of different blocks are paired, as each block is a group too.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def paired(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, cls, n, block = (rows.column(c).to_numpy() for c in ("id", "class", "words", "block"))
+        bag = _bag(rows.column("bag"))
+        two = rows.column("lo")[0].as_py() != rows.column("hi")[0].as_py()
+        _, at, size = np.unique(cls, return_inverse=True, return_counts=True)
+        order = np.lexsort((at, size[at]))  # the largest class last: its rows have nobody left to meet
+        node, cls, n, block, bag, at = (x[order] for x in (node, cls, n, block, bag, at))
+        last = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at))
+        stop = last[np.searchsorted(last, np.arange(len(at)), side="right")]
+        a, b = [], []
+        for i in range(len(at)):
+            j = np.arange(stop[i], len(at))
+            most = (1 - similarity) * np.maximum(n[i], n[j]) + 1e-9
+            j = j[(np.abs(n[j] - n[i]) <= most) & (~np.bool_(two) | (block[j] != block[i]))]
+            if len(j):
+                j = j[near(bag[i], n[i], bag[j], n[j], similarity)]
+                a.append(np.minimum(node[i], node[j]))
+                b.append(np.maximum(node[i], node[j]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, lo, hi = (batch.column(c).to_numpy() for c in ("key", "lo", "hi"))
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("key", "lo", "hi")):
+            yield from paired(pa.Table.from_batches(held))
+            held = []
+        for first, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if first:
+                yield from paired(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(first, end - first))
+    if held:
+        yield from paired(pa.Table.from_batches(held))
 
 
 def _linked(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -134,11 +219,26 @@ def _linked(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _in_classes(buckets: DataFrame, classes: DataFrame | None) -> DataFrame:
+    if classes is None:
+        return buckets.withColumn("class", F.col("id"))
+    return buckets.join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("class"))
+
+
+def _rest(buckets: DataFrame, classes: DataFrame | None, firsts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs that share a bucket, are in different classes and can be similar."""
+    rows = _in_classes(buckets, classes)
+    mixed = rows.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("two"), F.count(F.lit(1)).alias("n")).filter("one < two")
+    rows = rows.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(firsts.select("id", "words", "bag"), "id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "class", "words", "bag", "block")
+    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInArrow(lambda it: _met(it, similarity), "a long, b long").distinct()
+
+
 def _pairs(buckets: DataFrame, classes: DataFrame | None, turn: int) -> DataFrame:
     """(a, b): members of a bucket outside its leader's class, with the leader. The leader has the smallest hash of id, bucket and turn."""
-    rows = buckets.withColumn("class", F.col("id"))
-    if classes is not None:
-        rows = buckets.join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("class"))
+    rows = _in_classes(buckets, classes)
     lead = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "class")).alias("lead")
     leaders = rows.groupBy("key").agg(lead, F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key", "lead")
     met = rows.join(leaders, "key").filter(F.col("class") != F.col("lead.class"))
@@ -149,7 +249,8 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
             picked: int = PICKED, functions: int = FUNCTIONS, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of df: id, class_id (smallest id of the class) and kept (id = class_id).
 
-    Classes are the components of links: equal texts, and candidate pairs found similar. Rows without id or text take no
+    Classes are the components of links: equal texts, and similar pairs among all that share a sketch (rounds: of leaders,
+    which change the work and not the result). Rows without id or text take no
     part (class_id = id, kept); texts without any word link with equal texts only, empty ones included. Rows that share
     an id share its class. Extra columns are not returned; an empty table gives an empty result.
     """
@@ -157,19 +258,24 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     docs = df.select(df[id_col].cast("long").alias("id"), F.md5(df[text_col].cast("binary")).alias("digest"), df[text_col].alias("text"))
     how = {"k": k, "picked": picked, "functions": functions}
     part = docs.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    drawn = stable(part.mapInArrow(lambda it: _sketched(it, **how), "id long, digest string, sketch array<long>"), "sketches")
+    drawn = stable(part.mapInArrow(lambda it: _sketched(it, **how), "id long, digest string, sketch array<long>, words long, bag binary"), "sketches")
     nodes = drawn.groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
-    firsts = drawn.groupBy("digest").agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch")).dropDuplicates(["id"])
+    firsts = drawn.groupBy("digest").agg(F.min("id").alias("id"), F.min_by(F.struct("sketch", "words", "bag"), "id").alias("s")).select("id", "s.*").dropDuplicates(["id"])
     single = firsts.select("id", F.explode("sketch").alias("key"))
     shared = single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     single = stable(single.join(shared, "key", "left_semi").select("id", "key"), "buckets")
     paired = firsts.join(single.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.transform("sketch", lambda x, i: F.xxhash64(x, F.element_at("sketch", (i + 1) % functions + 1)))).alias("key"))
     texts = stable(part.select("id", "text").join(single.select("id").distinct(), "id", "left_semi"), "texts")
-    links = known = None
-    for turn in range(rounds):
-        pairs = _pairs(single if turn < rounds - 1 or rounds == 1 else paired, known, turn)
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        found = both.mapInArrow(lambda it: _linked(it, similarity), "a long, b long")
+    side = lambda c: firsts.select(F.col("id").alias(c), F.col("words").alias(f"words_{c}"), F.col("bag").alias(f"bag_{c}"))
+    text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
+    known = None
+    for turn in range(rounds + 1):
+        if turn < rounds:
+            pairs = _pairs(single if turn < rounds - 1 or rounds == 1 else paired, known, turn).join(side("a"), "a").join(side("b"), "b")
+            pairs = pairs.mapInArrow(lambda it: _possible(it, similarity), "a long, b long")
+        else:
+            pairs = _rest(single, known, firsts, similarity)
+        found = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(lambda it: _linked(it, similarity), "a long, b long")
         known = components(found if known is None else found.union(known.toDF("a", "b")))
     return _labelled(docs, nodes, known, id_col, drawn.count())
 
