@@ -25,7 +25,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every class of near copies, that of the smallest id."""
-    return minhash.deduplicated(docs.select(*COLUMNS)).select(*COLUMNS)
+    return minhash.deduplicated(docs.select(*COLUMNS), by_id=False).select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,6 +175,18 @@ def test_repeated_and_missing_ids(docs_of):
     assert minhash.classes(docs_of(["x"]).limit(0)).count() == 0
 
 
+def test_other_texts_under_a_repeated_id_are_kept(docs_of):
+    rng = random.Random(14)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abc")
+    texts, ids = [a, a, b, c, c + " more", b, b], [3, 5, 5, 5, 7, 5, 9]
+    got = sorted((r["doc_id"], r["class_id"]) for r in minhash.classes(docs_of(texts, ids), rounds=0).collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (5, 5), (5, 5), (7, 5), (9, 5)]
+    left = minhash.deduplicated(docs_of(texts, ids), by_id=False, rounds=0).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == sorted([(3, a), (5, b), (5, c)])
+    left = minhash.deduplicated(docs_of(texts[:3], ids[:3]), rounds=0).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(3, a), (5, b)]
+
+
 def test_components_of_long_chains(spark):
     n = 300
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1002), (1002, 1000), (7, 7)]

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import words
 from .bpe import slices
@@ -250,22 +250,36 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     """One row per row of df: id, class_id (smallest id of the class) and kept (id = class_id).
 
     Classes are the components of links: equal texts, and similar pairs among all that share a sketch (rounds: of leaders,
-    which change the work and not the result). Rows without id or text take no
-    part (class_id = id, kept); texts without any word link with equal texts only, empty ones included. Rows that share
-    an id share its class. Extra columns are not returned; an empty table gives an empty result.
+    which change the work and not the result). Rows without id or text take no part (class_id = id, kept); texts without
+    any word link with equal texts only, empty ones included. A row's class is that of its text: rows that share an id but
+    not the text can be in different classes, and classes with the same smallest id show the same class_id. Extra columns
+    are not returned; an empty table gives an empty result.
     """
-    ship(df.sparkSession)
-    docs = df.select(df[id_col].cast("long").alias("id"), F.md5(df[text_col].cast("binary")).alias("digest"), df[text_col].alias("text"))
+    docs = _docs(df, id_col, text_col)
+    nodes, known, total = _known(docs, similarity, k, picked, functions, rounds)
+    return _labelled(docs, nodes, known, id_col, total)
+
+
+def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(df[id_col].cast("long").alias("id"), F.md5(df[text_col].cast("binary")).alias("digest"), df[text_col].alias("text"))
+
+
+def _known(docs: DataFrame, similarity: float, k: int, picked: int, functions: int, rounds: int) -> tuple[DataFrame, DataFrame, int]:
+    """One row per different text (digest, node, its number; least, its smallest id; n, its rows), the components of nodes, and the number of rows."""
+    ship(docs.sparkSession)
     how = {"k": k, "picked": picked, "functions": functions}
     part = docs.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     drawn = stable(part.mapInArrow(lambda it: _sketched(it, **how), "id long, digest string, sketch array<long>, words long, bag binary"), "sketches")
-    nodes = drawn.groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
-    firsts = drawn.groupBy("digest").agg(F.min("id").alias("id"), F.min_by(F.struct("sketch", "words", "bag"), "id").alias("s")).select("id", "s.*").dropDuplicates(["id"])
+    # rows of one digest have one text, so any of their sketches will do
+    nodes = drawn.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("sketch", "words", "bag"), "id").alias("s"))
+    nodes = stable(nodes.select("digest", F.monotonically_increasing_id().alias("node"), "least", "n", "s.*"), "nodes")
+    firsts = nodes.select(F.col("node").alias("id"), "sketch", "words", "bag")
     single = firsts.select("id", F.explode("sketch").alias("key"))
     shared = single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     single = stable(single.join(shared, "key", "left_semi").select("id", "key"), "buckets")
     paired = firsts.join(single.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.transform("sketch", lambda x, i: F.xxhash64(x, F.element_at("sketch", (i + 1) % functions + 1)))).alias("key"))
-    texts = stable(part.select("id", "text").join(single.select("id").distinct(), "id", "left_semi"), "texts")
+    wanted = nodes.join(single.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("digest", F.col("least").alias("id"), "node")
+    texts = stable(part.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"]).select(F.col("node").alias("id"), "text"), "texts")
     side = lambda c: firsts.select(F.col("id").alias(c), F.col("words").alias(f"words_{c}"), F.col("bag").alias(f"bag_{c}"))
     text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
     known = None
@@ -277,25 +291,37 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
             pairs = _rest(single, known, firsts, similarity)
         found = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(lambda it: _linked(it, similarity), "a long, b long")
         known = components(found if known is None else found.union(known.toDF("a", "b")))
-    return _labelled(docs, nodes, known, id_col, drawn.count())
+    return nodes.select("digest", "node", "least", "n"), known, drawn.count()
+
+
+def _merged(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """nodes with their class, a node, and class_id, the smallest id of its rows."""
+    rows = nodes.join(known, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    labels = rows.filter(F.col("class") != F.col("node")).groupBy("class").agg(F.min("least").alias("least"))
+    own = nodes.select(F.col("node").alias("class"), F.col("least").alias("own")).join(labels, "class", "left")
+    own = own.select("class", F.least("own", "least").alias("class_id"))
+    return rows.join(own, "class")
 
 
 def _labelled(docs: DataFrame, nodes: DataFrame, known: DataFrame, id_col: str, total: int) -> DataFrame:
     ids = docs.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
-    merged = nodes.join(known, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("class_id"))
+    merged = _merged(nodes, known).select("digest", "n", "class_id")
     out = labelled(ids, merged, ["digest"], "n", total).select("id", F.coalesce("class_id", "id").alias("class_id"))
     return out.select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of df without those whose class has a smaller id; of rows that share an id one stays, by the text's digest.
+def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = WORDS,
+                 picked: int = PICKED, functions: int = FUNCTIONS, rounds: int = ROUNDS, by_id: bool = True) -> DataFrame:
+    """One row of df of every class, that of the smallest id and then digest; with by_id, of those that share an id only the first by digest.
 
-    Rows without id or text all stay. Columns are those of df.
+    Rows without id or text all stay. Columns are those of df. Without by_id no text is lost where ids repeat.
     """
-    marks = classes(df, id_col=id_col, text_col=text_col, **how)
-    gone = marks.filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    rows = df.join(gone, df[id_col].cast("long") == F.col("__gone"), "left_anti")
-    has = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.md5(F.col(text_col).cast("binary"))))
-    once = rows.filter(has).withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
-    return once.unionByName(rows.filter(~has))
+    nodes, known, _ = _known(_docs(df, id_col, text_col), similarity, k, picked, functions, rounds)
+    stay = _merged(nodes, known).groupBy("class").agg(F.min(F.struct("least", "digest")).alias("s")).select("s.*")
+    if by_id:
+        stay = stay.groupBy("least").agg(F.min("digest").alias("digest"))
+    stay = stay.select(F.col("least").alias("__id"), F.col("digest").alias("__digest"))
+    has = F.col(id_col).cast("long").isNotNull() & F.col(text_col).isNotNull()
+    rows = df.filter(has).withColumns({"__id": F.col(id_col).cast("long"), "__digest": F.md5(F.col(text_col).cast("binary"))})
+    once = rows.join(stay, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).select(*df.columns)
+    return once.unionByName(df.filter(~has))
