@@ -131,6 +131,13 @@ def test_further_kinds_need_their_checks(docs_of):
     assert rows == {0: [("iban", 0, 22)], 1: [("iban", 5, 32)], 2: [], 3: [], 4: [("ssn", 10, 21)], 5: [], 6: [], 7: []}
 
 
+def test_account_codes_before_capitals_and_digits(docs_of):
+    code = "DE89370400440532013000"
+    texts = [code + " BIC COBADEFFXXX", code + " Bank", "DE89 3704 0044 0532 0130 00 12345", code + " FR1420041010050500013M02606"]
+    rows = {r["doc_id"]: [(s["start"], s["end"]) for s in r["pii"] if s["kind"] == "iban"] for r in pii.find(docs_of(texts), keep=["doc_id"]).collect()}
+    assert rows == {0: [(0, 22)], 1: [(0, 22)], 2: [(0, 27)], 3: [(0, 22), (23, 50)]}
+
+
 def test_redaction(docs_of):
     long = "é" * 5000 + " x@y.zz " + "b" * 9000 + " 10.0.0.1 end"
     texts = [None, "", "plain", "x@y.zz", "a x@y.zz, 4111 1111 1111 1111.", long, "+1 (555) 123-4567, 10.0.0.1"]

@@ -32,13 +32,20 @@ class Kind:
     base: bool = True
 
 
+#: Characters of an account code by country, for the countries that have registered one.
+LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+           23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+           29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+#: A code ends at its country's length if a word ends there; otherwise it is the longest run, as for other countries.
+IBAN = "(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9-])" for n, c in LENGTHS.items()) + r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+)"
+
 #: The patterns and words, base kinds first, in the order of the output.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "mail|contact|write|reply"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "ip|host|server|address|login"),
     Kind("card", r"[0-9]++(?:[\x20-][0-9]++)*+", "", 0.7, "card|visa|credit|debit|pay|iban"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|tel|call|mobile|fax|contact"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", "", 0.8, "iban|account|bank|konto|compte|cuenta", base=False),
+    Kind("iban", IBAN, "", 0.8, "iban|account|bank|konto|compte|cuenta", base=False),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", 0.3, "ssn|social|security|taxpayer", base=False),
 )
 ORDER = {k.name: i for i, k in enumerate(KINDS)}
