@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, ego, langid, maxscore, minhash, mixing, oracles, pii, quality, sharding, warc
+from . import bpe, ego, idfiles, langid, maxscore, minhash, mixing, oracles, pii, quality, sharding, warc
 from .common import read_table, shared_folder
 
 
@@ -93,6 +93,16 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(read_table(spark, sf_dir, "documents"))
 
 
+def op13_id_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """The token ids of all documents, each closed by id 2, written as files with a shared dictionary and read back."""
+    if tokenizer is None:
+        import public_tokenizers
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    path = shared_folder(spark, "ids")
+    idfiles.write(read_table(spark, sf_dir, "documents"), tokenizer, path, end=2)
+    return idfiles.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_tree": op1_shard_tree,
     "op2_bpe": op2_bpe,
@@ -104,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxscore": op8_maxscore,
     "op9_warc": op9_warc,
     "op10_order_minhash": op10_order_minhash,
+    "op13_id_files": op13_id_files,
 }
 #: Trained models (4, 6), a tokenizer (2) and sketches (10) have no SQL; tests hold them against a library, brute force and held-out rows.
 ORACLES: dict[str, str] = {
