@@ -1,11 +1,11 @@
-"""The training-data queries op1..op10 and the SQL that says the same thing."""
+"""The training-data queries op1..op13 and the SQL that says the same thing."""
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, ego, idfiles, langid, maxscore, minhash, mixing, oracles, pii, quality, sharding, warc
+from . import bpe, ego, idfiles, langid, lexical, maxscore, minhash, mixing, oracles, pii, quality, repair, sharding, warc
 from .common import read_table, shared_folder
 
 
@@ -93,6 +93,17 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(read_table(spark, sf_dir, "documents"))
 
 
+def op11_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the repaired text of all conversations, after planted damage."""
+    rows = read_table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(rows), ids=rows)
+
+
+def op12_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 20)
+
+
 def op13_id_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """The token ids of all documents, each closed by id 2, written as files with a shared dictionary and read back."""
     if tokenizer is None:
@@ -114,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxscore": op8_maxscore,
     "op9_warc": op9_warc,
     "op10_order_minhash": op10_order_minhash,
+    "op11_four_russians": op11_four_russians,
+    "op12_geometric_blocks": op12_geometric_blocks,
     "op13_id_files": op13_id_files,
 }
 #: Trained models (4, 6), a tokenizer (2) and sketches (10) have no SQL; tests hold them against a library, brute force and held-out rows.
@@ -124,6 +137,8 @@ ORACLES: dict[str, str] = {
     "op7_mixing": oracles.op7(MIX, 1.0, 4),
     "op8_maxscore": oracles.OP8,
     "op9_warc": oracles.OP9,
+    "op11_four_russians": oracles.op11(),
+    "op12_geometric_blocks": oracles.OP12,
 }
 
 

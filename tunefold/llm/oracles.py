@@ -109,3 +109,48 @@ d AS (SELECT page_id, n, {' || '.join(f"{BASE32}[(('0x' || substr(h, {10 * part
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
 SELECT page_id, n::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
 """
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12 = f"""
+WITH q AS (SELECT item_id, w, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS w FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)) GROUP BY ALL),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{TERM}') AS t FROM documents),
+c AS (SELECT count(*) FILTER (len(t) > 0)::BIGINT AS n, sum(len(t))::BIGINT AS l FROM d),
+p AS (SELECT r, w, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY ALL),
+v AS (SELECT w, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY w, n),
+s AS (SELECT item_id, doc_id, sum(times * weight * (1000000000 * tf // (1000 * tf + 12 * (75 + 25 * len(t) * n // l))))::BIGINT AS score FROM q JOIN p USING (w) JOIN v USING (w) JOIN d USING (r), c GROUP BY item_id, r, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def op11() -> str:
+    """Faults, then the cheapest edits row by row: per state the least `cost || letters`, with costs of nine digits."""
+    add = lambda x, c, letter: f"(lpad((left({x}, 9)::INT + {c})::VARCHAR, 9, '0') || substr({x}, 10) || '{letter}')"
+    closed = lambda n0, n1, n2, n3: f"least({n2}, {add(n0, 5, 'I')}, {add(n1, 5, 'I')}, {add(n3, 5, 'I')})"
+    from_any = "least(b0, b1, b3)"
+    return f"""
+WITH RECURSIVE t AS (SELECT [list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS step),
+c AS (SELECT conv_id, turn, coalesce('v' || conv_id, 'null') AS key, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS named FROM conversations),
+f AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(named) + 1), lambda i: ascii(named[i])::BIGINT)), lambda a, x: xor(a >> 8, step[(xor(a, x) & 255) + 1])), 4294967295) % 20 AS fault FROM c, t),
+x AS (SELECT key, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE fault <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, md5(text)) AS i, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS e FROM x),
+s AS (SELECT *, CASE WHEN e = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(e, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS bad,
+    i > 1 AND lag(initial) OVER (PARTITION BY key ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM o),
+y AS (SELECT *, bad IN ('blank', 'duplicate') AS gone, CASE WHEN bad = 'truncated' THEN 5 ELSE 0 END AS p FROM s),
+n AS (SELECT key, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (bad = 'blank') AS blank, count(*) FILTER (bad = 'duplicate') AS duplicate,
+    count(*) FILTER (bad = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM y GROUP BY key),
+w(key, i, b0, b1, b2, b3) AS (SELECT key, 0::BIGINT, '000000000', NULL::VARCHAR, '000000005I', '000000010II' FROM n UNION ALL
+    SELECT key, i, n0, n1, m2, least(n3, {add('m2', 5, 'I')}) FROM (SELECT *, {closed('n0', 'n1', 'n2', 'n3')} AS m2 FROM (SELECT w.key, y.i, {add('b0', 2, 'D')} AS n0,
+        least({add('b1', 2, 'D')}, CASE WHEN NOT gone AND initial = 's' THEN {add('b0', 'p', 'K')} END) AS n1,
+        least({add('b2', 2, 'D')}, CASE WHEN NOT gone THEN {add(from_any, 'p + 1', 'R')} END, CASE WHEN NOT gone AND initial = 'u' THEN {add(from_any, 'p', 'K')} END) AS n2,
+        least({add('b3', 2, 'D')}, CASE WHEN NOT gone THEN {add('b2', 'p + 1', 'R')} END, CASE WHEN NOT gone AND initial = 'a' THEN {add('b2', 'p', 'K')} END) AS n3
+        FROM w JOIN y ON y.key = w.key AND y.i = w.i + 1))),
+z AS (SELECT w.key, left(least(b0, b3), 9)::BIGINT AS cost, substr(least(b0, b3), 10) AS audit FROM w JOIN n ON n.key = w.key AND n.n = w.i),
+l AS (SELECT key, j, audit[j] AS letter FROM (SELECT key, audit, unnest(range(1, length(audit) + 1)) AS j FROM z)),
+k AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY key ORDER BY j) AS i, count(*) FILTER (letter <> 'D') OVER (PARTITION BY key ORDER BY j) AS place FROM l),
+h AS (SELECT k.key, k.j, k.letter, k.place, y.role, y.text, max(CASE WHEN place = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY k.key) AS first FROM k LEFT JOIN y ON y.key = k.key AND y.i = k.i),
+r AS (SELECT key, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - first) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS lines FROM h WHERE letter <> 'D' GROUP BY key),
+d AS (SELECT DISTINCT conv_id, key FROM c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+    coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256 FROM d LEFT JOIN n USING (key) LEFT JOIN z USING (key) LEFT JOIN r USING (key)
+"""
