@@ -19,8 +19,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def rows(df, *cols):
-    """Collected rows as sorted tuples."""
-    return sorted([tuple(r[c] for c in cols) for r in df.collect()], key=lambda t: tuple((x is None, x) for x in t))

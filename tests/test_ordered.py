@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from conftest import rows
+from table_rows import rows
 from tunefold.operators import asof, intervals as I
 from tunefold.operators.ordered import exact_quantile, halo, hash_rank, islands, sequence
 from tunefold.functions.hashing import hash_key

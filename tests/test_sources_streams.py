@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from table_rows import rows
 from tunefold.operators import behavior as B, signals as SG
 from tunefold.sources import files as S
 from tunefold.streaming import streams as ST

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from table_rows import rows
 from tunefold.functions import special
 from tunefold.operators import egocentric as E, grid as G, kernels as KR, nulls as N, pairs as P, profiles as PR, signals as SG, smoothing as SM, spectral as SP, tuning as T
 
