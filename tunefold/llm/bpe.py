@@ -2,31 +2,30 @@
 
 A word is held as its parts (one entry per boundary) and the merge rank of every pair of neighbours. The smallest rank,
 the leftmost of equal ones, is found by a scan; its boundary is deleted and the ranks of its two neighbours are looked up
-again. Words longer than SHORT parts keep the same order of merges with a heap, so a text without spaces is not quadratic.
-Ranks belong to pairs of ids, as in the merge list, not to the joined bytes.
+again. Short words of about a length are rows of one array and take each step together. Words longer than SHORT parts keep
+the same order of merges with a heap, so a text without spaces is not quadratic. Ranks belong to pairs of ids, as in the
+merge list, not to the joined bytes.
 """
 from __future__ import annotations
 
 import functools
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, types as T
 
+from . import split
 from .common import carried, ship
+from .mapped import slices
 
-#: The public byte-level split of a text into words; White_Space is spelled out for one meaning in every library.
-SPACE = r"\t\n\v\f\r\x20\x85\xa0  -     　"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\x20?\p{{L}}+|\x20?\p{{N}}+|\x20?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-
-NONE = 1 << 62
+NONE = 1 << 30
 SHORT = 128
-CACHED = 60_000
-SLICE_BYTES = 2 << 20
+#: Lengths of words, in bytes, that are worked on together, many words at once.
+WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32)
 
 
 def byte_names() -> list[str]:
@@ -41,23 +40,6 @@ def byte_names() -> list[str]:
     return names
 
 
-class Words(dict):
-    """word -> ids as packed int32, filled on demand. Full, it becomes the older half, from which words in use come back."""
-
-    def __init__(self, coder: Coder) -> None:
-        super().__init__()
-        self.coder, self.older = coder, {}
-
-    def __missing__(self, word: str) -> bytes:
-        packed = self.older.get(word) or np.array(self.coder.word(word.encode()), np.int32).tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHED:
-                self.older = dict(self)
-                self.clear()
-            self[word] = packed
-        return packed
-
-
 class Coder:
     """Merges and vocabulary of a byte-level tokenizer file (JSON)."""
 
@@ -81,9 +63,15 @@ class Coder:
         for i, t in table.items():
             self.bytes[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
         self.added = {a["content"]: np.array([a["id"]], np.int32).tobytes() for a in added if a["content"]}
-        self.cut = regex.compile("(" + "|".join(regex.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.split = regex.compile(WORDS).findall
-        self.words = Words(self)
+        self.cut = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        keys = sorted(self.pairs)
+        self.keys, self.ranks = np.array(keys, np.int64), np.array([self.pairs[k][0] for k in keys], np.int32)
+        self.new = np.zeros(len(model["merges"]), np.int32)
+        self.new[self.ranks] = [self.pairs[k][1] for k in keys]
+        self.bytes_first = np.array(self.first, np.int32)
+        self.table = split.Table(self.many)
+        sizes = np.array([len(b) for b in self.bytes])
+        self.blob, self.size, self.place = np.frombuffer(b"".join(self.bytes), np.uint8), sizes, np.cumsum(sizes) - sizes
 
     def word(self, word: bytes) -> list[int]:
         parts = [self.first[b] for b in word]
@@ -122,23 +110,92 @@ class Coder:
                     heapq.heappush(heap, (p[0], a, p[1]))
         return [p for p, g in zip(parts, gone) if not g]
 
+    def ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of neighbours, NONE for those that never merge (or where one is missing, -1)."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        return np.where(self.keys[at] == key, self.ranks[at], NONE) if len(self.keys) else np.full(key.shape, NONE, np.int32)
+
+    def merged(self, parts: np.ndarray) -> np.ndarray:
+        """The merges of many short words, a row each, filled up with -1: one step deletes a boundary in every row that has one."""
+        out, rows = parts.copy(), np.arange(len(parts))
+        ranks = self.ranked(parts[:, :-1], parts[:, 1:])
+        while len(rows):
+            best = ranks.argmin(axis=1)
+            every = np.arange(len(rows))
+            rank = ranks[every, best]
+            alive = rank < NONE
+            if not alive.all():
+                out[rows[~alive]] = parts[~alive]
+                rows, parts, ranks, best, rank = rows[alive], parts[alive], ranks[alive], best[alive], rank[alive]
+                every = every[: len(rows)]
+                if not len(rows):
+                    break
+            parts[every, best] = self.new[rank]
+            behind = np.arange(parts.shape[1] - 1) > best[:, None]
+            parts[:, :-1] = np.where(behind, parts[:, 1:], parts[:, :-1])
+            parts[:, -1] = -1
+            ranks[:, :-1] = np.where(np.arange(ranks.shape[1] - 1) >= best[:, None], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = NONE
+            left = np.flatnonzero(best > 0)
+            ranks[left, best[left] - 1] = self.ranked(parts[left, best[left] - 1], parts[left, best[left]])
+            right = np.flatnonzero(best < ranks.shape[1])
+            ranks[right, best[right]] = self.ranked(parts[right, best[right]], parts[right, best[right] + 1])
+        return out
+
+    def many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin, how many): short words of about a length together, long ones one by one."""
+        coded = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        data, start = np.frombuffer(b"".join(coded), np.uint8), np.cumsum(sizes) - sizes
+        flat, place, many, held = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+        for low, width in zip((0, *WIDTHS), WIDTHS):
+            some = np.flatnonzero((sizes > low) & (sizes <= width))
+            if not len(some):
+                continue
+            at = start[some, None] + np.arange(width)
+            inside = np.arange(width) < sizes[some, None]
+            parts = self.merged(np.where(inside, self.bytes_first[data[np.minimum(at, len(data) - 1)]], -1).astype(np.int32))
+            kept = parts >= 0
+            many[some] = kept.sum(axis=1)
+            flat.append(parts[kept])
+            place[some] = held + np.cumsum(many[some]) - many[some]
+            held += len(flat[-1])
+        for i in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+            flat.append(np.array(self.word(coded[i]), np.int32))
+            place[i], many[i] = held, len(flat[-1])
+            held += len(flat[-1])
+        return np.concatenate(flat) if flat else np.zeros(0, np.int32), place, many
+
+    def encoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many each has). A null text is an empty one. Contents of added tokens are those tokens."""
+        texts = [t or "" for t in texts]
+        if self.cut is None or not any(map(self.cut.search, texts)):
+            return split.encoded(texts, self.table)
+        parts = [(i, p) for i, t in enumerate(texts) for p in self.cut.split(t)]
+        ids, counts = split.encoded(["" if p in self.added else p for _, p in parts], self.table)
+        ends, counts_of, out = np.cumsum(counts), np.zeros(len(texts), np.int64), []
+        for (i, p), a, b in zip(parts, ends - counts, ends):
+            out.append(np.frombuffer(self.added[p], np.int32) if p in self.added else ids[a:b])
+            counts_of[i] += len(out[-1])
+        return np.concatenate(out), counts_of
+
+    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts of ids that lie one after the other; ids outside the vocabulary have none, bytes that are no UTF-8 become U+FFFD."""
+        known = (ids >= 0) & (ids < len(self.size))
+        at = np.where(known, ids, 0)
+        sizes = np.where(known, self.size[at], 0)
+        data = self.blob[split.spans(self.place[at], sizes)].tobytes()
+        stops = np.append(0, np.cumsum(sizes))[np.cumsum(counts)].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops], stops)]
+
     def encode(self, text: str | None) -> bytes:
-        """Ids as packed int32. A null text is an empty one. Contents of added tokens are those tokens."""
-        if not text:
-            return b""
-        get = self.words.__getitem__
-        if self.cut is None or not self.cut.search(text):
-            return b"".join(map(get, self.split(text)))
-        return b"".join(self.added[p] if p in self.added else b"".join(map(get, self.split(p))) for p in self.cut.split(text))
+        """Ids of one text as packed int32."""
+        return self.encoded([text])[0].tobytes()
 
     def decode(self, ids: list[int] | None) -> str:
-        """Text of ids; ids outside the vocabulary have none, bytes that are no UTF-8 become U+FFFD."""
-        table, top = self.bytes, len(self.bytes)
-        try:
-            joined = b"".join(map(table.__getitem__, ids or ()))
-        except IndexError:
-            joined = b"".join(table[i] for i in ids if 0 <= i < top)
-        return joined.decode("utf-8", "replace")
+        """Text of one list of ids."""
+        return self.decoded(np.array(ids or [], np.int64), np.array([len(ids or [])]))[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -146,13 +203,6 @@ def coder(text: bytes) -> Coder:
     return Coder(text)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows of about SLICE_BYTES, so that what is made from one run stays small."""
-    rows = max(1, min(batch.num_rows, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes))))
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def _mapped(df: DataFrame, tokenizer: str, source: str, out: str, kind: T.DataType, keep: list[str] | None, make) -> DataFrame:
     names = carried([c for c in df.columns] if keep is None else keep, [out])
     src = df.select(*names, df[source].alias("__source"))
@@ -170,13 +220,13 @@ def _mapped(df: DataFrame, tokenizer: str, source: str, out: str, kind: T.DataTy
 
 
 def _ids(c: Coder, texts: pa.Array) -> pa.Array:
-    packed = [c.encode(t.as_py()) for t in texts]
-    offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+    ids, counts = c.encoded(texts.to_pylist())
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids))
 
 
 def _texts(c: Coder, ids: pa.Array) -> pa.Array:
-    return pa.array([c.decode(i) for i in ids.to_pylist()], pa.string())
+    ids = ids.fill_null([]) if ids.null_count else ids
+    return pa.array(c.decoded(ids.flatten().fill_null(-1).to_numpy().astype(np.int64), np.diff(ids.offsets.to_numpy())), pa.string())
 
 
 def encode(df: DataFrame, tokenizer: str, *, text_col: str = "text", out: str = "token_ids", keep: list[str] | None = None) -> DataFrame:

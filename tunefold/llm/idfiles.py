@@ -8,11 +8,8 @@ successful ones, in order and with the number of ids before each, so what a lost
 """
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
-import os
-import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -25,17 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from .bpe import coder
 from .common import ship
+from .mapped import slices
 
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 MAGIC = b"tuneids1"
 MANIFEST = "_files.json"
 #: Bounds of the sample that the dictionary is trained on, and its size.
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 512, 32_768, 65_536
-#: Limits of a file's frames, of a batch handed to Spark, and of the text that is encoded at a time.
-FILE_BYTES, BATCH_BYTES, PIECE = 128 << 20, 8 << 20, 1 << 17
-#: A text may be cut before a space between two characters that are no white space: no word of the split spans it.
-CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[A-Za-z])")
+#: Limits of a file's frames and of a batch handed to Spark.
+FILE_BYTES, BATCH_BYTES = 128 << 20, 8 << 20
 NULL = -(1 << 63)
 INDEX = np.dtype([("doc", "<i8"), ("end", "<i8"), ("n", "<i8"), ("known", "u1")])
 
@@ -44,54 +41,6 @@ def _place(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-@functools.lru_cache(maxsize=2)
-def tokenizer(text: bytes):
-    """The library's tokenizer of a file, without truncation and padding; its own threads stay off, tasks are the parallelism."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    t = Tokenizer.from_str(text.decode())
-    t.no_truncation()
-    t.no_padding()
-    return t
-
-
-def pieces(text: str, most: int = PIECE) -> list[str]:
-    """A text cut where that changes no id, so that little more than `most` characters are encoded at a time."""
-    out, at = [], 0
-    while len(text) - at > most and (cut := CUT.search(text, at + most)):
-        out.append(text[at:cut.start()])
-        at = cut.start()
-    return [*out, text[at:]]
-
-
-def encoded(held, texts: list[str | None], end: int | None) -> Iterator[np.ndarray]:
-    """Ids of every text (null: empty), and the id `end` behind them."""
-    batch = getattr(held, "encode_batch_fast", held.encode_batch)
-    rows, waiting, size = [], [], 0
-
-    def flush() -> Iterator[np.ndarray]:
-        got = iter(batch(waiting, add_special_tokens=False))
-        for n in rows:
-            parts = [np.array(next(got).ids, np.uint32) for _ in range(n)]
-            yield np.concatenate([*parts, np.array([] if end is None else [end], np.uint32)])
-
-    for t in texts:
-        parts = pieces(t or "")
-        if len(parts) > 1:
-            yield from flush()
-            rows, waiting, size = [], [], 0
-            ids = [np.array(batch([p], add_special_tokens=False)[0].ids, np.uint32) for p in parts]
-            yield np.concatenate([*ids, np.array([] if end is None else [end], np.uint32)])
-            continue
-        rows.append(len(parts))
-        waiting += parts
-        size += len(parts[0])
-        if size >= PIECE:
-            yield from flush()
-            rows, waiting, size = [], [], 0
-    yield from flush()
-
-
 def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end: int | None = None, out: str = "ids") -> DataFrame:
     """doc_id (long) and the ids of every whole text as little-endian unsigned 32-bit integers, in the partitions and order of df.
 
@@ -101,19 +50,14 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     with open(path, "rb") as f:
         held = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: a few MB whatever the corpus is
 
+    closing = np.array([] if end is None else [end], "<u4").tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(held.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows = encoded(t, part.column(1).to_pylist(), end)
-                done, size, first = [], 0, 0
-                for i, ids in enumerate(rows):
-                    done.append(ids.tobytes())
-                    size += len(done[-1])
-                    if size >= BATCH_BYTES or i + 1 == part.num_rows:
-                        yield pa.RecordBatch.from_arrays([part.column(0).slice(first, len(done)), pa.array(done, pa.binary())], names=["doc_id", out])
-                        first, done, size = i + 1, [], 0
+        c = coder(held.value)
+        for part in (p for batch in batches for p in slices(batch)):
+            ids, counts = c.encoded(part.column(1).to_pylist())
+            data, stops = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([data[a:b] + closing for a, b in zip([0, *stops], stops)], pa.binary())], names=["doc_id", out])
 
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col]).mapInArrow(run, f"doc_id long, {out} binary")
 
