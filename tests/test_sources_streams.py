@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from table_rows import rows
-from tunefold.operators import behavior as B, signals as SG
+from tunefold.operators import behavior as B, signals as SG, tuning as TU
 from tunefold.sources import files as S
 from tunefold.streaming import streams as ST
 
@@ -81,17 +81,49 @@ def test_gradient_matches_numpy(spark):
     assert np.allclose([s for _, s in rows(B.gradient_speed(d, ["k"], "t", "x", "y", width=0.2), "t", "speed")], want)
 
 
-def test_stream_pulses_over_batches(spark, tmp_path):
+def batches(spark, path, schema, parts):
+    """A stream of one file per batch, in the order of parts; times are seconds after 2024."""
+    base = 1704067200
+    for i, part in enumerate(parts):
+        df = spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds(F.col("t") + F.lit(base))).drop("t").coalesce(1)
+        df.write.mode("append").parquet(path)
+        os.utime(max((os.path.join(path, f) for f in os.listdir(path) if f.endswith(".parquet")), key=os.path.getmtime), (1_700_000_000 + i,) * 2)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_stream_pulses_of_overlapping_batches_equal_the_batch_result(spark, tmp_path):
     rng = np.random.default_rng(1)
-    v = [(0, float(i), bool(b)) for i, b in enumerate(rng.random(60) > 0.5)]
-    src = str(tmp_path / "src")
-    os.makedirs(src)
-    for j in range(4):
-        part = spark.createDataFrame(v[15 * j:15 * (j + 1)], "ch INT, t DOUBLE, on BOOLEAN").coalesce(1)
-        part.write.mode("append").parquet(src)
-    # one file per batch, read in the order they were written
-    s = spark.readStream.schema("ch INT, t DOUBLE, on BOOLEAN").option("maxFilesPerTrigger", 1).parquet(src)
-    got = ST.drain(ST.stream_pulses(s, "ch", "t", "on"), str(tmp_path / "w"), mode="append")
-    all_ = spark.createDataFrame(v, "ch INT, t DOUBLE, on BOOLEAN")
+    v = [(k, float(i) + k / 10, bool(b)) for k in (0, 1) for i, b in enumerate(rng.random(60) > 0.5)]
+    late_first = [[r for r in v if r[1] < 40 and int(r[1]) % 2], [r for r in v if r[1] < 40 and not int(r[1]) % 2] + [(None, 3.0, True), (0, 4.5, None)], [r for r in v if r[1] >= 40], [(1, 1e6, False)]]
+    s = batches(spark, str(tmp_path / "src"), "ch INT, t DOUBLE, on BOOLEAN", late_first)
+    got = ST.drain(ST.stream_pulses(s, "ch", "ts", "on", late="1 hour"), str(tmp_path / "w"), mode="append")
+    all_ = spark.createDataFrame(v + [(1, 1e6, False)], "ch INT, t DOUBLE, on BOOLEAN")
     want = SG.pulses(SG.threshold_edges(all_, ["ch"], "t", F.col("on"), width=7.0), ["ch"], "t", width=7.0)
-    assert rows(got, "start_s", "end_s") == rows(want, "start_s", "end_s")
+    to_s = lambda c: F.round((F.col(c) - 1704067200000000) / 1e6, 3).alias(c)
+    assert rows(got.select("ch", to_s("start_us"), to_s("end_us")), "ch", "start_us", "end_us") == rows(want.select("ch", F.round("start_s", 3).alias("s"), F.round("end_s", 3).alias("e")), "ch", "s", "e")
+
+
+def test_rows_behind_the_watermark_do_not_flip_the_level(spark, tmp_path):
+    parts = [[(0, 0.0, False), (0, 10.0, True)], [(0, 20.0, False), (0, 90.0, False)], [(0, 5.0, True), (0, 200.0, False)], [(0, 400.0, False)]]
+    s = batches(spark, str(tmp_path / "src"), "ch INT, t DOUBLE, on BOOLEAN", parts)
+    got = ST.drain(ST.stream_pulses(s, "ch", "ts", "on", late="5 seconds"), str(tmp_path / "w"), mode="append")
+    assert [(r.start_us % 10**9, r.end_us % 10**9) for r in got.collect()] == [(10_000_000 + 67200 * 10**6 % 10**9, 20_000_000 + 67200 * 10**6 % 10**9)]
+
+
+def test_stream_rates_of_overlapping_batches_equal_the_curve(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    frames = [(k, float(t), float(a)) for k in (0, 1) for t, a in zip(np.sort(rng.choice(4000, 150, replace=False)) + k / 4, rng.random(150) * 360)]
+    spikes = [(k, float(t) + 0.5, int(u)) for k in (0, 1) for t, u in zip(rng.choice(4000, 300), rng.integers(0, 3, 300))]
+    halves = lambda v: [[r for r in v if int(r[1]) % 3 and r[1] < 2500], [r for r in v if not int(r[1]) % 3 or r[1] >= 2500]]
+    last = lambda row: [[row]]
+    f = batches(spark, str(tmp_path / "f"), "session INT, t DOUBLE, angle DOUBLE", halves(frames) + last((9, 1e6, 0.0)))
+    s = batches(spark, str(tmp_path / "s"), "session INT, t DOUBLE, unit LONG", halves(spikes) + last((9, 1e6, 0)))
+    end = lambda d, n: ST.closed(d, str(tmp_path / n), "ts", "session")
+    near = ST.drain(ST.stream_nearest(s, f, "session", "ts", "unit", "angle", late="2 hours"), str(tmp_path / "n"), mode="append")
+    near.write.parquet(str(tmp_path / "hit"))
+    hit = spark.readStream.schema(near.schema).parquet(str(tmp_path / "hit"))
+    whole = spark.readStream.schema(spark.read.parquet(str(tmp_path / "f")).schema).parquet(str(tmp_path / "f"))
+    w = ST.drain(ST.stream_tuning(end(hit, "h2"), end(whole, "f3"), "session", "ts", "angle", 12, 2.0, window="10 minutes", late="2 hours"), str(tmp_path / "r"), mode="append")
+    want = TU.tuning_curve(spark.createDataFrame(spikes, "session INT, t DOUBLE, unit LONG"), spark.createDataFrame(frames, "session INT, t DOUBLE, angle DOUBLE"), ["session"], ["unit"], t="t", ft="t", angle="angle", n=12, fs=2.0, width=600.0)
+    cols = ("session", "unit", "bin", "n_spikes", "occ_s", "rate_hz")
+    assert rows(ST.rates(w, "session", 12).filter("session < 9"), *cols) == rows(want, *cols) and near.count() == len(spikes)

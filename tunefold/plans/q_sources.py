@@ -143,16 +143,30 @@ def ev_stream(spark, sf):
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), ((us - F.lit(R.EPOCH_US)) / F.lit(1e6)).alias("t"), "user_id", (F.col("user_id") % 8).cast("int").alias("session"), "event_type", "value")
 
 
+def seconds(us):
+    return R.rnd((F.col(us) - F.lit(R.EPOCH_US)) / F.lit(1e6))
+
+
 @query("T01_stream_pulses", "SELECT session, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s FROM r_pul")
 def t01(spark, sf):
-    s = ST.stream_pulses(ev_stream(spark, sf).withColumn("on", F.col("value") > 40), "session", "t", "on")
-    return ST.drain(s, S.scratch(spark, "t01"), mode="append").select("session", R.rnd("start_s").alias("start_s"), R.rnd("end_s").alias("end_s"))
+    path = S.scratch(spark, "t01")
+    e = ST.closed(ev_stream(spark, sf).select("session", "ts", (F.col("value") > 40).alias("on")), path, "ts", "session")
+    return ST.drain(ST.stream_pulses(e, "session", "ts", "on"), path, mode="append").select("session", seconds("start_us").alias("start_s"), seconds("end_us").alias("end_s"))
 
 
-@query("T02_stream_tuning", "SELECT session, CAST(floor((value * CAST(7.2 AS DOUBLE)) % CAST(360 AS DOUBLE) / 12) AS INTEGER) AS bin, count(*) AS n FROM r_ev GROUP BY 1, 2")
+@query("T02_stream_tuning", "SELECT session, unit_id, bin, n_spikes, round(occ_s, 6) AS occ_s, round(rate_hz, 9) AS rate_hz FROM r_tc")
 def t02(spark, sf):
-    s = ST.stream_tuning(ev_stream(spark, sf).withColumn("a", (F.col("value") * 7.2) % F.lit(360.0)), ["session"], "a", 30)
-    return ST.drain(s, S.scratch(spark, "t02"), mode="update", keys=["session", "bin"])
+    from .q_tuning import FS
+    path, e = S.scratch(spark, "t02"), ev_stream(spark, sf)
+    frames = e.filter("event_type = 'view'").select("session", "ts", ((F.col("value") * 7.2) % F.lit(360.0)).alias("angle"))
+    spikes = e.filter(F.col("event_type").isin("click", "purchase", "error")).select("session", "ts", F.col("user_id").alias("unit"))
+    frames, spikes = ST.closed(frames, f"{path}/f", "ts", "session"), ST.closed(spikes, f"{path}/s", "ts", "session")
+    near = ST.drain(ST.stream_nearest(spikes, frames, "session", "ts", "unit", "angle", horizon_s=90 * 86400.0), f"{path}/near", mode="append")
+    near.write.parquet(f"{path}/near.parquet")
+    hit = spark.readStream.schema(near.schema).parquet(f"{path}/near.parquet")
+    w = ST.drain(ST.stream_tuning(ST.closed(hit, f"{path}/h", "ts", "session"), frames, "session", "ts", "angle", 30, FS, window="1 day"), f"{path}/rate", mode="append")
+    out = ST.rates(w, "session", 30)
+    return out.select("session", F.col("unit").alias("unit_id"), "bin", "n_spikes", R.rnd("occ_s").alias("occ_s"), R.rnd("rate_hz", 9).alias("rate_hz"))
 
 
 @query("T03_stream_trial_counts", "SELECT session, trial_id, count(*) AS n FROM r_hits GROUP BY 1, 2")
