@@ -5,6 +5,7 @@ import re
 import zlib
 
 import public_tokenizers
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -151,3 +152,18 @@ def test_personal_data_stays_in_the_engine(spark, sf, docs_of):
     plan = catalog.op5_pii(spark, sf)._jdf.queryExecution().executedPlan().toString() + catalog.op7_mixing(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert pii.find(docs_of(["x"]).limit(0)).count() == 0
+
+
+def test_account_codes_are_the_same_in_sql(spark, tmp_path):
+    code = "DE89370400440532013000"
+    texts = [code, f"iban {code} BIC COBADEFF", f"{code} Bank", f"{code} und 12 mehr", f"{code}1 no", f"x{code}", f"{code}-7", f"{code}{code}", f"{code} {code} {code}", f"AA00 {code}", "GB82 WEST 1234 5698 7654 32",
+             "GB82 WEST 1234 5698 7654 32 IBAN XX12 3456", "invoice NO9386011117947", "NO9386011117947 order", "QQ12 3456 7890 1234 5678", "DE89 " * 40, None, "", f"konto:{code},{code};{code}", "FR14 2004 1010 0505 0001 3M02 606 and FR1420041010050500013M02606"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["spans"], r["base_sha256"]) for r in catalog.op5_pii(spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = c.execute(catalog.oracle_sql()["op5_pii"])
+    names = [d[0] for d in cur.description]
+    want = {r[names.index("doc_id")]: (r[names.index("spans")], r[names.index("base_sha256")]) for r in cur.fetchall()}
+    assert got == want and sum("iban" in s for s, _ in got.values()) >= 10

@@ -41,9 +41,9 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(k.c, e.vec_id) AS
 FROM embeddings e LEFT JOIN k ON k.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
-#: The base patterns as they are defined, and the further kinds, in the order of the output.
+#: The base patterns as they are defined, and the further kinds, in the order of the output; of iban only how a code begins.
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-            "iban": r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}"}
+            "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}"}
 
 
 def op5() -> str:
@@ -52,6 +52,16 @@ def op5() -> str:
         ctes.append(f"{k}_m AS (SELECT r, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d)")
         ctes.append(f"""{k}_u AS (SELECT r, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'at': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
             'm': m[i], 'before': g[i], 'after': g[i + 1]}})) AS s FROM {k}_m WHERE len(m) > 0)""")
+    sizes = " ".join(f"WHEN left(tail, 2) IN ({', '.join(repr(c) for c in cs.split())}) THEN {n}" for n, cs in pii.LENGTHS.items())
+    code_of = "'^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])"
+    # where a code begins: its country's length if a word ends there, else the longest run; then from left to right without overlap
+    ctes += ["iban_q AS (SELECT r, s.at::BIGINT AS pos, substr(t, s.at::BIGINT + 1, 80) AS tail FROM iban_u JOIN d USING (r))",
+             f"iban_e AS (SELECT *, regexp_extract(tail, {code_of}{{' || (CASE {sizes} ELSE 99 END - 4) || '}}') AS exact, regexp_extract(tail, {code_of}{{11,30}}') AS longest FROM iban_q)",
+             "iban_x AS (SELECT r, pos, row_number() OVER (PARTITION BY r ORDER BY pos) AS k, CASE WHEN exact <> '' AND NOT regexp_matches(substr(tail, length(exact) + 1, 1), '[A-Za-z0-9-]') THEN exact ELSE longest END AS m FROM iban_e)",
+             """iban_k(r, k, pos, m, done) AS (SELECT r, 0::BIGINT, -1::BIGINT, '', 0::BIGINT FROM iban_x WHERE k = 1 UNION ALL
+            SELECT x.r, x.k, x.pos, CASE WHEN x.pos >= c.done THEN x.m ELSE '' END, CASE WHEN x.pos >= c.done THEN greatest(c.done, x.pos + length(x.m)) ELSE c.done END FROM iban_k c JOIN iban_x x ON x.r = c.r AND x.k = c.k + 1)""",
+             "iban_n AS (SELECT *, coalesce(lag(pos + length(m)) OVER w, 0) AS was, coalesce(lead(pos) OVER w, 1::BIGINT << 31) AS next FROM iban_k WHERE m <> '' WINDOW w AS (PARTITION BY r ORDER BY pos))",
+             """iban_v AS (SELECT r, {'at': pos, 'm': m, 'before': substr(t, was + 1, pos - was), 'after': substr(t, pos + length(m) + 1, next - pos - length(m))} AS s FROM iban_n JOIN d USING (r))"""]
     digits = "regexp_replace(s.m, '[^0-9]', '', 'g')"
     luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN (reverse({digits})[i])::INT ELSE (reverse({digits})[i])::INT * 2 % 10 + (reverse({digits})[i])::INT // 5 END)) % 10 = 0"
     code = "replace(s.m, ' ', '')"
@@ -63,11 +73,11 @@ def op5() -> str:
     score = lambda k: f"{words[k].start} + CASE WHEN regexp_matches({near}, '\\b(?:{words[k].words})') THEN 0.3 ELSE 0.0 END - CASE WHEN regexp_matches({near}, '\\b(?:{words[k].against})') THEN 0.2 ELSE 0.0 END >= {pii.SURE}"
     rules = {"email": "true", "ip": "len(list_filter(string_split(s.m, '.'), lambda x: x::HUGEINT > 255)) = 0", "card": f"length({digits}) BETWEEN 12 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 9 AND 15",
              "iban": f"{alone} AND length({code}) BETWEEN 15 AND 34 AND {mod97} AND {score('iban')}", "ssn": f"{alone} AND NOT regexp_matches(s.m, '^(000|666|9)|-00-|-0000$') AND {score('ssn')}"}
-    parts = " UNION ALL ".join(f"SELECT r, '{k}' AS kind, {i} AS rank, s.at AS a, s.at + length(s.m) AS b FROM {k}_u WHERE {rules[k]}" for i, k in enumerate(PATTERNS))
+    parts = " UNION ALL ".join(f"SELECT r, '{k}' AS kind, {i} AS rank, s.at AS a, s.at + length(s.m) AS b FROM {'iban_v' if k == 'iban' else k + '_u'} WHERE {rules[k]}" for i, k in enumerate(PATTERNS))
     ctes.append(f"f AS ({parts})")
     ctes.append("j AS (SELECT r, count(*) FILTER (kind = 'email') AS e, count(*) FILTER (kind = 'ip') AS i, count(*) FILTER (kind = 'card') AS c, count(*) FILTER (kind = 'phone') AS p, "
                 "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < 4) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans FROM f GROUP BY r)")
-    return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (r)"
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\nSELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (r)"
 
 
 def op7(weights: dict, share: float, epochs: int) -> str:
