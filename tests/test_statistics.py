@@ -1,4 +1,5 @@
 """Hand-computed and brute-force checks of statistics, grids, nulls and regressions."""
+import hashlib
 import itertools
 import math
 
@@ -321,3 +322,41 @@ def test_cells_beyond_two_bytes_stay_apart(spark):
     dim = d.select("k", "y", "x")
     got = sorted((r["y"], r["x"], r["v"]) for r in dense.dense_by_table(d, ["k"], dim, ["k"], ["y", "x"], ["v"], []).collect())
     assert got == [(0, 70_000, 1.0), (1, 4_464, 2.0)]
+
+
+def test_blocks_of_replicates_equal_rows_of_replicates(spark):
+    rng = np.random.default_rng(5)
+    tr = [(s, t, t % 2, int(rng.integers(3)), int(rng.integers(5))) for s in (0, 1) for t in range(50)]
+    rs = [(s, u, t, float(rng.integers(1, 5))) for s in (0, 1) for u in range(4) for t in range(50) if rng.random() < 0.3]
+    trials = spark.createDataFrame(tr, "session INT, trial LONG, stratum INT, y INT, x INT")
+    resp = spark.createDataFrame(rs, "session INT, unit INT, trial LONG, response DOUBLE")
+    for side in ("greater", "less"):
+        one, two = (rows(G.cluster_permutation(resp, trials, ["session"], ["unit"], "trial", ny=3, nx=5, z=1.0, n_rep=70, seed=3, alternative=side, **more)[1], "session", "unit", "component", "size", "p")
+                    for more in ({}, {"most_trials": 0}))
+        assert one == two and len(one) > 8
+
+
+def test_shift_sweep_equals_a_plain_loop_in_any_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    frames = [(s, round(float(t), 3), float(a)) for s in (0, 1) for t, a in zip(np.sort(rng.uniform(0, 100, 80)), rng.uniform(0, 360, 80))]
+    spikes = [(s, u, round(float(t), 3)) for s in (0, 1) for u in (4, 7) for t in rng.uniform(0, 100, 30)]
+    epochs = spark.createDataFrame([(s, 0, 0.0, 100.0) for s in (0, 1)], "session INT, epoch_id LONG, start_s DOUBLE, end_s DOUBLE")
+    f, s = spark.createDataFrame(frames, "session INT, t DOUBLE, hd DOUBLE"), spark.createDataFrame(spikes, "session INT, unit INT, t DOUBLE")
+    occ = f.groupBy("session", F.floor(F.col("hd") / 30).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("occ_n"))
+    run = lambda: {(r["rep"], r["session"], r["unit"]): r["null_mvl"] for r in N.hd_shuffle(s, f, epochs, ["session"], ["unit"], t="t", ft="t", angle="hd", occupancy=occ, n_bins=12, n_rep=40, seed=3, width=30.0).collect()}
+    want = {}
+    for k in (0, 1):
+        ft, fa = (np.array([r[i] for r in frames if r[0] == k]) for i in (1, 2))
+        seen = np.bincount((fa // 30).astype(int), minlength=12)
+        edges = np.append(0.0, (ft[1:] + ft[:-1]) / 2)
+        for u in (4, 7):
+            t = np.array([r[2] for r in spikes if r[:2] == (k, u)])
+            for rep in range(40):
+                draw = int(hashlib.md5(f"3|{rep}|{k}|{u}".encode()).hexdigest()[:8], 16) / 2**32
+                b = (fa[np.searchsorted(edges, np.fmod(t + draw * 100.0, 100.0), "right") - 1] // 30).astype(int)
+                r = np.bincount(b, minlength=12) / np.maximum(seen, 1)
+                want[rep, k, u] = abs((r * np.exp(1j * np.radians((np.arange(12) + 0.5) * 30))).sum()) / r.sum()
+    for size in (N.STRETCHES, 9):
+        monkeypatch.setattr(N, "STRETCHES", size)
+        got = run()
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)

@@ -6,8 +6,11 @@ units and replicates spread freely over tasks.
 """
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.angles import col
@@ -86,36 +89,43 @@ def seed_expand(m: DataFrame, keys: list[str], threshold: float, decay: float, n
     return m.filter(F.col("score") >= threshold - decay).join(near, [*keys, "y", "x"], "left_semi")
 
 
+def labelled(mask: np.ndarray, offsets: list[tuple[int, int]], wrap_x: bool) -> np.ndarray:
+    """(maps, y, x) smallest flat cell of the component each masked cell belongs to; ny * nx elsewhere."""
+    n, ny, nx = mask.shape
+    big = ny * nx
+    lab = np.where(mask, np.arange(big).reshape(ny, nx), big)
+    while True:
+        pad = np.pad(lab, ((0, 0), (2, 2), (0, 0)), constant_values=big)
+        new = lab
+        for dy, dx in offsets:
+            s = pad[:, 2 + dy:2 + dy + ny, :]
+            if wrap_x:
+                s = np.roll(s, -dx, axis=2)
+            else:
+                s = np.pad(s, ((0, 0), (0, 0), (2, 2)), constant_values=big)[:, :, 2 + dx:2 + dx + nx]
+            new = np.minimum(new, s)
+        new = np.where(mask, new, big)
+        # follow labels to their own label, which shortens long chains
+        ext = np.concatenate([new.reshape(n, -1), np.full((n, 1), big)], axis=1)
+        new = np.take_along_axis(ext, new.reshape(n, -1), axis=1).reshape(lab.shape)
+        if np.array_equal(new, lab):
+            return lab
+        lab = new
+
+
 def label_udf(ny: int, nx: int, offsets: list[tuple[int, int]], wrap_x: bool):
     """Arrow UDF: flat candidate cells of a map -> smallest flat cell of the component each one belongs to."""
     @F.pandas_udf("array<int>")
     def label(cells: pd.Series) -> pd.Series:
+        if not len(cells):
+            return pd.Series([], dtype=object)
         sizes = np.array([len(c) for c in cells])
         rows = np.repeat(np.arange(len(cells)), sizes)
-        flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in cells]) if len(cells) else np.zeros(0, np.int64)
-        big = ny * nx
-        lab = np.full((len(cells), ny, nx), big, dtype=np.int64)
-        lab.reshape(len(cells), -1)[rows, flat] = flat
-        mask = lab < big
-        while True:
-            pad = np.pad(lab, ((0, 0), (2, 2), (0, 0)), constant_values=big)
-            new = lab
-            for dy, dx in offsets:
-                s = pad[:, 2 + dy:2 + dy + ny, :]
-                if wrap_x:
-                    s = np.roll(s, -dx, axis=2)
-                else:
-                    s = np.pad(s, ((0, 0), (0, 0), (2, 2)), constant_values=big)[:, :, 2 + dx:2 + dx + nx]
-                new = np.minimum(new, s)
-            new = np.where(mask, new, big)
-            # follow labels to their own label, which shortens long chains
-            ext = np.concatenate([new.reshape(len(cells), -1), np.full((len(cells), 1), big)], axis=1)
-            new = np.take_along_axis(ext, new.reshape(len(cells), -1), axis=1).reshape(lab.shape)
-            if np.array_equal(new, lab):
-                break
-            lab = new
-        out = lab.reshape(len(cells), -1)[rows, flat].astype(np.int32)
-        return pd.Series(np.split(out, np.cumsum(sizes)[:-1])) if len(cells) else pd.Series([], dtype=object)
+        flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in cells])
+        mask = np.zeros((len(cells), ny * nx), bool)
+        mask[rows, flat] = True
+        out = labelled(mask.reshape(-1, ny, nx), offsets, wrap_x).reshape(len(cells), -1)[rows, flat].astype(np.int32)
+        return pd.Series(np.split(out, np.cumsum(sizes)[:-1]))
     return label
 
 
@@ -204,21 +214,81 @@ def permute_trials(trials: DataFrame, session: list[str], trial: str, stratum: s
     return h.join(base.select(*session, stratum, "_r", "y", "x"), [*session, stratum, "_r"]).select("rep", *session, stratum, trial, "y", "x")
 
 
-def cluster_permutation(responses: DataFrame, trials: DataFrame, session: list[str], unit: list[str], trial: str, *, ny: int, nx: int,
-                        z: float = 1.5, alpha: float = 0.05, n_rep: int = 10_000, seed: int = 0, stratum: str = "stratum",
-                        alternative: str = "greater", wrap_x: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Clusters with p from the per-unit null of the largest cluster mass. Returns (cells, clusters).
+#: A session's trials that one task may hold, units that share its permutations, and replicates worked on at a time.
+MOST_TRIALS, UNITS, REPS = 1 << 17, 128, 64
 
-    `responses` holds non-zero responses per unit and trial. A unit's null keeps one number per replicate.
+
+def permuted_cells(trials: list[tuple[np.ndarray, list[bytes], np.ndarray]], n: int, reps: range, seed: int) -> np.ndarray:
+    """(trials x replicates) cell of every trial: per stratum (places, ids as text, cells), all in the order of the ids."""
+    out = np.empty((n, len(reps)), np.int32)
+    for at, ids, cells in trials:
+        for j, r in enumerate(reps):
+            head = f"{seed}|{r}|".encode()
+            h = np.frombuffer(b"".join([hashlib.md5(head + i).digest() for i in ids]), ">u8")[::2]
+            out[at[np.argsort(h, kind="stable")], j] = cells
+    return out
+
+
+def _null_rows(batches, ny: int, nx: int, z: float, n_rep: int, seed: int, sign: float, wrap_x: bool):
+    cells = ny * nx
+    for batch in batches:
+        done = []
+        for row in batch.to_pylist():
+            trials = row["_trials"]
+            place = {t["id"]: i for i, t in enumerate(trials)}
+            strata: dict = {}
+            for i, t in enumerate(trials):
+                strata.setdefault(t["st"], []).append(i)
+            packed = [(np.array(at), [trials[i]["id"].encode() for i in at], np.array([trials[i]["c"] for i in at], np.int32)) for at in strata.values()]
+            units = [(u, np.array([place[r["id"]] for r in u["_resp"]]), np.array([r["v"] for r in u["_resp"]], float)) for u in row["_units"]]
+            refs = [[np.array([c[f] for c in u["_ref"]]) for f in ("c", "n", "m", "s")] for u, _, _ in units]
+            masses = [np.zeros(n_rep) for _ in units]
+            for lo in range(0, n_rep, REPS):
+                reps = range(lo, min(lo + REPS, n_rep))
+                where = permuted_cells(packed, len(trials), reps, seed)
+                for (u, at, v), (c, n, m, s), out in zip(units, refs, masses):
+                    code = where[at] + np.arange(len(reps), dtype=np.int64) * cells
+                    sums = np.bincount(code.ravel(), np.repeat(v, len(reps)), minlength=len(reps) * cells).reshape(len(reps), cells)
+                    score = np.full((len(reps), cells), -np.inf)
+                    value = (sums[:, c] / n - m) / s
+                    score[:, c] = sign * value
+                    mask = score >= z
+                    lab = labelled(mask.reshape(-1, ny, nx), FOUR, wrap_x).reshape(len(reps), cells)
+                    rep, cell = np.nonzero(mask)
+                    mass = np.bincount(rep * cells + lab[rep, cell], score[rep, cell], minlength=len(reps) * cells)
+                    out[reps.start:reps.stop] = mass.reshape(len(reps), cells).max(axis=1)
+            done += [{**u["_key"], "null_masses": m.tolist()} for (u, _, _), m in zip(units, masses)]
+        key = batch.schema.field("_units").type.value_type.field("_key").type
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([*key, pa.field("null_masses", pa.list_(pa.float64()))]))
+
+
+def null_by_blocks(responses: DataFrame, trials: DataFrame, ref: DataFrame, session: list[str], unit: list[str], trial: str, *, ny: int, nx: int, z: float, n_rep: int, seed: int,
+                   stratum: str, alternative: str, wrap_x: bool) -> DataFrame:
+    """(K, null_masses): the largest cluster mass of every replicate, for a block of units of a session at a time.
+
+    A block of units meets the session's trials once; replicates are made inside the task, so no row is multiplied by them.
     """
     K = list(dict.fromkeys([*session, *unit]))
-    placed = responses.join(trials.select(*session, trial, stratum, "y", "x"), [*session, trial])
-    zm = cut_lineage(z_map(placed, trials, session, unit, stratum=stratum))
-    obs = cut_lineage(components(score(zm, alternative).filter(F.col("score") >= z), K, ny, nx, wrap_x=wrap_x))
-    masses = component_mass(obs, K)
+    sign = 1.0 if alternative == "greater" else -1.0
+    cell = (F.col("y") * nx + F.col("x")).cast("int").alias("c")
+    own = responses.groupBy(*K).agg(F.collect_list(F.struct(F.col(trial).cast("string").alias("id"), F.col("response").cast("double").alias("v"))).alias("_resp"))
+    refs = ref.groupBy(*K).agg(F.collect_list(F.struct(cell, F.col("n_trials").cast("double").alias("n"), F.col("null_mean").alias("m"), F.col("null_sd").alias("s"))).alias("_ref"))
+    units = own.join(refs, K).select(*session, F.struct(*K).alias("_key"), "_resp", "_ref")
+    number = units.groupBy(*session).agg(F.ceil(F.count(F.lit(1)) / UNITS).cast("int").alias("_n"))
+    units = units.join(number, session).withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_n")).cast("int"))
+    blocks = units.groupBy(*session, "_block").agg(F.collect_list(F.struct("_key", "_resp", "_ref")).alias("_units"))
+    listed = trials.groupBy(*session).agg(F.sort_array(F.collect_list(F.struct(F.col(stratum).cast("string").alias("st"), F.col(trial).alias("o"), F.col(trial).cast("string").alias("id"), cell))).alias("_trials"))
+    listed = listed.select(*session, F.transform("_trials", lambda t: F.struct(t["st"].alias("st"), t["id"].alias("id"), t["c"].alias("c"))).alias("_trials"))
+    out = ", ".join([*(f"{c} {dict(responses.dtypes)[c]}" for c in K), "null_masses array<double>"])
+    return blocks.join(listed, session).select("_trials", "_units").mapInArrow(lambda it: _null_rows(it, ny, nx, z, n_rep, seed, sign, wrap_x), out)
+
+
+def null_by_rows(responses: DataFrame, trials: DataFrame, ref: DataFrame, session: list[str], unit: list[str], trial: str, *, ny: int, nx: int, z: float, n_rep: int, seed: int,
+                 stratum: str, alternative: str, wrap_x: bool) -> DataFrame:
+    """(rep, K, null_mass) for sessions whose trials no task should hold: one row per replicate and response."""
+    K = list(dict.fromkeys([*session, *unit]))
     perm = permute_trials(trials, session, trial, stratum, n_rep, seed)
     sums = responses.join(perm, [*session, trial]).groupBy("rep", *K, "y", "x").agg(F.sum("response").alias("_sum"))
-    ref = zm.select(*K, "y", "x", "n_trials", "null_mean", "null_sd").filter("null_sd > 0")
     if alternative == "greater":
         # a cell without response is below its mean, so only cells hit in a replicate can pass the threshold
         pm = sums.join(ref, [*K, "y", "x"])
@@ -226,9 +296,30 @@ def cluster_permutation(responses: DataFrame, trials: DataFrame, session: list[s
         pm = replicate(ref, n_rep).join(sums, ["rep", *K, "y", "x"], "left")
     pm = pm.withColumn("z", (F.coalesce("_sum", F.lit(0.0)) / F.col("n_trials") - F.col("null_mean")) / F.col("null_sd"))
     pc = components(score(pm, alternative).filter(F.col("score") >= z).select("rep", *K, "y", "x", "score"), ["rep", *K], ny, nx, wrap_x=wrap_x)
-    null = component_mass(pc, ["rep", *K]).groupBy("rep", *K).agg(F.max("mass").alias("null_mass"))
-    # replicates without any cluster have mass 0 and never exceed a positive observed mass
-    hits = masses.join(null, K).groupBy(*K, "component").agg(F.count_if(F.round("null_mass", 9) >= F.round("mass", 9)).alias("_ge"))
+    return component_mass(pc, ["rep", *K]).groupBy("rep", *K).agg(F.max("mass").alias("null_mass"))
+
+
+def cluster_permutation(responses: DataFrame, trials: DataFrame, session: list[str], unit: list[str], trial: str, *, ny: int, nx: int,
+                        z: float = 1.5, alpha: float = 0.05, n_rep: int = 10_000, seed: int = 0, stratum: str = "stratum",
+                        alternative: str = "greater", wrap_x: bool = True, most_trials: int = MOST_TRIALS) -> tuple[DataFrame, DataFrame]:
+    """Clusters with p from the per-unit null of the largest cluster mass. Returns (cells, clusters).
+
+    `responses` holds non-zero responses per unit and trial. A unit's null keeps one number per replicate. Sessions of more
+    than `most_trials` trials take the way that spreads one session's trials over tasks; both give the same draws.
+    """
+    K = list(dict.fromkeys([*session, *unit]))
+    placed = responses.join(trials.select(*session, trial, stratum, "y", "x"), [*session, trial])
+    zm = cut_lineage(z_map(placed, trials, session, unit, stratum=stratum))
+    obs = cut_lineage(components(score(zm, alternative).filter(F.col("score") >= z), K, ny, nx, wrap_x=wrap_x))
+    masses = component_mass(obs, K)
+    ref = zm.select(*K, "y", "x", "n_trials", "null_mean", "null_sd").filter("null_sd > 0")
+    how = dict(ny=ny, nx=nx, z=z, n_rep=n_rep, seed=seed, stratum=stratum, alternative=alternative, wrap_x=wrap_x)
+    many = trials.groupBy(*session).agg(F.count(F.lit(1)).alias("_t")).filter(F.col("_t") > most_trials).select(*session)
+    small = null_by_blocks(responses.join(many, session, "left_anti"), trials.join(many, session, "left_anti"), ref, session, unit, trial, **how)
+    hits = masses.join(small, K).select(*K, "component", F.size(F.filter("null_masses", lambda x: F.round(x, 9) >= F.round("mass", 9))).cast("long").alias("_ge"))
+    if many.limit(1).count():
+        large = null_by_rows(responses.join(many, session, "left_semi"), trials.join(many, session, "left_semi"), ref, session, unit, trial, **how)
+        hits = hits.union(masses.join(large, K).groupBy(*K, "component").agg(F.count_if(F.round("null_mass", 9) >= F.round("mass", 9)).alias("_ge")))
     clusters = masses.join(hits, [*K, "component"], "left").withColumn("p", (1 + F.coalesce("_ge", F.lit(0))) / F.lit(n_rep + 1.0)).drop("_ge")
     clusters = clusters.withColumn("significant", F.col("p") <= alpha)
     return obs, clusters

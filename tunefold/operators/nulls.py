@@ -1,9 +1,12 @@
 """Null distributions: pairing permutations, circular shifts, bootstraps. All draws are hashes of stable keys."""
 from __future__ import annotations
 
+import hashlib
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.angles import col, cosd, sind
 from ..functions.bins import angle_bin
@@ -119,28 +122,77 @@ def feature_support(frames: DataFrame, epochs: DataFrame, session: list[str], *,
     return f.select(*session, "epoch_id", F.coalesce((F.col("_prev") + F.col("clock_t")) / 2, F.col("clock_start")).alias("left_t"), angle)
 
 
+#: Stretches of the clock and spikes of a bucket that one task should hold, units of a block, and replicates swept at a time.
+STRETCHES, UNITS, REPS = 1 << 18, 64, 128
+
+
+def _swept(batches, n_bins: int, n_rep: int, seed: int):
+    """Per unit and replicate the counts per bin of its shifted spikes that fall into one chunk of the clock."""
+    for batch in batches:
+        key = batch.schema.field("_units").type.value_type.field("_key").type
+        keys, reps, counts = [], [], []
+        for row in range(batch.num_rows):
+            at = {c: batch.column(c)[row] for c in ("_left", "_bin", "_units")}
+            left, bins = at["_left"].values.to_numpy(zero_copy_only=False), at["_bin"].values.to_numpy(zero_copy_only=False).astype(np.int64)
+            hi, length = (batch.column(c)[row].as_py() for c in ("_hi", "_len"))
+            for unit in at["_units"]:
+                name, t = unit["_name"].as_py(), unit["_t"].values.to_numpy(zero_copy_only=False)
+                u = np.array([int(hashlib.md5(f"{seed}|{r}|{name}".encode()).hexdigest()[:8], 16) for r in range(n_rep)]) / 4294967296.0
+                for lo in range(0, n_rep, REPS):
+                    shift = u[lo:lo + REPS]
+                    moved = np.fmod(t[None, :] + shift[:, None] * length, length)
+                    place = np.searchsorted(left, moved, "right") - 1
+                    inside = place >= 0
+                    if hi is not None:
+                        inside &= moved < hi
+                    b = np.where(inside, bins[np.maximum(place, 0)], -1)
+                    rep, spike = np.nonzero(b >= 0)
+                    n = np.bincount(rep * n_bins + b[rep, spike], minlength=len(shift) * n_bins).reshape(len(shift), n_bins)
+                    hit = np.flatnonzero(n.any(axis=1))
+                    keys += [unit["_key"].as_py()] * len(hit)
+                    reps.append(hit + lo)
+                    counts.append(n[hit])
+        counts = np.concatenate(counts) if counts else np.zeros((0, n_bins))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * n_bins), pa.array(counts.astype(np.int64).ravel()))
+        parts = pa.array(keys, key)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps).astype(np.int32) if reps else np.zeros(0, np.int32)), *parts.flatten(), lists], names=["rep", *[f.name for f in key], "_n"])
+
+
 def hd_shuffle(spikes: DataFrame, frames: DataFrame, epochs: DataFrame, session: list[str], unit: list[str], *, t: str, ft: str, angle: str,
                occupancy: DataFrame, n_bins: int, n_rep: int, seed: int, width: float) -> DataFrame:
     """Null vector lengths of circularly shifted spikes on the epoch clock. Epochs without a frame must be dropped before.
 
-    One as-of lookup per shifted spike: frames are first turned into stretches of the epoch clock.
+    Frames are first turned into stretches of the clock, which is cut into chunks of about STRETCHES. Blocks of units meet
+    the chunks of their session, whatever the number of replicates: a task sweeps its replicates over the sorted stretches
+    by binary search and gives counts per bin, so no spike is multiplied before a shuffle.
     """
     from .intervals import to_epoch_clock
-    from .asof import asof_backward
     K = [*session, *unit]
-    s = cut_lineage(to_epoch_clock(spikes, epochs, session, t, id_col="epoch_id", width=width).select(*K, "clock_t"))
+    s = cut_lineage(to_epoch_clock(spikes, epochs, session, t, id_col="epoch_id", width=width).filter(F.col("clock_t").isNotNull()).select(*K, "clock_t"))
     total = epochs.groupBy(*session).agg(F.sum(F.col("end_s") - F.col("start_s")).alias("_len"))
-    r = replicate(s.join(total, session), n_rep)
-    shifted = (F.col("clock_t") + uniform(seed, "rep", *K) * F.col("_len")) % F.col("_len")
-    r = r.select("rep", *K, shifted.alias("clock_t"))
-    support = cut_lineage(feature_support(frames, epochs, session, ft=ft, angle=angle, width=width))
-    hit = asof_backward(r, support, session, "clock_t", "left_t", [angle], width=width)
-    n = hit.filter(F.col(angle).isNotNull()).groupBy("rep", *K, angle_bin(angle, n_bins).alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    support = feature_support(frames, epochs, session, ft=ft, angle=angle, width=width).select(*session, "left_t", F.coalesce(angle_bin(angle, n_bins), F.lit(-1)).cast("int").alias("_b"))
+    support = cut_lineage(support.join(total, session))
+    parts = support.groupBy(*session).agg(F.ceil(F.count(F.lit(1)) / STRETCHES).alias("_p"))
+    chunk = F.floor(F.col("left_t") / F.col("_len") * F.col("_p")).cast("int").alias("_chunk")
+    chunks = support.join(parts, session).groupBy(*session, "_len", chunk).agg(F.sort_array(F.collect_list(F.struct("left_t", "_b"))).alias("_s"))
+    after = F.lead(F.col("_s")[0]["left_t"]).over(Window.partitionBy(*session).orderBy("_chunk"))
+    chunks = chunks.select(*session, "_len", F.col("_s.left_t").alias("_left"), F.col("_s._b").alias("_bin"), after.alias("_hi"))
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in K]).alias("_name")
+    number = s.groupBy(*session).agg(F.ceil(F.count(F.lit(1)) / STRETCHES).alias("_p"), F.ceil(F.count_distinct(*unit) / UNITS).alias("_u"))
+    some = s.join(number, session).withColumn("_block", F.pmod(F.xxhash64(*unit), F.col("_u"))).withColumn("_slice", F.pmod(F.xxhash64("clock_t"), F.col("_p")))
+    units = some.groupBy(*K, "_block", "_slice").agg(F.collect_list("clock_t").alias("_t"))
+    units = units.groupBy(*session, "_block", "_slice").agg(F.collect_list(F.struct(F.struct(*K).alias("_key"), name, "_t")).alias("_units"))
+    types = dict(spikes.dtypes)
+    out = ", ".join(["rep int", *(f"{c} {types[c]}" for c in K), "_n array<long>"])
+    swept = units.join(chunks, session).select("_left", "_bin", "_hi", "_len", "_units").mapInArrow(lambda it: _swept(it, n_bins, n_rep, seed), out)
+    n = swept.groupBy("rep", *K).agg(F.array(*[F.sum(F.col("_n")[b]) for b in range(n_bins)]).alias("_n"))
     # unvisited bins count as one sample, in the shuffle only
-    o = n.join(occupancy, [*session, "bin"], "left")
-    th = (F.col("bin") + 0.5) * (360.0 / n_bins)
-    rate = F.col("_n") / F.coalesce(F.col("occ_n"), F.lit(1))
-    g = o.groupBy("rep", *K).agg(F.sum(rate * cosd(th)).alias("_c"), F.sum(rate * sind(th)).alias("_s"), F.sum(rate).alias("_w"))
+    seen = occupancy.groupBy(*session).agg(F.map_from_entries(F.collect_list(F.struct("bin", "occ_n"))).alias("_occ"))
+    o = n.join(seen, session, "left")
+    rates = F.transform("_n", lambda x, b: x / F.coalesce(F.try_element_at(F.col("_occ"), b), F.lit(1)))
+    angle_of = lambda b: (b + 0.5) * (360.0 / n_bins)
+    add = lambda f: F.aggregate(F.transform("_r", lambda r, b: r * f(b)), F.lit(0.0), lambda x, y: x + y)
+    g = o.withColumn("_r", rates).select("rep", *K, add(lambda b: cosd(angle_of(b))).alias("_c"), add(lambda b: sind(angle_of(b))).alias("_s"), add(lambda b: F.lit(1.0)).alias("_w"))
     return g.select("rep", *K, (F.hypot("_c", "_s") / F.col("_w")).alias("null_mvl"))
 
 

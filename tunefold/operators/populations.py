@@ -26,14 +26,16 @@ def distinct_coverage(mask: DataFrame, keys: list[str]) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct().groupBy("axis", "idx").agg(F.count(F.lit(1)).alias("n_units"))
 
 
-def population_category(units: DataFrame, mapped: DataFrame, qc: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
-    """Exclusive category per unit: absent, failed_qc, none, one or many regions."""
-    n = regions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    j = (units.select(*keys).join(mapped.select(*keys).distinct().withColumn("_m", F.lit(True)), keys, "left")
-         .join(qc.select(*keys, F.col("keep").alias("_q")), keys, "left").join(n, keys, "left"))
-    cat = (F.when(F.col("_m").isNull(), "absent").when(~F.coalesce(F.col("_q"), F.lit(False)), "failed_qc")
-           .when(F.coalesce(F.col("_n"), F.lit(0)) == 0, "none").when(F.col("_n") == 1, "one").otherwise("many"))
-    return j.select(*keys, cat.alias("category"))
+def population_category(units: DataFrame, rows: DataFrame, keys: list[str], *, mapped: Column, region: Column, keep: Column) -> DataFrame:
+    """Exclusive category per unit: absent, failed_qc, none, one or many regions.
+
+    One pass over all rows: `mapped` and `region` are conditions on a row (a unit is mapped if one of its rows is, its regions
+    are counted), `keep` is an aggregate condition on the unit's rows.
+    """
+    seen = rows.groupBy(*keys).agg(F.bool_or(F.coalesce(mapped, F.lit(False))).alias("_m"), keep.alias("_q"), F.count_if(region).alias("_n"))
+    cat = (F.when(~F.coalesce(F.col("_m"), F.lit(False)), "absent").when(~F.coalesce(F.col("_q"), F.lit(False)), "failed_qc")
+           .when(F.col("_n") == 0, "none").when(F.col("_n") == 1, "one").otherwise("many"))
+    return units.select(*keys).join(seen, keys, "left").select(*keys, cat.alias("category"))
 
 
 def fraction_summary(units: DataFrame, group: list[str], flags: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -45,11 +47,12 @@ def fraction_summary(units: DataFrame, group: list[str], flags: dict[str, tuple[
     return units.groupBy(*group).agg(*aggs)
 
 
-def partition_counts(a: DataFrame, b: DataFrame, all_units: DataFrame, keys: list[str]) -> DataFrame:
-    """Units only in a, only in b, in both, in none."""
-    j = (all_units.select(*keys).distinct().join(a.select(*keys).distinct().withColumn("_a", F.lit(True)), keys, "left")
-         .join(b.select(*keys).distinct().withColumn("_b", F.lit(True)), keys, "left"))
-    A, B = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+def partition_counts(all_units: DataFrame, rows: DataFrame, keys: list[str], in_a: Column, in_b: Column) -> DataFrame:
+    """Units only in a, only in b, in both, in none; a unit is in a set if one of its rows meets the set's condition. One pass over all rows."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    seen = rows.groupBy(*keys).agg(F.bool_or(yes(in_a)).alias("_a"), F.bool_or(yes(in_b)).alias("_b"))
+    j = all_units.select(*keys).distinct().join(seen, keys, "left")
+    A, B = yes(F.col("_a")), yes(F.col("_b"))
     return j.groupBy(F.when(A & B, "both").when(A, "only_a").when(B, "only_b").otherwise("none").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 

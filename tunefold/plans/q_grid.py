@@ -185,7 +185,7 @@ def g09(spark, sf):
 
 CTES["r_tr"] = "SELECT session, trial_id, luminance AS stratum, y_idx AS y, x_idx AS x FROM r_trials"
 CTES["r_tresp"] = "SELECT session, unit_id, trial_id, CAST(count(*) AS DOUBLE) AS response FROM r_hits GROUP BY ALL"
-N_REP = 19
+N_REP = 999
 CTES["r_gz"] = """SELECT session, unit_id, y, x, sum(cn) AS nt, sum(m * cn) / sum(cn) AS mu, sqrt(sum(CASE WHEN tot > 1 THEN v * cn * (tot - cn) / (tot - 1) ELSE 0 END)) / sum(cn) AS sd FROM (
    SELECT session, stratum, y, x, count(*) AS cn FROM r_tr GROUP BY ALL) JOIN (SELECT session, stratum, count(*) AS tot FROM r_tr GROUP BY ALL) USING (session, stratum)
    JOIN (SELECT session, unit_id, stratum, sum(response) / any_value(tt) AS m, sum(response ** 2) / any_value(tt) - (sum(response) / any_value(tt)) ** 2 AS v FROM r_tresp JOIN r_tr USING (session, trial_id)

@@ -171,7 +171,7 @@ def g15(spark, sf):
     return r.select("grp", *[R.rnd(c).alias(c) for c in ("ci_low", "ci_high", "defined_fraction")])
 
 
-HREP = 9
+HREP, BREP = 999, 9
 CTES["r_fe"] = "SELECT f.session, f.t, f.hd, e.epoch_id, e.start_s, e.end_s FROM r_frames f JOIN r_epochs e ON e.session = f.session AND f.t >= e.start_s AND f.t < e.end_s"
 CTES["r_ep"] = """SELECT *, coalesce(sum(end_s - start_s) OVER (PARTITION BY session ORDER BY start_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0, sum(end_s - start_s) OVER (PARTITION BY session) AS len
   FROM r_epochs SEMI JOIN r_fe USING (session, epoch_id)"""
@@ -194,7 +194,7 @@ def frame_epochs(spark, sf):
   oc AS (SELECT session, CAST(floor(hd / 12.0) AS INTEGER) AS bin, count(*) AS n FROM r_fe GROUP BY ALL),
   cn AS (SELECT rep, session, unit_id, CAST(floor(hd / 12.0) AS INTEGER) AS bin, count(*) AS k FROM nn GROUP BY ALL),
   rt AS (SELECT c.*, k / CAST(coalesce(oc.n, 1) AS DOUBLE) AS r FROM cn c LEFT JOIN oc ON oc.session = c.session AND oc.bin = c.bin)
-  SELECT rep, session, unit_id, round(sqrt(sum(r * cos(radians((bin + 0.5) * 12))) ** 2 + sum(r * sin(radians((bin + 0.5) * 12))) ** 2) / sum(r), 6) AS null_mvl FROM rt GROUP BY 1, 2, 3""".replace("unnest(range(9)) AS rep", "CAST(unnest(range(9)) AS INTEGER) AS rep"))
+  SELECT rep, session, unit_id, round(sqrt(sum(r * cos(radians((bin + 0.5) * 12))) ** 2 + sum(r * sin(radians((bin + 0.5) * 12))) ** 2) / sum(r), 6) AS null_mvl FROM rt GROUP BY 1, 2, 3""".replace(f"unnest(range({HREP})) AS rep", f"CAST(unnest(range({HREP})) AS INTEGER) AS rep"))
 def g12(spark, sf):
     from ..functions.bins import angle_bin
     f, e = frame_epochs(spark, sf)
@@ -213,7 +213,7 @@ def a45(spark, sf):
   ex AS (SELECT session, CAST(floor(t / 86400) AS BIGINT) AS block, CAST(count(*) FILTER (valid) AS DOUBLE) AS ea, CAST(count(*) AS DOUBLE) AS eb FROM r_frames GROUP BY ALL),
   j AS (SELECT b.session, b.unit_id, b.block, sa, sb, ea, eb FROM b JOIN ex USING (session, block)),
   k AS (SELECT session, block, row_number() OVER (PARTITION BY session ORDER BY block) AS r, count(*) OVER (PARTITION BY session) AS n FROM (SELECT DISTINCT session, block FROM j)),
-  d AS (SELECT rep, session, floor(('0x' || substr(md5('5|' || rep || '|' || session || '|' || r), 1, 8))::UBIGINT / CAST(4294967296 AS DOUBLE) * n) + 1 AS r FROM k, (SELECT unnest(range({HREP})) AS rep)),
+  d AS (SELECT rep, session, floor(('0x' || substr(md5('5|' || rep || '|' || session || '|' || r), 1, 8))::UBIGINT / CAST(4294967296 AS DOUBLE) * n) + 1 AS r FROM k, (SELECT unnest(range({BREP})) AS rep)),
   s AS (SELECT rep, j.session, unit_id, sum(sb) / sum(eb) - sum(sa) / nullif(sum(ea), 0) AS v FROM d JOIN k ON k.session = d.session AND k.r = d.r JOIN j ON j.session = k.session AND j.block = k.block GROUP BY 1, 2, 3),
   o AS (SELECT session, unit_id, sum(sb) / sum(eb) - sum(sa) / nullif(sum(ea), 0) AS v FROM j GROUP BY ALL)
   SELECT o.session, o.unit_id, round(o.v, 6) AS difference_hz, round(quantile_cont(s.v, 0.025), 6) AS ci_low, round(quantile_cont(s.v, 0.975), 6) AS ci_high FROM o JOIN s ON s.session = o.session AND s.unit_id = o.unit_id GROUP BY 1, 2, o.v""")
@@ -221,7 +221,7 @@ def g16(spark, sf):
     day = F.floor(F.col("t") / 86400.0).alias("block")
     b = R.spikes(spark, sf).groupBy("session", "unit_id", day).agg(F.count_if(F.col("spike_id") % 2 == 0).cast("double").alias("spikes_a"), F.count_if(F.col("spike_id") % 2 == 1).cast("double").alias("spikes_b"))
     ex = R.frames(spark, sf).groupBy("session", day).agg(F.count_if("valid").cast("double").alias("exposure_a"), F.count(F.lit(1)).cast("double").alias("exposure_b"))
-    r = N.block_bootstrap(b.join(ex, ["session", "block"]), ["session", "unit_id"], ["session"], n_rep=HREP, seed=5)
+    r = N.block_bootstrap(b.join(ex, ["session", "block"]), ["session", "unit_id"], ["session"], n_rep=BREP, seed=5)
     return r.select("session", "unit_id", *[R.rnd(c).alias(c) for c in ("difference_hz", "ci_low", "ci_high")])
 
 
@@ -250,14 +250,12 @@ def w45(spark, sf):
     return PO.depth_normalize(p, ["p_brand", "shank"], "p_retailprice").select("p_partkey", R.rnd("depth_um").alias("depth_um"), R.rnd("depth_fraction", 7).alias("depth_fraction"))
 
 
-@query("F15_population_category", """SELECT s_suppkey AS unit_id, CASE WHEN m.u IS NULL THEN 'absent' WHEN NOT coalesce(q.keep, false) THEN 'failed_qc' WHEN coalesce(r.n, 0) = 0 THEN 'none' WHEN r.n = 1 THEN 'one' ELSE 'many' END AS category
-  FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey AS u FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.08) m ON m.u = s_suppkey LEFT JOIN (SELECT l_suppkey AS u, avg(l_discount) > 0.0495 AS keep FROM lineitem GROUP BY 1) q ON q.u = s_suppkey
-  LEFT JOIN (SELECT l_suppkey AS u, count(*) AS n FROM lineitem WHERE l_quantity = 50 AND l_tax >= 0.07 GROUP BY 1) r ON r.u = s_suppkey""")
+@query("F15_population_category", """SELECT s_suppkey AS unit_id, CASE WHEN NOT coalesce(m, false) THEN 'absent' WHEN NOT coalesce(keep, false) THEN 'failed_qc' WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'many' END AS category
+  FROM supplier LEFT JOIN (SELECT l_suppkey AS u, bool_or(l_quantity > 49 AND l_discount > 0.08) AS m, avg(l_discount) > 0.0495 AS keep, count(*) FILTER (l_quantity = 50 AND l_tax >= 0.07) AS n FROM lineitem GROUP BY 1) ON u = s_suppkey""")
 def f15(spark, sf):
     li = R.table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "unit_id")
     u = R.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("unit_id"))
-    qc = li.groupBy("unit_id").agg((F.avg("l_discount") > 0.0495).alias("keep"))
-    return PO.population_category(u, li.filter("l_quantity > 49 AND l_discount > 0.08"), qc, li.filter("l_quantity = 50 AND l_tax >= 0.07"), ["unit_id"])
+    return PO.population_category(u, li, ["unit_id"], mapped=(F.col("l_quantity") > 49) & (F.col("l_discount") > 0.08), region=(F.col("l_quantity") == 50) & (F.col("l_tax") >= 0.07), keep=F.avg("l_discount") > 0.0495)
 
 
 @query("A74_fraction_summary", """SELECT n_regionkey AS mouse, count(*) FILTER (c_acctbal > 0 AND c_mktsegment IS NOT NULL) AS tuned_n, count(*) FILTER (c_mktsegment IS NOT NULL) AS tuned_of,
@@ -270,11 +268,11 @@ def a74(spark, sf):
     return r.withColumn("tuned_pct", R.rnd("tuned_pct")).withColumn("mapped_pct", R.rnd("mapped_pct"))
 
 
-@query("set_partition_counts", """SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a' WHEN b THEN 'only_b' ELSE 'none' END AS part, count(*) AS n FROM (SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48) AS a,
-  p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09) AS b FROM part) GROUP BY 1""")
+@query("set_partition_counts", """SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a' WHEN b THEN 'only_b' ELSE 'none' END AS part, count(*) AS n FROM (SELECT p_partkey, coalesce(a, false) AS a, coalesce(b, false) AS b FROM part LEFT JOIN (
+  SELECT l_partkey, bool_or(l_quantity > 48) AS a, bool_or(l_discount > 0.09) AS b FROM lineitem GROUP BY 1) ON l_partkey = p_partkey) GROUP BY 1""")
 def setparts(spark, sf):
     li = R.table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "unit_id")
-    return PO.partition_counts(li.filter("l_quantity > 48"), li.filter("l_discount > 0.09"), R.table(spark, sf, "part").withColumnRenamed("p_partkey", "unit_id"), ["unit_id"])
+    return PO.partition_counts(R.table(spark, sf, "part").withColumnRenamed("p_partkey", "unit_id"), li, ["unit_id"], F.col("l_quantity") > 48, F.col("l_discount") > 0.09)
 
 
 @query("A79_range_record", "SELECT l_returnflag AS grp, round(min(l_extendedprice), 4) AS min, round(max(l_extendedprice), 4) AS max, count(DISTINCT l_suppkey) AS n_units FROM lineitem GROUP BY 1")

@@ -83,11 +83,12 @@ def s16(spark, sf):
     return l.select("label", F.size("cycles").cast("long").alias("n_cycles"), F.get("cycles", F.lit(0)).alias("first_cycle"))
 
 
-@query("S17_merge_json_lists", "WITH a AS (SELECT l_suppkey AS k, list(l_linenumber ORDER BY l_linenumber) AS v FROM lineitem WHERE l_quantity > 49 GROUP BY 1), b AS (SELECT l_suppkey AS k, list(l_linenumber ORDER BY l_linenumber) AS v FROM lineitem WHERE l_quantity < 2 GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, array_to_string(list_concat(coalesce(a.v, []), coalesce(b.v, [])), ',') AS v FROM a FULL JOIN b ON a.k = b.k")
+@query("S17_merge_json_lists", "SELECT l_orderkey AS k, array_to_string(list_concat(coalesce(list(l_linenumber ORDER BY l_linenumber) FILTER (l_returnflag = 'R'), []), coalesce(list(l_linenumber ORDER BY l_linenumber) FILTER (l_returnflag <> 'R'), [])), ',') AS v FROM lineitem GROUP BY 1")
 def s17(spark, sf):
+    """Every order's returned lines, then its other lines: each row of the table is in one of the two lists, which an order bounds."""
     li = R.table(spark, sf, "lineitem")
-    g = lambda c: li.filter(c).groupBy(F.col("l_suppkey").alias("k")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("v"))
-    return S.merge_lists(g("l_quantity > 49"), g("l_quantity < 2"), "k", "v").withColumn("v", F.concat_ws(",", F.col("v").cast("array<string>")))
+    g = lambda c: li.filter(c).groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("v"))
+    return S.merge_lists(g("l_returnflag = 'R'"), g("l_returnflag <> 'R'"), "k", "v").withColumn("v", F.concat_ws(",", F.col("v").cast("array<string>")))
 
 
 @query("S19_discover_session_pairs", """WITH r AS (SELECT o_orderkey AS run_id, o_custkey % 50 AS mouse, year(o_orderdate) AS date, CAST(month(o_orderdate) % 2 AS INTEGER) AS probe, o_orderstatus AS src, CASE WHEN o_orderkey % 2 = 0 THEN 'rf' ELSE 'ebb' END AS kind FROM orders WHERE (o_totalprice % 100) / 100 > 0.5),
