@@ -2,12 +2,18 @@
 
 A sketch draws several functions; each takes the PICKED smallest of a text's occurrence-labelled runs of WORDS words and
 keeps them in the order of the text, so texts agree in a sketch only if they share those runs, equally often and in the
-same order. Texts with an equal sketch meet in a bucket. First a bucket's leader is compared with its other members, in
-ROUNDS rounds with other leaders (the last on pairs of sketches): linear work that brings large classes together. Then
-all members of a bucket that are still in different classes are compared, block by block, so every pair that shares a
-bucket is either compared or in one class. Counts of words in BAG cells rule out most pairs before their texts are
-fetched: they differ by no more than the edits. A comparison aligns the words inside the band of the edits that
-similarity still allows; similarity is 1 - edits / words of the longer text.
+same order. Texts with an equal sketch meet in a bucket. First the members of the buckets of FEW functions are compared with
+the bucket's leader, which is the member of the smallest hash whatever the bucket, so large groups meet few leaders and come
+together for about one comparison a text. Then, in ROUNDS rounds over all buckets that still hold different classes, one
+member of each class is compared with a leader.
+
+What is left are buckets that hold several classes. In one of at most GROUP texts all pairs of different classes are looked
+at by their lengths and counts of words in BAG cells, which rule out most before texts are fetched: they differ by no more
+than the edits. Members of larger buckets are joined by an exact filter instead: with at most d edits, two texts share one of
+the d + 1 rarest words of each (words labelled by their occurrence, in one order for all texts, rare ones first), so only
+members of a family of such buckets that share a rare word, and are of about a length, meet; a template that thousands of
+texts share is frequent and stays out. No pair that shares a bucket is left out unless it is in one class. A comparison
+aligns the words inside the band of the edits that similarity still allows; similarity is 1 - edits / words of the longer text.
 """
 from __future__ import annotations
 
@@ -28,13 +34,17 @@ WORDS = 3
 PICKED = 2
 FUNCTIONS = 64
 SIMILARITY = 0.8
-ROUNDS = 3
+#: Functions of the first comparisons, and rounds over all of them.
+FEW = 8
+ROUNDS = 1
 #: Runs looked at per function: those under the bound that about so many fall below, all if fewer than PICKED do.
-DRAWN = 24
+DRAWN = 12
 #: Cells of the counts of words.
 BAG = 256
-#: Members of a bucket that one group compares with as many others.
-BLOCK = 1024
+#: Texts of a bucket that one task compares by lengths and counts; larger buckets are joined by rare words.
+GROUP = 4096
+#: Cells in which words are counted to order them by rarity; any order is right, a good one makes few pairs.
+CELLS = 1 << 18
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,20 +61,26 @@ def _drawn(hashes: np.ndarray, offsets: np.ndarray, k: int, picked: int, functio
     bound = np.where(counts <= DRAWN, 1.0, DRAWN / np.maximum(counts, 1))
     bound = np.where(bound >= 1, float(2**64 - 2048), bound * 2.0**64).astype(np.uint64)
     bound[counts <= DRAWN] = np.uint64(2**64 - 1)
-    limit = bound[doc]
+    limit, top = bound[doc], np.uint64(2**64 - 1)
     out = np.zeros((len(counts), functions), np.uint64)
-    for f in range(functions):
-        draw = words.mix(label ^ words.mix(np.array([f + 1], np.uint64)))
+    for f, odd in enumerate(words.mix(np.arange(1, functions + 1, dtype=np.uint64) * STEP) | np.uint64(1)):
+        draw = label * odd
         at = np.flatnonzero(draw <= limit)
         few = np.bincount(doc[at], minlength=len(counts)) < np.minimum(counts, picked)
         if few.any():
             at = np.union1d(at, np.flatnonzero(few[doc]))
-        at = at[np.lexsort((draw[at], doc[at]))]
-        d = doc[at]
-        top = np.sort(at[np.arange(len(d)) - np.searchsorted(d, d) < picked])
-        d = doc[top]
+        d, left = doc[at], draw[at]
+        first = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(d))))
+        chosen = np.zeros(len(at), bool)
+        for _ in range(picked):
+            least = np.flatnonzero(~chosen & (left == np.minimum.reduceat(left, first)[group])) if len(d) else first
+            least = least[np.append(True, group[least][1:] != group[least][:-1])] if len(least) else least
+            chosen[least], left[least] = True, top
+        top_at = at[chosen]
+        d = doc[top_at]
         place = (np.arange(len(d)) - np.searchsorted(d, d) + 1).astype(np.uint64)
-        np.add.at(out[:, f], d, words.mix(label[top] ^ (place * STEP)))
+        np.add.at(out[:, f], d, words.mix(label[top_at] ^ (place * STEP)))
         out[:, f] = words.mix(out[:, f] + np.uint64(f))
     return out, counts
 
@@ -166,49 +182,82 @@ def _possible(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
         yield batch.select(["a", "b"]).filter(pa.array(near(_bag(a), n.to_numpy(), _bag(b), m.to_numpy(), similarity)))
 
 
-def _met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """(a, b): rows of one group (key, lo, hi), which come in a row, that are in different classes and can be similar.
+def _group(node: np.ndarray, cls: np.ndarray, n: np.ndarray, bag: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different classes that can be similar, by rising length."""
+    order = np.argsort(n, kind="stable")
+    node, cls, n, bag = node[order], cls[order], n[order], bag[order]
+    stop = np.searchsorted(n, np.floor(n / similarity + 1e-9), side="right")
+    for i in range(len(n)):
+        j = np.arange(i + 1, stop[i])
+        j = j[cls[j] != cls[i]]
+        if len(j):
+            j = j[near(bag[i], n[i], bag[j], n[j], similarity)]
+            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
-    A group is one block (lo = hi) or two; of two blocks only rows of different blocks are paired, as each block is a group too.
-    """
+
+def _met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): members of a bucket, whose rows come in a row, that are in different classes and can be similar."""
     held: list[pa.RecordBatch] = []
 
-    def paired(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, cls, n, block = (rows.column(c).to_numpy() for c in ("id", "class", "words", "block"))
-        bag = _bag(rows.column("bag"))
-        two = rows.column("lo")[0].as_py() != rows.column("hi")[0].as_py()
-        _, at, size = np.unique(cls, return_inverse=True, return_counts=True)
-        order = np.lexsort((at, size[at]))  # the largest class last: its rows have nobody left to meet
-        node, cls, n, block, bag, at = (x[order] for x in (node, cls, n, block, bag, at))
-        last = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at))
-        stop = last[np.searchsorted(last, np.arange(len(at)), side="right")]
-        a, b = [], []
-        for i in range(len(at)):
-            j = np.arange(stop[i], len(at))
-            most = (1 - similarity) * np.maximum(n[i], n[j]) + 1e-9
-            j = j[(np.abs(n[j] - n[i]) <= most) & (~np.bool_(two) | (block[j] != block[i]))]
-            if len(j):
-                j = j[near(bag[i], n[i], bag[j], n[j], similarity)]
-                a.append(np.minimum(node[i], node[j]))
-                b.append(np.maximum(node[i], node[j]))
-        if a:
+    def paired() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        a, b, many = [], [], 0
+        for x, y in _group(*(rows.column(c).to_numpy() for c in ("id", "class", "words")), _bag(rows.column("bag")), similarity):
+            a.append(x)
+            b.append(y)
+            many += len(x)
+            if many > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                a, b, many = [], [], 0
+        if many:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, lo, hi = (batch.column(c).to_numpy() for c in ("key", "lo", "hi"))
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-        if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("key", "lo", "hi")):
-            yield from paired(pa.Table.from_batches(held))
-            held = []
-        for first, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+        key = batch.column("key").to_numpy()
+        if held and held[-1].column("key")[-1].as_py() != key[0]:
+            yield from paired()
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
             if first:
-                yield from paired(pa.Table.from_batches(held))
-                held = []
+                yield from paired()
             held.append(batch.slice(first, end - first))
     if held:
-        yield from paired(pa.Table.from_batches(held))
+        yield from paired()
+
+
+def _labels(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(word with its occurrence, as a hash; offsets of the texts)."""
+    hashes, ends = words.tokens(texts)
+    return words.mix(hashes + words.occurrences(hashes, ends).astype(np.uint64) * STEP), ends
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, words that fall in it) of a partition's texts."""
+    seen = np.zeros(CELLS, np.int64)
+    for part in (p for batch in batches for p in slices(batch)):
+        seen += np.bincount((_labels(part.column(0).to_pylist())[0] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["cell", "n"])
+
+
+def allowed(n: int, similarity: float) -> int:
+    """The most edits between a text of n words and any that is similar to it, which has at most n / similarity words."""
+    return int((1 - similarity) * int(n / similarity + 1e-9) + 1e-9)
+
+
+def _rare(batches: Iterator[pa.RecordBatch], seen: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The rarest words of each text, one more than the edits any partner allows."""
+    for part in (p for batch in batches for p in slices(batch)):
+        label, ends = _labels(part.column(1).to_pylist())
+        n = np.diff(ends)
+        doc = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((label, seen[(label % np.uint64(CELLS)).astype(np.int64)], doc))
+        most = np.array([min(x, allowed(x, similarity) + 1) for x in n.tolist()], np.int64)
+        kept = order[(np.arange(len(doc)) - ends[doc]) < most[doc]]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)).astype(np.int32)), pa.array(label[kept].view(np.int64)))], names=["id", "rare"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -225,29 +274,66 @@ def _in_classes(buckets: DataFrame, classes: DataFrame | None) -> DataFrame:
     return buckets.join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("class"))
 
 
-def _rest(buckets: DataFrame, classes: DataFrame | None, firsts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs that share a bucket, are in different classes and can be similar."""
-    rows = _in_classes(buckets, classes)
-    mixed = rows.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("two"), F.count(F.lit(1)).alias("n")).filter("one < two")
-    rows = rows.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(firsts.select("id", "words", "bag"), "id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "class", "words", "bag", "block")
-    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(lambda it: _met(it, similarity), "a long, b long").distinct()
+def _first_pairs(buckets: DataFrame) -> DataFrame:
+    """(a, b): members of a bucket and its leader, the member of the smallest hash."""
+    lead = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(0), "id").alias("h"), "id")).alias("lead"))
+    return buckets.join(lead.select("key", F.col("lead.id").alias("lead")), "key").filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(key, one, n): buckets that hold different classes, the smallest of them, and the number of members."""
+    return rows.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("two"), F.count(F.lit(1)).alias("n")).filter("one < two").select("key", "one", "n")
+
+
+def _pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b): one member of each class of a bucket with the bucket's leader. Hashes of turn and id choose both."""
+    ones = rows.groupBy("key", "class").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id")).alias("m"))
+    lead = ones.groupBy("key").agg(F.min("m").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("lead.id").alias("lead"))
+    met = ones.select("key", F.col("m.id").alias("id")).join(lead, "key").filter("id <> lead")
+    return met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
 
+def _rest(rows: DataFrame, texts: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of different classes that share a bucket and can be similar."""
+    mixed = stable(rows.join(_mixed(rows), "key"), "mixed")
+    small = mixed.filter(F.col("n") <= GROUP).select("key", "id", "class").join(sketched.select("id", "words", "bag"), "id")
+    met = small.select("key", "id", "class", "words", "bag").repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _met(it, similarity), "a long, b long").distinct()
+    large = mixed.filter(F.col("n") > GROUP)
+    return met.union(_by_rare_words(large, texts, sketched, similarity)) if large.limit(1).count() else met
 
-def _pairs(buckets: DataFrame, classes: DataFrame | None, turn: int) -> DataFrame:
-    """(a, b): members of a bucket outside its leader's class, with the leader. The leader has the smallest hash of id, bucket and turn."""
-    rows = _in_classes(buckets, classes)
-    lead = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "class")).alias("lead")
-    leaders = rows.groupBy("key").agg(lead, F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key", "lead")
-    met = rows.join(leaders, "key").filter(F.col("class") != F.col("lead.class"))
-    return met.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+
+def _by_rare_words(mixed: DataFrame, texts: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of different classes that share a bucket, of rows key, id, class, one, found by a rare word that they share.
+
+    Families are the components of classes that share buckets; a text is once in its family, whatever it shares.
+    """
+    inside = mixed.select("id", "class", "one").distinct()
+    family = components(inside.filter(F.col("class") != F.col("one")).select(F.col("class").alias("a"), F.col("one").alias("b")))
+    members = inside.select("id", "class").distinct().join(family.select(F.col("node").alias("class"), "component"), "class", "left").select("id", "class", F.coalesce("component", "class").alias("family"))
+    held = stable(members.join(texts, "id"), "members")
+    seen = np.zeros(CELLS, np.int64)  # CELLS numbers, whatever the corpus is
+    for r in held.select("text").mapInArrow(_counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        seen[r["cell"]] = r["n"]
+    count = held.sparkSession.sparkContext.broadcast(seen)
+    rare = held.select("id", "text").mapInArrow(lambda it: _rare(it, count.value, similarity), "id long, rare array<long>")
+    one = held.select("id", "class", "family").join(rare, "id").join(sketched.select("id", "words"), "id").select("id", "class", "family", "words", F.explode("rare").alias("word"))
+    # a word that only one class of the family has makes no pair
+    shared = one.groupBy("family", "word").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("family", "word")
+    one = stable(one.join(shared, ["family", "word"], "left_semi"), "rare")
+    side = lambda n: one.select("family", "word", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "class", "words")])
+    longer = F.greatest("words_1", "words_2")
+    close = (F.col("class_1") < F.col("class_2")) & (F.abs(F.col("words_1") - F.col("words_2")) <= F.floor(longer * (1 - similarity) + 1e-9))
+    pairs = side(1).join(side(2), ["family", "word"]).filter(close).select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct()
+    sketch = lambda c: sketched.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    return pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(F.arrays_overlap("sketch_a", "sketch_b")).select("a", "b")
 
 
 def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = WORDS,
             picked: int = PICKED, functions: int = FUNCTIONS, rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of df: id, class_id (smallest id of the class) and kept (id = class_id).
+    """One row per row of df: id, class_id (smallest id of the class), kept (id = class_id) and linked_id.
+
+    linked_id is the smallest id of a different text that this one was compared with and found similar to, null without any:
+    every text that is not alone in its class has one, so the links shown hold the class together but for copies.
 
     Classes are the components of links: equal texts, and similar pairs among all that share a sketch (rounds: of leaders,
     which change the work and not the result). Rows without id or text take no part (class_id = id, kept); texts without
@@ -256,16 +342,16 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     are not returned; an empty table gives an empty result.
     """
     docs = _docs(df, id_col, text_col)
-    nodes, known, total = _known(docs, similarity, k, picked, functions, rounds)
-    return _labelled(docs, nodes, known, id_col, total)
+    nodes, known, links, total = _known(docs, similarity, k, picked, functions, rounds)
+    return _labelled(docs, nodes, known, links, id_col, total)
 
 
 def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), F.md5(df[text_col].cast("binary")).alias("digest"), df[text_col].alias("text"))
 
 
-def _known(docs: DataFrame, similarity: float, k: int, picked: int, functions: int, rounds: int) -> tuple[DataFrame, DataFrame, int]:
-    """One row per different text (digest, node, its number; least, its smallest id; n, its rows), the components of nodes, and the number of rows."""
+def _known(docs: DataFrame, similarity: float, k: int, picked: int, functions: int, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """One row per different text (digest, node, its number; least, its smallest id; n, its rows), the components of nodes, the links found, and the number of rows."""
     ship(docs.sparkSession)
     how = {"k": k, "picked": picked, "functions": functions}
     part = docs.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
@@ -274,24 +360,25 @@ def _known(docs: DataFrame, similarity: float, k: int, picked: int, functions: i
     nodes = drawn.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("sketch", "words", "bag"), "id").alias("s"))
     nodes = stable(nodes.select("digest", F.monotonically_increasing_id().alias("node"), "least", "n", "s.*"), "nodes")
     firsts = nodes.select(F.col("node").alias("id"), "sketch", "words", "bag")
-    single = firsts.select("id", F.explode("sketch").alias("key"))
+    single = firsts.select("id", F.posexplode("sketch").alias("f", "key"))
     shared = single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    single = stable(single.join(shared, "key", "left_semi").select("id", "key"), "buckets")
-    paired = firsts.join(single.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.transform("sketch", lambda x, i: F.xxhash64(x, F.element_at("sketch", (i + 1) % functions + 1)))).alias("key"))
+    single = stable(single.join(shared, "key", "left_semi").select("id", "key", "f"), "buckets")
     wanted = nodes.join(single.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("digest", F.col("least").alias("id"), "node")
     texts = stable(part.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"]).select(F.col("node").alias("id"), "text"), "texts")
     side = lambda c: firsts.select(F.col("id").alias(c), F.col("words").alias(f"words_{c}"), F.col("bag").alias(f"bag_{c}"))
-    text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
-    known = None
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            pairs = _pairs(single if turn < rounds - 1 or rounds == 1 else paired, known, turn).join(side("a"), "a").join(side("b"), "b")
-            pairs = pairs.mapInArrow(lambda it: _possible(it, similarity), "a long, b long")
-        else:
-            pairs = _rest(single, known, firsts, similarity)
-        found = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(lambda it: _linked(it, similarity), "a long, b long")
+    known = links = None
+    for turn in range(rounds + 2):
+        rows = None if known is None else _in_classes(single.select("id", "key"), known)
+        pairs = _first_pairs(single.filter(F.col("f") < FEW)) if known is None else _pairs(rows, turn) if turn <= rounds else _rest(rows, texts, firsts, similarity)
+        if turn <= rounds:
+            pairs = stable(pairs, "pairs").join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _possible(it, similarity), "a long, b long")
+        pairs = stable(pairs, "possible")
+        asked = texts.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi")  # of the texts only those to be compared are dealt
+        text = lambda c: asked.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
+        found = stable(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(lambda it: _linked(it, similarity), "a long, b long"), "found")
+        links = found if links is None else links.union(found)
         known = components(found if known is None else found.union(known.toDF("a", "b")))
-    return nodes.select("digest", "node", "least", "n"), known, drawn.count()
+    return nodes.select("digest", "node", "least", "n"), known, links, drawn.count()
 
 
 def _merged(nodes: DataFrame, known: DataFrame) -> DataFrame:
@@ -303,11 +390,12 @@ def _merged(nodes: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(own, "class")
 
 
-def _labelled(docs: DataFrame, nodes: DataFrame, known: DataFrame, id_col: str, total: int) -> DataFrame:
+def _labelled(docs: DataFrame, nodes: DataFrame, known: DataFrame, links: DataFrame, id_col: str, total: int) -> DataFrame:
     ids = docs.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
-    merged = _merged(nodes, known).select("digest", "n", "class_id")
-    out = labelled(ids, merged, ["digest"], "n", total).select("id", F.coalesce("class_id", "id").alias("class_id"))
-    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    both = links.union(links.select("b", "a")).toDF("node", "other").join(nodes.select(F.col("node").alias("other"), F.col("least").alias("linked_id")), "other")
+    merged = _merged(nodes, known).join(both.groupBy("node").agg(F.min("linked_id").alias("linked_id")), "node", "left").select("digest", "n", "class_id", "linked_id")
+    out = labelled(ids, merged, ["digest"], "n", total).select("id", F.coalesce("class_id", "id").alias("class_id"), "linked_id")
+    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"), "linked_id")
 
 
 def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = WORDS,
@@ -316,7 +404,7 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Rows without id or text all stay. Columns are those of df. Without by_id no text is lost where ids repeat.
     """
-    nodes, known, _ = _known(_docs(df, id_col, text_col), similarity, k, picked, functions, rounds)
+    nodes, known, _, _ = _known(_docs(df, id_col, text_col), similarity, k, picked, functions, rounds)
     stay = _merged(nodes, known).groupBy("class").agg(F.min(F.struct("least", "digest")).alias("s")).select("s.*")
     if by_id:
         stay = stay.groupBy("least").agg(F.min("digest").alias("digest"))

@@ -87,11 +87,17 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
 def occurrences(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How often each value occurred before in its text."""
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((values, doc))
-    v, d = values[order], doc[order]
+    key = values ^ mix(doc.astype(np.uint64) + BASE)
+    order = np.argsort(key)
+    k = key[order]
+    same = np.zeros(len(k) + 1, bool)
+    same[1:-1] = k[1:] == k[:-1]
+    twice = order[same[1:] | same[:-1]]  # only values that come again are sorted by text and place
+    twice = twice[np.lexsort((twice, values[twice], doc[twice]))]
+    v, d = values[twice], doc[twice]
     fresh = np.ones(len(v), bool)
     fresh[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
     at = np.arange(len(v))
-    out = np.empty(len(v), np.int64)
-    out[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    out = np.zeros(len(values), np.int64)
+    out[twice] = at - np.maximum.accumulate(np.where(fresh, at, 0))
     return out
