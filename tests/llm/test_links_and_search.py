@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tunefold.llm import ego, maxscore, minhash, words
@@ -137,7 +138,9 @@ def test_pairs_just_above_the_similarity_meet():
     assert (s == t).any(axis=1).mean() >= 0.99
 
 
-def test_a_bucket_of_many_small_classes(docs_of):
+@pytest.mark.parametrize("group", [minhash.GROUP, 8])
+def test_a_bucket_of_many_small_classes(docs_of, monkeypatch, group):
+    monkeypatch.setattr(minhash, "GROUP", group)
     rng = random.Random(12)
     passage = [f"p{i}" for i in range(60)]
     texts = []
@@ -155,10 +158,11 @@ def test_a_bucket_of_many_small_classes(docs_of):
     assert got == dict(enumerate(classes_of(len(texts), links)))
 
 
-def test_blocks_of_a_bucket_pair_every_two_rows_once(docs_of, monkeypatch):
+def test_a_bucket_of_one_class_by_any_order_of_words(docs_of, monkeypatch):
     rng = random.Random(13)
     texts = [" ".join(["p q r s t"] * 12 + [f"w{rng.randrange(10**6)}"] * 3) for _ in range(50)]
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "CELLS", 8)
+    monkeypatch.setattr(minhash, "GROUP", 2)
     how = {"picked": 1, "functions": 1, "rounds": 0}
     s = minhash.sketches(texts, picked=1, functions=1)[0][:, 0]
     links = [(j, i) for i in range(50) for j in range(i) if s[i] == s[j]]
@@ -166,6 +170,39 @@ def test_blocks_of_a_bucket_pair_every_two_rows_once(docs_of, monkeypatch):
     assert len(links) > 100 and got == dict(enumerate(classes_of(50, links)))
 
 
+def test_rare_words_find_every_similar_pair():
+    rng = random.Random(15)
+    seen = np.zeros(minhash.CELLS, np.int64)
+    texts = []
+    for _ in range(300):
+        a = [f"w{rng.randrange(400)}" for _ in range(rng.randint(1, 80))]
+        texts += [" ".join(a), " ".join(edited(rng, a, rng.uniform(0, 0.2)))]
+    label, ends = minhash._labels(texts)
+    np.add.at(seen, (label % np.uint64(minhash.CELLS)).astype(np.int64), 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    rare = [set(r) for b in minhash._rare(iter([batch]), seen, 0.8) for r in b.column(1).to_pylist()]
+    h, o = words.tokens(texts)
+    found = 0
+    for i in range(0, len(texts), 2):
+        if minhash.similar(h[o[i]:o[i + 1]], h[o[i + 1]:o[i + 2]], 0.8):
+            assert rare[i] & rare[i + 1]
+            found += 1
+    assert found > 200 and sum(map(len, rare)) < 0.4 * len(h)
+
+
+@pytest.mark.parametrize("group", [minhash.GROUP, 100])
+def test_a_template_shared_by_many_other_texts(docs_of, monkeypatch, group):
+    monkeypatch.setattr(minhash, "GROUP", group)
+    rng = random.Random(16)
+    template = [f"t{i}" for i in range(70)]
+    texts = [" ".join(template + [f"w{rng.randrange(10**7)}" for _ in range(50)]) for _ in range(1500)]
+    texts += [t + " more" for t in texts[:40]] + [t.rsplit(" ", 12)[0] + " x y z" for t in texts[40:80]]
+    got = {r["doc_id"]: (r["class_id"], r["linked_id"]) for r in minhash.classes(docs_of(texts)).collect()}
+    for i in range(1500):
+        assert got[i] == ((i, 1500 + i) if i < 80 else (i, None))
+    assert all(got[1500 + i] == (i, i) for i in range(80))
+
+
 def test_repeated_and_missing_ids(docs_of):
     texts = ["a b c d e f g", "a b c d e f g", "other text here now", "a b c d e f g", None]
     got = sorted((r["doc_id"] is None, r["doc_id"], r["class_id"], r["kept"]) for r in minhash.classes(docs_of(texts, [4, 4, 4, None, 9])).collect() if r["doc_id"] is not None)
@@ -235,6 +272,13 @@ def brute_top(docs, queries, k):
     return sorted(out)
 
 
+def test_different_vectors_under_one_id_keep_their_links(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, a), (5, b), (6, [1.0, 0.01, 0.0]), (7, [0.01, 1.0, 0.0]), (10, c), (9, c), (10, c)]
+    got = sorted(tuple(r) for r in ego.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (9, 2, 9, True), (10, 2, 9, False), (10, 2, 9, False)]
+
+
 def test_top_k_equals_brute_force(spark):
     rng = random.Random(9)
     vec = lambda terms, low: {t: rng.randint(low, 20) for t in rng.sample(range(40), terms)}

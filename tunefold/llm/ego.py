@@ -171,16 +171,17 @@ def classes(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embeddi
     """One row per row of df: id, n_links (other vectors with cosine >= least), component_id and kept (id = component_id).
 
     Rows without id and vectors without a direction (null, zero, null or non-finite components) have no links. Vectors of
-    different lengths never link. Equal vectors, and rows repeated, link with each other. Extra columns are not returned;
-    an empty table gives an empty result.
+    different lengths never link. Equal vectors, and rows repeated, link with each other. Different vectors under one id keep
+    their own links and components; components with the same smallest id show the same component_id. Extra columns are not
+    returned; an empty table gives an empty result.
     """
     spark = df.sparkSession
     ship(spark)
     vector = df[vector_col]
     rows = df.select(df[id_col].cast("long").alias("id"), F.when(usable(vector) & df[id_col].isNotNull(), vector).alias("vector"))
     rows = rows.select("*", *[F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(s), "vector")).alias(f"d{s}") for s in (0, 1)])
-    nodes = rows.filter("vector is not null").groupBy("d0", "d1").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
-    held = stable(nodes, "vectors")
+    nodes = rows.filter("vector is not null").groupBy("d0", "d1").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
+    held = stable(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")  # a vector is a node, whatever ids it has
     width, count = held.agg(F.coalesce(F.max(F.size("vector")), F.lit(1)), F.count(F.lit(1))).first()
     eps = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
     leading = min(leading, width)
@@ -207,5 +208,8 @@ def classes(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embeddi
 
 
 def nodes_of(held: DataFrame, sums: DataFrame, known: DataFrame) -> DataFrame:
-    m = held.select("d0", "d1", "node", "weight").join(sums, "node", "left").join(known, "node", "left")
-    return m.select("d0", "d1", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    """(d0, d1, weight, n_links, component) of the nodes; a component's label is the smallest id of its rows."""
+    m = held.select("d0", "d1", "node", "least", "weight").join(sums, "node", "left").join(known, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
+    label = m.filter(F.col("of") != F.col("node")).groupBy("of").agg(F.min("least").alias("other"))
+    label = held.select(F.col("node").alias("of"), F.col("least").alias("own")).join(label, "of", "left").select("of", F.least("own", "other").alias("component"))
+    return m.join(label, "of").select("d0", "d1", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component")

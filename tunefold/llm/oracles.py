@@ -32,13 +32,14 @@ SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, sha
 """
 
 OP3 = """
-WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings),
+v AS MATERIALIZED (SELECT r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM e
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
-r(a, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a),
-k AS (SELECT a, min(c) AS c FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+w(a, c) AS (SELECT r, vec_id FROM v UNION SELECT l.b, w.c FROM w JOIN l ON w.a = l.a),
+k AS (SELECT a, min(c) AS c FROM w GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(k.c, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(k.c, e.vec_id), true) AS kept
-FROM embeddings e LEFT JOIN k ON k.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+FROM e LEFT JOIN k ON k.a = e.r LEFT JOIN n ON n.a = e.r
 """
 
 #: The base patterns as they are defined, and the further kinds, in the order of the output; of iban only how a code begins.
