@@ -167,3 +167,10 @@ def test_account_codes_are_the_same_in_sql(spark, tmp_path):
     names = [d[0] for d in cur.description]
     want = {r[names.index("doc_id")]: (r[names.index("spans")], r[names.index("base_sha256")]) for r in cur.fetchall()}
     assert got == want and sum("iban" in s for s, _ in got.values()) >= 10
+
+
+def test_one_pass_gives_what_two_give(docs_of):
+    docs = docs_of(["one two", None, "", "été 日本語", "<|endoftext|> x", "w " * 3000])
+    one = {r["doc_id"]: (r["token_ids"], r["decoded"]) for r in bpe.round_trip(docs, PATH).collect()}
+    two = {r["doc_id"]: (r["token_ids"], r["decoded"]) for r in bpe.decode(bpe.encode(docs, PATH), PATH).collect()}
+    assert one == two and bpe.round_trip(docs.limit(0), PATH).columns == bpe.decode(bpe.encode(docs, PATH), PATH).columns

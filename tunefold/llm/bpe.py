@@ -241,3 +241,20 @@ def encode(df: DataFrame, tokenizer: str, *, text_col: str = "text", out: str =
 def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "token_ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """Adds the text of the ids; null ids give an empty text. Other columns as in encode()."""
     return _mapped(df, tokenizer, ids_col, out, T.StringType(), keep, _texts)
+
+
+def round_trip(df: DataFrame, tokenizer: str, *, text_col: str = "text", ids_out: str = "token_ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """encode() and decode() in one pass over the texts: adds the ids and the text of those ids. Columns as in encode()."""
+    names = carried(df.columns if keep is None else keep, [ids_out, out])
+    src = df.select(*names, df[text_col].alias("__source"))
+    ship(df.sparkSession)
+    with open(tokenizer, "rb") as f:
+        held = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: a few MB whatever the corpus is
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coder(held.value)
+        for part in (p for batch in batches for p in slices(batch)):
+            ids = _ids(c, part.column(len(names)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, _texts(c, ids)], names=[*names, ids_out, out])
+
+    return src.mapInArrow(run, T.StructType([*[src.schema[c] for c in names], T.StructField(ids_out, T.ArrayType(T.IntegerType())), T.StructField(out, T.StringType())]))

@@ -19,7 +19,7 @@ def coded(docs: DataFrame, tokenizer: str | None = None, keep: list[str] | None
     if tokenizer is None:
         import public_tokenizers
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    rows = bpe.decode(bpe.encode(docs, tokenizer, keep=["doc_id"]), tokenizer, keep=["doc_id", "token_ids"])
+    rows = bpe.round_trip(docs, tokenizer, keep=["doc_id"])
     ids = F.concat_ws(",", F.col("token_ids").cast("array<string>"))
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(keep or []))
 

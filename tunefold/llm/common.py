@@ -7,10 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage
-
-__all__ = ["cut_lineage", "carried", "digest_bits", "read_table", "shared_folder", "ship", "stable"]
+__all__ = ["carried", "digest_bits", "read_table", "shared_folder", "ship", "small_batches", "stable"]
 
+#: Bytes of a batch of rows handed to a Python worker: the JVM and the worker hold one at once. Spark's own default is eight times as much.
+ARROW_BATCH, SET, DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -37,6 +37,12 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep batches for Python workers to ARROW_BATCH bytes, unless the session has a bound of its own."""
+    if spark.conf.get(SET, DEFAULT) == DEFAULT:
+        spark.conf.set(SET, str(ARROW_BATCH))
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """New folder name below spark.checkpoint.dir. Only a local session without that setting gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
