@@ -54,6 +54,14 @@ def test_chained_steps_read_their_input_once(spark, sf):
     assert plan.count("FileScan") <= 2
 
 
+def test_what_follows_is_no_frame_up_to_the_last_row(spark):
+    """Spark makes such a frame anew for every row, so a bucket would cost the square of its rows."""
+    d = spark.createDataFrame([(0, 1.0, 5.0)], "k INT, t DOUBLE, v DOUBLE")
+    for width in (None, 1.0):
+        plan = sequence(d, ["k"], ["t"], width=width, nxt={"b": "v"})._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "window" in plan and "unboundedfollowing" not in plan
+
+
 def test_long_gap_without_rows(spark):
     d = spark.createDataFrame([(0, 1.0, 5.0), (0, 900.0, None), (0, 901.0, None), (0, 5000.0, 7.0)], "k INT, t DOUBLE, v DOUBLE")
     got = sequence(d, ["k"], ["t"], width=1.0, last={"a": "v"}, nxt={"b": "v"})

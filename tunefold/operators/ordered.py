@@ -20,6 +20,11 @@ def order_bucket(order_col: str, width: float) -> Column:
     return F.when(F.isnan(x.cast("double")), F.lit(2**63 - 1)).otherwise(F.floor(x / F.lit(float(width))).cast("long"))
 
 
+def _backwards(order: list[str]) -> list[Column]:
+    """The same order from its end: what follows a row is then a running value, where a frame up to the last row is made anew for every row."""
+    return [F.col(c).desc_nulls_last() for c in order]
+
+
 def sequence(df: DataFrame, keys: list[str], order: list[str], *, width: float | None = None,
              bucket: Column | None = None, lag=None, lead=None, cumsum=None, last=None, nxt=None,
              row_number: str | None = None, keep_bucket: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -39,12 +44,12 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], *, width: float |
     if width is None and bucket is None and BUCKET not in df.columns:
         w = Window.partitionBy(*keys).orderBy(*order)
         run = w.rowsBetween(Window.unboundedPreceding, 0)
-        fut = w.rowsBetween(0, Window.unboundedFollowing)
+        fut = Window.partitionBy(*keys).orderBy(*_backwards(order)).rowsBetween(Window.unboundedPreceding, 0)
         out = {k: F.lag(e).over(w) for k, e in lag.items()}
         out |= {k: F.lead(e).over(w) for k, e in lead.items()}
         out |= {k: F.coalesce(F.sum(e).over(run), F.lit(0)) for k, e in cumsum.items()}
         out |= {k: F.last(e, True).over(run) for k, e in last.items()}
-        out |= {k: F.first(e, True).over(fut) for k, e in nxt.items()}
+        out |= {k: F.last(e, True).over(fut) for k, e in nxt.items()}
         if row_number:
             out[row_number] = F.row_number().over(w)
         return df.withColumns(out).select(*[c for c in df.columns if (keep is None or c in keep) and c not in out], *out)
@@ -79,18 +84,18 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], *, width: float |
 
     ws = Window.partitionBy(*[F.col(f"{KEY}.{k}") for k in keys]).orderBy(F.col(f"{KEY}.{BUCKET}"))
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
-    after = ws.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*[F.col(f"{KEY}.{k}") for k in keys]).orderBy(F.col(f"{KEY}.{BUCKET}").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     carry = [F.lag(f"_s_{k}").over(ws).alias(f"_x_{k}") for k in lag]
     carry += [F.lead(f"_s_{k}").over(ws).alias(f"_x_{k}") for k in lead]
     carry += [F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_x_{k}")
               for k in list(cumsum) + ([row_number] if row_number else [])]
     carry += [F.last(f"_s_{k}", True).over(before).alias(f"_x_{k}") for k in last]
-    carry += [F.first(f"_s_{k}", True).over(after).alias(f"_x_{k}") for k in nxt]
+    carry += [F.last(f"_s_{k}", True).over(after).alias(f"_x_{k}") for k in nxt]
     summary = summary.select(KEY, *carry)
 
     w = Window.partitionBy(KEY).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    fut = w.rowsBetween(0, Window.unboundedFollowing)
+    fut = Window.partitionBy(KEY).orderBy(*_backwards(order)).rowsBetween(Window.unboundedPreceding, 0)
     base = [c for c in wanted if c != BUCKET or keep_bucket]
     joined = src.join(summary, KEY)
     out = []
@@ -103,7 +108,7 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], *, width: float |
     for k in last:
         out.append(F.coalesce(F.last(f"_e_{k}", True).over(run), F.col(f"_x_{k}")).alias(k))
     for k in nxt:
-        out.append(F.coalesce(F.first(f"_e_{k}", True).over(fut), F.col(f"_x_{k}")).alias(k))
+        out.append(F.coalesce(F.last(f"_e_{k}", True).over(fut), F.col(f"_x_{k}")).alias(k))
     if row_number:
         out.append((F.row_number().over(w) + F.col(f"_x_{row_number}")).alias(row_number))
     new = set(specs) | ({row_number} if row_number else set())
