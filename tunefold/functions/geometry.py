@@ -41,11 +41,12 @@ def world_heading(pixel_heading_deg, sx: float, sy: float) -> Column:
     return wrap360(F.degrees(F.atan2(sind(h) * sx, cosd(h) * sy)))
 
 
-def bearing_to(x, y, tx, ty, heading_deg) -> Column:
-    """Clockwise bearing of a target from the head: 0 ahead, +90 right. NULL on top of the target."""
+def bearing_to(x, y, tx, ty, heading_deg, on_target_deg: float | None = None) -> Column:
+    """Clockwise bearing of a target from the head: 0 ahead, +90 right. On top of it NULL, or the given direction less the heading."""
     dx, dy = col(tx) - col(x), col(ty) - col(y)
-    return F.when((dx != 0) | (dy != 0),
-                  wrap360(F.degrees(F.atan2(dx, -dy)) - col(heading_deg)))
+    there = F.lit(on_target_deg).cast("double")
+    away = F.when((dx != 0) | (dy != 0), F.degrees(F.atan2(dx, -dy))).when(dx.isNotNull() & dy.isNotNull(), there)
+    return wrap360(away - col(heading_deg))
 
 
 def ray_end(x, y, bearing_deg, dist) -> tuple[Column, Column]:

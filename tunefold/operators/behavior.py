@@ -64,8 +64,10 @@ def gradient_speed(frames: DataFrame, keys: list[str], t: str, x: str, y: str, *
 
 
 def prepare(frames: DataFrame, session: list[str], *, t: str = "t", arena: tuple[float, float], smooth_s: float, speed_min: float,
-            width: float, gap_width: float | None = None, tolerance: float = 1e-9) -> DataFrame:
-    """Frames with runs, smoothed position, speed, exposure, centre bearing/distance and the moving flag (strict)."""
+            width: float, gap_width: float | None = None, tolerance: float = 1e-9, on_target_deg: float | None = None) -> DataFrame:
+    """Frames with runs, smoothed position, speed, exposure, centre bearing/distance and the moving flag (strict).
+
+    The bearing is NULL within `tolerance` of the centre; with `on_target_deg` it is taken everywhere, from that direction on the centre itself."""
     w, h = arena
     f = frames.withColumn("valid", F.col("valid") & F.coalesce((F.col("x") >= 0) & (F.col("x") <= w) & (F.col("y") >= 0) & (F.col("y") <= h), F.lit(False)))
     f = cut_lineage(frame_runs(f, session, t, "valid", width=width, gap_width=gap_width))
@@ -74,7 +76,8 @@ def prepare(frames: DataFrame, session: list[str], *, t: str = "t", arena: tuple
     ok = gradient_speed(ok, [*session, "run_id"], t, "x_smooth", "y_smooth", width=width)
     dist = F.hypot(F.lit(w / 2) - F.col("x_smooth"), F.lit(h / 2) - F.col("y_smooth"))
     ok = ok.withColumn("cd_cm", dist).withColumn(
-        "cb_deg", F.when((dist > tolerance) & F.col("hd").isNotNull(), bearing_to("x_smooth", "y_smooth", F.lit(w / 2), F.lit(h / 2), "hd")))
+        "cb_deg", F.when((dist > (tolerance if on_target_deg is None else -1.0)) & F.col("hd").isNotNull(),
+                         bearing_to("x_smooth", "y_smooth", F.lit(w / 2), F.lit(h / 2), "hd", on_target_deg)))
     ok = ok.withColumn("moving", F.coalesce(F.col("speed") > speed_min, F.lit(False)))
     new = ["x_smooth", "y_smooth", "speed", "cd_cm", "cb_deg", "moving"]
     rest = f.filter("NOT valid").select(*f.columns, *[F.lit(None).cast(dict(ok.dtypes)[c]).alias(c) for c in new[:-1]], F.lit(False).alias("moving"))
