@@ -266,9 +266,11 @@ def distribute_plateau(rows: DataFrame, keys: list[str], idx: str, value: str, *
 
 
 # ---- cycles and intervals ----
-def cycle_ranges(anchors: DataFrame, keys: list[str], t: str, *, rec_end: str, width: float, sub: list[str] = ()) -> DataFrame:
-    """Cycle end = next start - 1, the last one ends with the recording; `sub` nests the rule one level down."""
-    s = sequence(anchors, [*keys, *sub], [t], width=width, lead={"_n": t})
+def cycle_ranges(anchors: DataFrame, keys: list[str], t: str, *, rec_end: str, width: float, sub: list[str] = (), ties: list[str] = ()) -> DataFrame:
+    """Cycle end = next start - 1, the last one ends with the recording; `sub` nests the rule one level down.
+
+    `ties` orders anchors of one time; without it their order is open."""
+    s = sequence(anchors, [*keys, *sub], [t, *ties], width=width, lead={"_n": t})
     return s.withColumn("stop", F.coalesce(F.col("_n") - 1, F.col(rec_end))).drop("_n")
 
 

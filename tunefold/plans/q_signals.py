@@ -199,7 +199,7 @@ def w40(spark, sf):
 @query("W41_cycle_ranges", """SELECT session, luminance, trial_id, CAST(round(onset_s) AS BIGINT) AS start, coalesce(lead(CAST(round(onset_s) AS BIGINT)) OVER (PARTITION BY session, luminance ORDER BY CAST(round(onset_s) AS BIGINT)) - 1, 2600000) AS stop FROM r_trials""")
 def w41(spark, sf):
     t = R.trials(spark, sf).select("session", "luminance", "trial_id", F.round("onset_s").cast("long").alias("start"), F.lit(2600000).cast("long").alias("rec"))
-    return S.cycle_ranges(t, K, "start", rec_end="rec", width=WEEK, sub=["luminance"]).select("session", "luminance", "trial_id", "start", "stop")
+    return S.cycle_ranges(t, K, "start", rec_end="rec", width=WEEK, sub=["luminance"], ties=["trial_id"]).select("session", "luminance", "trial_id", "start", "stop")
 
 
 RULES = [("combo", 1000.0, 2000.0), ("hold", 2500.0, 4500.0), ("baseline", 20000.0, 40000.0)]
