@@ -1,6 +1,11 @@
 """Stimulus response cubes: trial counts, presentations, rates, windows and 1-D projections."""
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.angles import col, wrap180
@@ -18,11 +23,55 @@ def strict_sum(v) -> Column:
 
 
 def response_cube(spikes: DataFrame, trials: DataFrame, session: list[str], unit: list[str], cell: list[str], *,
-                  lo: float, hi: float, bin_s: float, t: str = "t") -> DataFrame:
-    """Counts per unit, stimulus cell and lag bin over [onset+lo, onset+hi)."""
-    hits = trial_window_join(spikes, trials, session, t=t, lo=lo, hi=hi)
-    b = F.floor((F.col("lag_s") - lo) / bin_s).cast("int").alias("t_bin")
-    return hits.groupBy(*session, *unit, *cell, b).agg(F.count(F.lit(1)).alias("n"))
+                  lo: float, hi: float, bin_s: float, t: str = "t", onset: str = "onset_s", blocks: int = 64) -> DataFrame:
+    """Counts per unit, stimulus cell and lag bin over [onset+lo, onset+hi).
+
+    Hits grow with the product of spikes and trials, so they are never rows: units are dealt to `blocks` per session, every
+    block gets its session's trials in order, and each unit's hits are counted where its spikes are. What is shuffled is
+    spikes once and trials `blocks` times.
+    """
+    usable = lambda df, c: df.filter(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in [*session, c])) & ~F.isnan(F.col(c).cast("double")))
+    s = usable(spikes, t).select(*session, *unit, F.col(t).cast("double").alias("_t"), F.pmod(F.xxhash64(*unit), F.lit(blocks)).alias("_b"))
+    # a cell is one text, so NULLs in it stay what they are
+    r = usable(trials, onset).select(*session, F.to_json(F.struct(*cell)).alias("_cell"), F.col(onset).cast("double").alias("_o"),
+                                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
+    who = F.to_json(F.struct(*session, *unit)).alias("_who")
+    s = s.select(*session, "_b", who, "_t")
+    n_bins = int(math.ceil((hi - lo) / bin_s)) + 2  # one more at each end, for lags that rounding puts beyond an edge
+
+    def count(sp: pa.Table, tr: pa.Table) -> pa.Table:
+        sp, tr = sp.to_pandas(), tr.to_pandas().sort_values("_o", kind="stable")
+        o = tr["_o"].to_numpy()
+        code, cells = pd.factorize(tr["_cell"])
+        first, last = o + lo, o + hi
+        who, hits = [], []
+        for name, times in sp.groupby("_who")["_t"]:
+            total = np.zeros(len(cells) * n_bins, np.int64)
+            times = times.to_numpy()
+            for k in range(0, len(times), 1024):
+                x = times[k:k + 1024]
+                a, z = np.searchsorted(last, x, "right"), np.searchsorted(first, x, "right")
+                m = z - a
+                at = np.repeat(a - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                lag = np.floor((np.repeat(x, m) - o[at] - lo) / bin_s).astype(np.int64)
+                total += np.bincount(code[at] * n_bins + lag + 1, minlength=len(total))
+            hit = np.flatnonzero(total)
+            who.append(name)
+            hits.append((hit, total[hit]))
+        ends = pa.array(np.cumsum([0, *[len(h) for h, _ in hits]]), pa.int32())
+        flat = [np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in ([h for h, _ in hits], [n for _, n in hits])]
+        pair = pa.StructArray.from_arrays([pa.array(v) for v in flat], ["at", "n"])
+        return pa.table({"_who": pa.array(who, pa.string()), "_cells": pa.array(["[" + ",".join(cells) + "]"] * len(who), pa.string()),
+                         "_hits": pa.ListArray.from_arrays(ends, pair)})
+
+    keys = [*session, "_b"]
+    got = s.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(count, "_who STRING, _cells STRING, _hits ARRAY<STRUCT<at: BIGINT, n: BIGINT>>")
+    text = lambda df, cols: ", ".join(f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in cols)
+    back = got.select(F.from_json("_who", f"STRUCT<{text(spikes, [*session, *unit])}>").alias("_w"),
+                      F.from_json("_cells", f"ARRAY<STRUCT<{text(trials, cell)}>>").alias("_c"), "_hits")
+    back = back.select("_w", "_c", F.explode("_hits").alias("_h"))  # texts are read once a unit, before its hits become rows
+    at = F.floor(F.col("_h.at") / n_bins).cast("int")
+    return back.select("_w.*", *[F.get("_c", at)[c].alias(c) for c in cell], (F.col("_h.at") % n_bins - 1).cast("int").alias("t_bin"), F.col("_h.n").alias("n"))
 
 
 def trial_bounds(trials: DataFrame, session: list[str], onset: str = "onset_s", *, width: float,
