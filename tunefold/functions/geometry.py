@@ -8,8 +8,17 @@ from .angles import col, wrap360, cosd, sind
 
 def ray_rectangle(x, y, bearing_deg, width: float, height: float) -> Column:
     """Distance from an inside point to the wall of [0,w]x[0,h] along a bearing; NULL outside."""
-    x, y, b = col(x), col(y), col(bearing_deg)
-    dx, dy = sind(b), -cosd(b)
+    return wall_rectangle(x, y, *ray_direction(bearing_deg), width, height)
+
+
+def ray_direction(bearing_deg) -> tuple[Column, Column]:
+    b = col(bearing_deg)
+    return sind(b), -cosd(b)
+
+
+def wall_rectangle(x, y, dx, dy, width: float, height: float) -> Column:
+    """ray_rectangle along a unit vector."""
+    x, y, dx, dy = map(col, (x, y, dx, dy))
     eps = F.lit(1e-12)
     tx = F.when(dx > eps, (width - x) / dx).when(dx < -eps, -x / dx)
     ty = F.when(dy > eps, (height - y) / dy).when(dy < -eps, -y / dy)
@@ -19,8 +28,12 @@ def ray_rectangle(x, y, bearing_deg, width: float, height: float) -> Column:
 
 def ray_circle(x, y, bearing_deg, cx: float, cy: float, radius: float) -> Column:
     """Distance from an inside point to a circle along a bearing; NULL outside."""
-    px, py, b = col(x) - cx, col(y) - cy, col(bearing_deg)
-    dx, dy = sind(b), -cosd(b)
+    return wall_circle(x, y, *ray_direction(bearing_deg), cx, cy, radius)
+
+
+def wall_circle(x, y, dx, dy, cx: float, cy: float, radius: float) -> Column:
+    """ray_circle along a unit vector."""
+    px, py, dx, dy = col(x) - cx, col(y) - cy, col(dx), col(dy)
     dot = px * dx + py * dy
     disc = dot * dot - (px * px + py * py - radius * radius)
     inside = (px * px + py * py) <= radius * radius

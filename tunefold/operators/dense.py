@@ -25,9 +25,14 @@ def dense_fixed(df: DataFrame, keys: list[str], axes: dict[str, int], values: li
 
 
 def dense_by_table(df: DataFrame, keys: list[str], dim: DataFrame, dim_keys: list[str], cell: list[str], values: list[str], dim_values: list[str], fill=None) -> DataFrame:
-    """Every key with every cell its group has in `dim` (for example the visited cells of its session)."""
-    g = dim.groupBy(*dim_keys).agg(F.collect_list(F.struct(*cell, *dim_values)).alias("_g"))
-    d = _packed(df, keys, cell, values).join(g, dim_keys).select(*keys, "_m", F.explode("_g").alias("_c")).select(*keys, "_m", "_c.*")
-    hit = F.try_element_at("_m", cell_code(cell))
-    pick = lambda v: hit[v] if fill is None else F.coalesce(hit[v], F.lit(fill))
+    """Every key with every cell its group has in `dim` (for example the visited cells of its session). Cells must be unique per key and group.
+
+    A cell's key is a text: two maps of texts are laid beside each other by a hash table, while one of structs is searched cell by cell.
+    """
+    code = F.concat_ws(",", *[F.coalesce(F.col(a).cast("long").cast("string"), F.lit("")) for a in cell])
+    packed = lambda d, by, cols, name: d.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(code.alias("k"), F.struct(*cols).alias("v")))).alias(name))
+    d = packed(df, keys, values, "_m").join(packed(dim, dim_keys, [*cell, *dim_values], "_g"), dim_keys)
+    both = F.map_zip_with("_g", "_m", lambda k, g, m: F.struct(g.alias("c"), m.alias("v")))
+    d = d.select(*keys, F.explode(F.map_values(both)).alias("_x")).filter("_x.c IS NOT NULL").select(*keys, "_x.c.*", F.col("_x.v").alias("_v"))
+    pick = lambda v: F.col("_v")[v] if fill is None else F.coalesce(F.col("_v")[v], F.lit(fill))
     return d.select(*keys, *cell, *dim_values, *[pick(v).alias(v) for v in values])

@@ -5,21 +5,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.angles import col, circular_distance, cosd, sind, wrap360
 from ..functions.bins import even_bin, right_closed_bin
-from ..functions.geometry import ray_circle, ray_rectangle
+from ..functions.geometry import ray_direction, ray_rectangle, wall_circle, wall_rectangle
 from ..functions.hashing import replicate, uniform
 from ..session import cut_lineage
 from .dense import dense_by_table
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column made once a row: a generator of one row, so that it is not written out again in every step and filter that reads it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def ray_bins(poses: DataFrame, *, n_theta: int, dist_cm: float, n_dist: int, arena: tuple[float, float] | None = None, circle: tuple[float, float, float] | None = None) -> DataFrame:
     """Every pose with its (theta_bin, dist_bin) of the wall, one row per fixed bearing. A narrow step: the rays
     come from the pose in the row, so nothing is joined. Circular arenas use right-closed distance bins."""
     step = 360.0 / n_theta
     f = poses.withColumn("theta_bin", F.explode(F.sequence(F.lit(0), F.lit(n_theta - 1))))
-    b = F.col("hd") + (F.col("theta_bin") + 0.5) * step
-    d = ray_rectangle("x", "y", b, *arena) if arena else ray_circle("x", "y", b, *circle)
-    db = even_bin(d, 0.0, dist_cm, n_dist) if arena else right_closed_bin(d, 0.0, dist_cm, n_dist)
-    return f.withColumn("dist_bin", db).filter("dist_bin IS NOT NULL")
+    dx, dy = ray_direction(F.col("hd") + (F.col("theta_bin") + 0.5) * step)
+    f = _once(f, "_ray", F.struct(dx.alias("dx"), dy.alias("dy")))
+    at = ("x", "y", "_ray.dx", "_ray.dy")
+    f = _once(f, "_wall", wall_rectangle(*at, *arena) if arena else wall_circle(*at, *circle))
+    db = even_bin("_wall", 0.0, dist_cm, n_dist) if arena else right_closed_bin("_wall", 0.0, dist_cm, n_dist)
+    return f.withColumn("dist_bin", db).drop("_ray", "_wall").filter("dist_bin IS NOT NULL")
 
 
 def occupancy_map(poses: DataFrame, keys: list[str], dt: float, **geom) -> DataFrame:
@@ -69,10 +76,14 @@ def distance_peaks(rates: DataFrame, keys: list[str], bands: dict[str, tuple[flo
 
 
 def subset_maps(poses: DataFrame, spikes: DataFrame, session: list[str], unit: list[str], subsets: dict[str, Column], dt: float, **geom) -> DataFrame:
-    """Rate maps of several frame subsets in one pass: every pose and spike is fanned to the subsets that hold."""
-    arr = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in subsets.items()]), lambda x: x.isNotNull())
-    o = occupancy_map(poses.withColumn("subset", F.explode(arr)), [*session, "subset"], dt, **geom)
-    n = spike_map(spikes.withColumn("subset", F.explode(arr)).withColumn("_one", F.lit(1)), [*session, *unit, "subset"], "_one", **geom)
+    """Rate maps of several frame subsets in one pass: a cell's poses and spikes are counted for all subsets at once, not fanned to them."""
+    def counted(df, keys, value, name):
+        g = ray_bins(df, **geom).groupBy(*keys, "theta_bin", "dist_bin").agg(*[F.count_if(c).alias(f"_n_{k}") for k, c in subsets.items()])
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("subset"), F.col(f"_n_{k}").alias("n")) for k in subsets])).alias("_q")
+        return g.select(*keys, "theta_bin", "dist_bin", each).filter("_q.n > 0").select(*keys, "theta_bin", "dist_bin", "_q.subset", value(F.col("_q.n")).alias(name))
+
+    o = counted(poses, session, lambda c: c * dt, "occ_s")
+    n = counted(spikes, [*session, *unit], lambda c: c, "n_spikes")
     tag = F.create_map(*[x for i, k in enumerate(subsets) for x in (F.lit(k), F.lit(i))])
     coded = lambda d: d.withColumn("_s", tag[F.col("subset")])
     j = dense_by_table(coded(n), [*session, *unit], coded(o), session, ["_s", "theta_bin", "dist_bin"], ["n_spikes"], ["subset", "occ_s"], fill=0)
