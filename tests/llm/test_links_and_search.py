@@ -203,6 +203,35 @@ def test_a_template_shared_by_many_other_texts(docs_of, monkeypatch, group):
     assert all(got[1500 + i] == (i, i) for i in range(80))
 
 
+def test_pairs_of_a_cell_are_compared_where_its_texts_are(spark):
+    rng = random.Random(17)
+    base = [f"t{i}" for i in range(60)]
+    texts = [" ".join(edited(rng, base, 0.1)) for _ in range(30)]
+    h, o = words.tokens(texts)
+    w = [h[o[i]:o[i + 1]] for i in range(len(texts))]
+    every = [(a, b, (a % 2) * 10 + b % 2) for a in range(30) for b in range(a + 1, 30)]
+    want = sorted((a, b) for a, b, _ in every if minhash.similar(w[a], w[b]))
+    pairs = spark.createDataFrame(every, "a long, b long, cell long")
+    got = minhash._compared(pairs, spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 0.8)
+    assert sorted(map(tuple, got.collect())) == want and 20 < len(want) < len(every)
+    # the only join is that of the texts of the cells, of which there are far fewer than pairs
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+@pytest.mark.parametrize("block", [minhash.BLOCK, 3])
+def test_blocks_change_no_class(docs_of, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(18)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"w{rng.randrange(30)}" for _ in range(17)]) for _ in range(80)]
+    s = minhash.sketches(texts)[0]
+    h, o = words.tokens(texts)
+    w = [h[o[i]:o[i + 1]] for i in range(len(texts))]
+    links = [(j, i) for i in range(len(texts)) for j in range(i) if (s[i] == s[j]).any() and minhash.similar(w[i], w[j])]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs_of(texts)).collect()}
+    assert got == dict(enumerate(classes_of(len(texts), links)))
+
+
 def test_repeated_and_missing_ids(docs_of):
     texts = ["a b c d e f g", "a b c d e f g", "other text here now", "a b c d e f g", None]
     got = sorted((r["doc_id"] is None, r["doc_id"], r["class_id"], r["kept"]) for r in minhash.classes(docs_of(texts, [4, 4, 4, None, 9])).collect() if r["doc_id"] is not None)

@@ -12,7 +12,8 @@ at by their lengths and counts of words in BAG cells, which rule out most before
 than the edits. Members of larger buckets are joined by an exact filter instead: with at most d edits, two texts share one of
 the d + 1 rarest words of each (words labelled by their occurrence, in one order for all texts, rare ones first), so only
 members of a family of such buckets that share a rare word, and are of about a length, meet; a template that thousands of
-texts share is frequent and stays out. No pair that shares a bucket is left out unless it is in one class. A comparison
+texts share is frequent and stays out. Pairs are never joined with texts: a text goes once to every cell of two BLOCKs of texts in
+which it has a pair, blocks being parts of the fullest of a text's buckets, and the cell compares its pairs. No pair that shares a bucket is left out unless it is in one class. A comparison
 aligns the words inside the band of the edits that similarity still allows; similarity is 1 - edits / words of the longer text.
 """
 from __future__ import annotations
@@ -43,6 +44,8 @@ DRAWN = 12
 BAG = 256
 #: Texts of a bucket that one task compares by lengths and counts; larger buckets are joined by rare words.
 GROUP = 4096
+#: Texts of a bucket that form a block; a cell holds the texts of two blocks.
+BLOCK = 128
 #: Cells in which words are counted to order them by rarity; any order is right, a good one makes few pairs.
 CELLS = 1 << 18
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -182,36 +185,36 @@ def _possible(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
         yield batch.select(["a", "b"]).filter(pa.array(near(_bag(a), n.to_numpy(), _bag(b), m.to_numpy(), similarity)))
 
 
-def _group(node: np.ndarray, cls: np.ndarray, n: np.ndarray, bag: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different classes that can be similar, by rising length."""
+def _group(node: np.ndarray, cls: np.ndarray, n: np.ndarray, block: np.ndarray, bag: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of different classes that can be similar with their blocks, by rising length."""
     order = np.argsort(n, kind="stable")
-    node, cls, n, bag = node[order], cls[order], n[order], bag[order]
+    node, cls, n, block, bag = node[order], cls[order], n[order], block[order], bag[order]
     stop = np.searchsorted(n, np.floor(n / similarity + 1e-9), side="right")
     for i in range(len(n)):
         j = np.arange(i + 1, stop[i])
         j = j[cls[j] != cls[i]]
         if len(j):
             j = j[near(bag[i], n[i], bag[j], n[j], similarity)]
-            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(block[i], block[j]), np.maximum(block[i], block[j])
 
 
 def _met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """(a, b): members of a bucket, whose rows come in a row, that are in different classes and can be similar."""
+    """(a, b, block_1, block_2): members of a bucket, whose rows come in a row, that are in different classes and can be similar."""
     held: list[pa.RecordBatch] = []
+    whole = lambda parts: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["a", "b", "block_1", "block_2"])
 
     def paired() -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
         held.clear()
-        a, b, many = [], [], 0
-        for x, y in _group(*(rows.column(c).to_numpy() for c in ("id", "class", "words")), _bag(rows.column("bag")), similarity):
-            a.append(x)
-            b.append(y)
-            many += len(x)
+        parts, many = [], 0
+        for part in _group(*(rows.column(c).to_numpy() for c in ("id", "class", "words", "block")), _bag(rows.column("bag")), similarity):
+            parts.append(part)
+            many += len(part[0])
             if many > 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                a, b, many = [], [], 0
+                yield whole(parts)
+                parts, many = [], 0
         if many:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            yield whole(parts)
 
     for batch in batches:
         if not batch.num_rows:
@@ -268,6 +271,33 @@ def _linked(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _aligned(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): the similar ones of the pairs (cell, id, other, no text) of a cell, whose rows come in a row after those of its texts (cell, id, no other, text)."""
+    cell, seen = None, {}
+    for part in (p for batch in batches for p in slices(batch)):
+        cells, ids, other = (part.column(c).to_pylist() for c in (0, 1, 2))
+        at = [i for i, x in enumerate(other) if x is None]
+        hashes, ends = words.tokens(part.column(3).take(pa.array(at, pa.int64())).to_pylist())
+        k, found = 0, []
+        for c, one, two in zip(cells, ids, other):
+            if c != cell:
+                cell, seen = c, {}
+            if two is None:
+                seen[one] = hashes[ends[k]:ends[k + 1]].copy()
+                k += 1
+            elif similar(seen[one], seen[two], similarity):
+                found.append((one, two))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the similar ones of pairs a, b, cell."""
+    members = pairs.select("cell", F.col("a").alias("id")).union(pairs.select("cell", "b")).distinct().join(texts, "id")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = members.select("cell", "id", none("long").alias("other"), "text").union(pairs.select("cell", "a", "b", none("string")))
+    return rows.repartition("cell").sortWithinPartitions("cell", F.col("other").asc_nulls_first()).mapInArrow(lambda it: _aligned(it, similarity), "a long, b long")
+
+
 def _in_classes(buckets: DataFrame, classes: DataFrame | None) -> DataFrame:
     if classes is None:
         return buckets.withColumn("class", F.col("id"))
@@ -294,12 +324,19 @@ def _pairs(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _rest(rows: DataFrame, texts: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the pairs of different classes that share a bucket and can be similar."""
+    """(a, b, cell): the pairs of different classes that share a bucket and can be similar, and where they are compared."""
     mixed = stable(rows.join(_mixed(rows), "key"), "mixed")
-    small = mixed.filter(F.col("n") <= GROUP).select("key", "id", "class").join(sketched.select("id", "words", "bag"), "id")
-    met = small.select("key", "id", "class", "words", "bag").repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _met(it, similarity), "a long, b long").distinct()
+    small = mixed.filter(F.col("n") <= GROUP)
+    home = small.groupBy("id").agg(F.max(F.struct("n", "key")).alias("h"))
+    home = home.select("id", F.xxhash64("h.key", F.pmod(F.xxhash64("id"), F.ceil(F.col("h.n") / BLOCK))).alias("block"))
+    small = small.select("key", "id", "class").join(home.join(sketched.select("id", "words", "bag"), "id"), "id")
+    met = small.select("key", "id", "class", "words", "bag", "block").repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _met(it, similarity), "a long, b long, block_1 long, block_2 long").distinct()
+    met = met.select("a", "b", F.xxhash64("block_1", "block_2").alias("cell"))
     large = mixed.filter(F.col("n") > GROUP)
-    return met.union(_by_rare_words(large, texts, sketched, similarity)) if large.limit(1).count() else met
+    if not large.limit(1).count():
+        return met
+    # a pair of both kinds is looked at twice
+    return met.union(_by_rare_words(large, texts, sketched, similarity).select("a", "b", F.col("a").alias("cell")))
 
 
 def _by_rare_words(mixed: DataFrame, texts: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
@@ -372,10 +409,12 @@ def _known(docs: DataFrame, similarity: float, k: int, picked: int, functions: i
         pairs = _first_pairs(single.filter(F.col("f") < FEW)) if known is None else _pairs(rows, turn) if turn <= rounds else _rest(rows, texts, firsts, similarity)
         if turn <= rounds:
             pairs = stable(pairs, "pairs").join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _possible(it, similarity), "a long, b long")
-        pairs = stable(pairs, "possible")
-        asked = texts.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi")  # of the texts only those to be compared are dealt
-        text = lambda c: asked.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
-        found = stable(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(lambda it: _linked(it, similarity), "a long, b long"), "found")
+            pairs = stable(pairs, "possible")
+            asked = texts.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi")  # of the texts only those to be compared are dealt
+            text = lambda c: asked.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
+            found = stable(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(lambda it: _linked(it, similarity), "a long, b long"), "found")
+        else:
+            found = stable(_compared(stable(pairs, "possible"), texts, similarity).distinct(), "found")
         links = found if links is None else links.union(found)
         known = components(found if known is None else found.union(known.toDF("a", "b")))
     return nodes.select("digest", "node", "least", "n"), known, links, drawn.count()
