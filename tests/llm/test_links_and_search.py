@@ -232,6 +232,25 @@ def test_blocks_change_no_class(docs_of, monkeypatch, block):
     assert got == dict(enumerate(classes_of(len(texts), links)))
 
 
+def test_pairs_of_a_bucket_are_rows_of_no_table():
+    rng = random.Random(19)
+    base, tail = [f"t{i}" for i in range(60)], [f"w{i}" for i in range(60)]
+    texts = [" ".join(base + rng.sample(tail, 60)) for _ in range(80)]
+    texts += [t + " more" for t in texts[:30]]
+    s, h, o = minhash.sketches(texts)[0], *words.tokens(texts)
+    w = [h[o[i]:o[i + 1]] for i in range(len(texts))]
+    buckets = [(int(k), np.flatnonzero(s[:, f] == k).tolist()) for f in range(64) for k in np.unique(s[:, f])]
+    rows = [{"key": int(np.uint64(k).view(np.int64)), "id": i, "class": i, "words": len(w[i]), "bag": minhash.bags(w[i], np.array([0, len(w[i])])).tobytes(),
+             "sketch": s[i].view(np.int64).tolist(), "part": 0, "text": texts[i]} for k, ids in buckets if len(ids) > 1 for i in ids]
+    batch = pa.RecordBatch.from_pylist(rows)
+    met = sum(b.num_rows for b in minhash._met(iter([batch.slice(0, 57), batch.slice(57)]), 0.8))
+    links = [(a, b) for got in minhash._joined(iter([batch.slice(0, 57), batch.slice(57)]), 0.8) for a, b in zip(*map(pa.Array.to_pylist, got.columns))]
+    every = [(i, j) for j in range(len(texts)) for i in range(j) if (s[i] == s[j]).any() and minhash.similar(w[i], w[j])]
+    assert met <= len(rows) and set(links) <= set(every) and classes_of(len(texts), links) == classes_of(len(texts), every)
+    # each similar pair is looked at in one of the buckets that it shares
+    assert sorted(links) == sorted(every) and len(every) == 30
+
+
 def test_repeated_and_missing_ids(docs_of):
     texts = ["a b c d e f g", "a b c d e f g", "other text here now", "a b c d e f g", None]
     got = sorted((r["doc_id"] is None, r["doc_id"], r["class_id"], r["kept"]) for r in minhash.classes(docs_of(texts, [4, 4, 4, None, 9])).collect() if r["doc_id"] is not None)

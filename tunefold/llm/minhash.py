@@ -8,12 +8,13 @@ together for about one comparison a text. Then, in ROUNDS rounds over all bucket
 member of each class is compared with a leader.
 
 What is left are buckets that hold several classes. In one of at most GROUP texts all pairs of different classes are looked
-at by their lengths and counts of words in BAG cells, which rule out most before texts are fetched: they differ by no more
-than the edits. Members of larger buckets are joined by an exact filter instead: with at most d edits, two texts share one of
+at by their lengths and counts of words in BAG cells, which rule out most: they differ by no more than the edits. A pair that
+shares several buckets is looked at in one of them, drawn by its ids. Pairs are rows of no table: the first pass over a bucket
+returns the members that have such a partner, the second one gets their texts, compares them and returns the links that bring
+classes together. Members of larger buckets are joined by an exact filter instead: with at most d edits, two texts share one of
 the d + 1 rarest words of each (words labelled by their occurrence, in one order for all texts, rare ones first), so only
 members of a family of such buckets that share a rare word, and are of about a length, meet; a template that thousands of
-texts share is frequent and stays out. Pairs are never joined with texts: a text goes once to every cell of two BLOCKs of texts in
-which it has a pair, blocks being parts of the fullest of a text's buckets, and the cell compares its pairs. No pair that shares a bucket is left out unless it is in one class. A comparison
+texts share is frequent and stays out. No pair that shares a bucket is left out unless it is in one class. A comparison
 aligns the words inside the band of the edits that similarity still allows; similarity is 1 - edits / words of the longer text.
 """
 from __future__ import annotations
@@ -44,8 +45,9 @@ DRAWN = 12
 BAG = 256
 #: Texts of a bucket that one task compares by lengths and counts; larger buckets are joined by rare words.
 GROUP = 4096
-#: Texts of a bucket that form a block; a cell holds the texts of two blocks.
-BLOCK = 128
+#: Texts, and words of them, that form a part of a bucket; a bucket of more is compared in cells of two parts.
+BLOCK = 2048
+HELD = 1 << 21
 #: Cells in which words are counted to order them by rarity; any order is right, a good one makes few pairs.
 CELLS = 1 << 18
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -185,50 +187,82 @@ def _possible(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
         yield batch.select(["a", "b"]).filter(pa.array(near(_bag(a), n.to_numpy(), _bag(b), m.to_numpy(), similarity)))
 
 
-def _group(node: np.ndarray, cls: np.ndarray, n: np.ndarray, block: np.ndarray, bag: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of different classes that can be similar with their blocks, by rising length."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of every value of the first column, which come in a row."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+            if held and (first or held[-1].column(0)[-1].as_py() != key[0]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(first, end - first))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(rows: pa.Table, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows): the members of a bucket in different classes that can be similar and that this bucket compares, by rising length.
+
+    Two texts share the buckets of several functions; their ids draw the one of these functions whose bucket compares them.
+    In a cell of two parts only members of different parts meet.
+    """
+    n, part = rows.column("words").to_numpy(), rows.column("part").to_numpy()
     order = np.argsort(n, kind="stable")
-    node, cls, n, block, bag = node[order], cls[order], n[order], block[order], bag[order]
+    n, part, cls = n[order], part[order], rows.column("class").to_numpy()[order]
+    bag, sketch = _bag(rows.column("bag"))[order], np.stack(rows.column("sketch").to_numpy())[order]
+    draw = words.mix(rows.column("id").to_numpy()[order].astype(np.uint64))
+    functions = sketch.shape[1]
+    own, crossed = int(np.argmax(sketch[0] == rows.column("key")[0].as_py())), part.min() != part.max()
     stop = np.searchsorted(n, np.floor(n / similarity + 1e-9), side="right")
     for i in range(len(n)):
         j = np.arange(i + 1, stop[i])
-        j = j[cls[j] != cls[i]]
+        j = j[(cls[j] != cls[i]) & ((part[j] != part[i]) if crossed else True)]
         if len(j):
             j = j[near(bag[i], n[i], bag[j], n[j], similarity)]
-            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(block[i], block[j]), np.maximum(block[i], block[j])
+        if len(j):
+            turn = ((draw[i] + draw[j]) % np.uint64(functions)).astype(np.int64)
+            away = np.where(sketch[j] == sketch[i], (np.arange(functions) - turn[:, None]) % functions, functions)
+            j = j[away.argmin(axis=1) == own]
+        if len(j):
+            yield int(order[i]), order[j]
 
 
 def _met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """(a, b, block_1, block_2): members of a bucket, whose rows come in a row, that are in different classes and can be similar."""
-    held: list[pa.RecordBatch] = []
-    whole = lambda parts: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["a", "b", "block_1", "block_2"])
-
-    def paired() -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        held.clear()
-        parts, many = [], 0
-        for part in _group(*(rows.column(c).to_numpy() for c in ("id", "class", "words", "block")), _bag(rows.column("bag")), similarity):
-            parts.append(part)
-            many += len(part[0])
-            if many > 1 << 16:
-                yield whole(parts)
-                parts, many = [], 0
-        if many:
-            yield whole(parts)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column("key").to_numpy()
-        if held and held[-1].column("key")[-1].as_py() != key[0]:
-            yield from paired()
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-            if first:
-                yield from paired()
-            held.append(batch.slice(first, end - first))
-    if held:
-        yield from paired()
+    """(key, id): members of a bucket that it has to compare with another."""
+    for rows in _runs(batches):
+        wanted = np.zeros(rows.num_rows, bool)
+        for i, j in _candidates(rows, similarity):
+            wanted[i] = wanted[j] = True
+        if wanted.any():
+            yield from rows.select(["key", "id"]).filter(pa.array(wanted)).combine_chunks().to_batches()
+
+
+def _joined(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): similar members of a cell, whose rows come in a row; as many as bring its classes together, fewer than it has rows."""
+    for rows in _runs(batches):
+        ids, cls = rows.column("id").to_pylist(), rows.column("class").to_pylist()
+        hashes, ends = words.tokens(rows.column("text").to_pylist())
+        text = [hashes[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        root = {c: c for c in cls}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        found = []
+        for i, others in _candidates(rows, similarity):
+            for j in others.tolist():
+                one, two = top(cls[i]), top(cls[j])
+                if one != two and similar(text[i], text[j], similarity):
+                    root[two] = one
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
 
 def _labels(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -324,19 +358,23 @@ def _pairs(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _rest(rows: DataFrame, texts: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, cell): the pairs of different classes that share a bucket and can be similar, and where they are compared."""
+    """(a, b): links between classes that share a bucket, as many as bring together those that its similar pairs do."""
     mixed = stable(rows.join(_mixed(rows), "key"), "mixed")
-    small = mixed.filter(F.col("n") <= GROUP)
-    home = small.groupBy("id").agg(F.max(F.struct("n", "key")).alias("h"))
-    home = home.select("id", F.xxhash64("h.key", F.pmod(F.xxhash64("id"), F.ceil(F.col("h.n") / BLOCK))).alias("block"))
-    small = small.select("key", "id", "class").join(home.join(sketched.select("id", "words", "bag"), "id"), "id")
-    met = small.select("key", "id", "class", "words", "bag", "block").repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _met(it, similarity), "a long, b long, block_1 long, block_2 long").distinct()
-    met = met.select("a", "b", F.xxhash64("block_1", "block_2").alias("cell"))
+    small = mixed.filter(F.col("n") <= GROUP).select("key", "id", "class").join(sketched.select("id", "words", "bag", "sketch"), "id")
+    whole = small.select("key", "id", "class", "words", "bag", "sketch", F.lit(0).alias("part"))
+    met = stable(whole.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _met(it, similarity), "key long, id long"), "met")
+    held = met.join(small, ["key", "id"]).withColumn("part", F.xxhash64("id"))
+    parts = held.groupBy("key").agg(F.greatest(F.ceil(F.sum("words") / HELD), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("parts"))
+    held = held.join(parts, "key").withColumn("part", F.pmod("part", "parts").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = held.withColumn("cell", F.xxhash64("key", F.least("part", "with"), F.greatest("part", "with"))).drop("with", "parts").join(texts, "id")
+    held = held.select("cell", "key", "part", "id", "class", "words", "bag", "sketch", "text").repartition("cell").sortWithinPartitions("cell")
+    found = held.mapInArrow(lambda it: _joined(it, similarity), "a long, b long")
     large = mixed.filter(F.col("n") > GROUP)
     if not large.limit(1).count():
-        return met
+        return found
     # a pair of both kinds is looked at twice
-    return met.union(_by_rare_words(large, texts, sketched, similarity).select("a", "b", F.col("a").alias("cell")))
+    pairs = stable(_by_rare_words(large, texts, sketched, similarity).withColumn("cell", F.col("a")), "possible")
+    return found.union(_compared(pairs, texts, similarity))
 
 
 def _by_rare_words(mixed: DataFrame, texts: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
@@ -414,7 +452,7 @@ def _known(docs: DataFrame, similarity: float, k: int, picked: int, functions: i
             text = lambda c: asked.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
             found = stable(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(lambda it: _linked(it, similarity), "a long, b long"), "found")
         else:
-            found = stable(_compared(stable(pairs, "possible"), texts, similarity).distinct(), "found")
+            found = stable(pairs.distinct(), "found")
         links = found if links is None else links.union(found)
         known = components(found if known is None else found.union(known.toDF("a", "b")))
     return nodes.select("digest", "node", "least", "n"), known, links, drawn.count()
