@@ -127,3 +127,18 @@ def test_stream_rates_of_overlapping_batches_equal_the_curve(spark, tmp_path):
     want = TU.tuning_curve(spark.createDataFrame(spikes, "session INT, t DOUBLE, unit LONG"), spark.createDataFrame(frames, "session INT, t DOUBLE, angle DOUBLE"), ["session"], ["unit"], t="t", ft="t", angle="angle", n=12, fs=2.0, width=600.0)
     cols = ("session", "unit", "bin", "n_spikes", "occ_s", "rate_hz")
     assert rows(ST.rates(w, "session", 12).filter("session < 9"), *cols) == rows(want, *cols) and near.count() == len(spikes)
+
+
+def test_stream_of_trial_windows_meets_rows_by_stretches_of_time(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    sp = [(int(k), int(i), float(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 2, 80), rng.integers(0, 400, 80)))] + [(0, 900, None), (None, 901, 5.0)]
+    tr = [(int(k), int(i), float(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 2, 25), rng.integers(0, 400, 25)))] + [(0, 950, None)]
+    s = batches(spark, str(tmp_path / "s"), "k INT, i INT, t DOUBLE", [sp[::2], sp[1::2]])
+    r = batches(spark, str(tmp_path / "r"), "k INT, trial INT, t DOUBLE", [tr[1::2], tr[::2]]).withColumnRenamed("ts", "onset")
+    j = ST.stream_trial_counts(s, r, ["k"], "ts", "onset", "'-20' SECOND", "'50' SECOND")
+    got = ST.drain(j, str(tmp_path / "w"), mode="append")
+    assert got.columns == ["k", "i", "ts", "trial", "onset"]
+    want = sorted((i, trial) for k, i, t in sp for k2, trial, o in tr if None not in (k, t, o) and k == k2 and o - 20 <= t < o + 50)
+    assert sorted((x["i"], x["trial"]) for x in got.collect()) == want and len(want) > 100
+    # rows of one key are told apart by the stretch, in the condition of the join
+    assert "_part" in j._jdf.queryExecution().analyzed().toString()

@@ -203,11 +203,22 @@ def rates(windows: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def stream_trial_counts(spikes: DataFrame, trials: DataFrame, keys: list[str], ts: str, onset: str, lo: str, hi: str, late: str = "1 hour") -> DataFrame:
-    """Stream-stream join of spikes in [onset+lo, onset+hi); watermarks bound the join state on both sides."""
-    s, r = spikes.withWatermark(ts, late).alias("s"), trials.withWatermark(onset, late).alias("r")
-    on = [F.col(f"s.{k}") == F.col(f"r.{k}") for k in keys]
+    """Stream-stream join of spikes in [onset+lo, onset+hi); watermarks bound the join state on both sides.
+
+    A trial is held once for every stretch of time, of the window's length, that its window meets (two at most for windows
+    of fixed length) and a spike in one, so a row is compared with the state of its stretch and not with that of its whole key.
+    """
+    at = lambda t, by: F.unix_micros(t + F.expr(f"INTERVAL {by}"))
+    zero = F.timestamp_micros(F.lit(0))
+    long = F.greatest(at(zero, hi) - at(zero, lo), F.lit(1))
+    part = lambda us: F.floor(us / long).cast("long")
+    s = spikes.withWatermark(ts, late).withColumn("_part", part(F.unix_micros(ts))).alias("s")
+    # a bound rounded to the other side of an edge must not lose a stretch
+    first, after = part(at(F.col(onset), lo) - 1), part(at(F.col(onset), hi) + 1)
+    r = trials.withWatermark(onset, late).withColumn("_part", F.explode(F.sequence(first, F.greatest(first, after)))).alias("r")
+    on = [F.col(f"s.{k}") == F.col(f"r.{k}") for k in [*keys, "_part"]]
     on += [F.col(f"s.{ts}") >= F.col(f"r.{onset}") + F.expr(f"INTERVAL {lo}"), F.col(f"s.{ts}") < F.col(f"r.{onset}") + F.expr(f"INTERVAL {hi}")]
-    return s.join(r, on, "inner").select("s.*", *[F.col(f"r.{c}") for c in trials.columns if c not in spikes.columns])
+    return s.join(r, on, "inner").select(*[F.col(f"s.{c}") for c in spikes.columns], *[F.col(f"r.{c}") for c in trials.columns if c not in spikes.columns])
 
 
 def stream_rate(events: DataFrame, keys: list[str], ts: str, window: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
