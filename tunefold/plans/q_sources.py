@@ -151,8 +151,8 @@ def seconds(us):
 @query("T01_stream_pulses", "SELECT session, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s FROM r_pul")
 def t01(spark, sf):
     path = S.scratch(spark, "t01")
-    e = ST.closed(ev_stream(spark, sf).select("session", "ts", (F.col("value") > 40).alias("on")), path, "ts", "session")
-    return ST.drain(ST.stream_pulses(e, "session", "ts", "on"), path, mode="append").select("session", seconds("start_us").alias("start_s"), seconds("end_us").alias("end_s"))
+    e = ST.closed(ev_stream(spark, sf).select("session", "ts", "event_id", (F.col("value") > 40).alias("on")), path, "ts", "session")
+    return ST.drain(ST.stream_pulses(e, "session", "ts", "on", place="event_id"), path, mode="append").select("session", seconds("start_us").alias("start_s"), seconds("end_us").alias("end_s"))
 
 
 @query("T02_stream_tuning", "SELECT session, unit_id, bin, n_spikes, round(occ_s, 6) AS occ_s, round(rate_hz, 9) AS rate_hz FROM r_tc")

@@ -58,7 +58,7 @@ class _Held(StatefulProcessor):
 
     def tuples(self, df: pd.DataFrame) -> list[tuple]:
         """Rows for the state, whose types are strict."""
-        kind = {"us": int, "unit": int, "on": bool, "angle": float}
+        kind = {"us": int, "place": int, "unit": int, "on": bool, "angle": float}
         return list(zip(*[[None if pd.isna(v) else kind[c](v) for v in df[c]] for c in self.columns]))
 
     def set_timer(self, first: int | None) -> None:
@@ -88,7 +88,7 @@ class _Held(StatefulProcessor):
 
 
 class _Pulses(_Held):
-    waiting_schema, columns, ties, needed = "us BIGINT, on BOOLEAN", ["us", "on"], ["on"], ["us", "on"]
+    waiting_schema, columns, ties, needed = "us BIGINT, place BIGINT, on BOOLEAN", ["us", "place", "on"], ["place", "on"], ["us", "on"]
 
     def __init__(self, key: str) -> None:
         self.key = key
@@ -111,15 +111,16 @@ class _Pulses(_Held):
         return ends, df[~ready]
 
 
-def stream_pulses(samples: DataFrame, key: str, ts: str, on: str, late: str = "1 hour") -> DataFrame:
+def stream_pulses(samples: DataFrame, key: str, ts: str, on: str, late: str = "1 hour", place: str | None = None) -> DataFrame:
     """Rise-to-fall pulses (key, start_us, end_us) with the level and an open rise carried along, in append mode.
 
     Samples may come `late` behind the latest: they wait in state until the watermark has passed and are then ordered, so
     overlapping batches give what one sorted batch gives. Samples without key, time or level are left out; those later
-    than the watermark are dropped and never change the level. At equal times off comes before on.
+    than the watermark are dropped and never change the level. At equal times samples go by the long `place` if given
+    (nulls last), then off comes before on.
     """
     samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = samples.withWatermark(ts, late).filter(F.col(key).isNotNull()).select(key, ts, F.unix_micros(ts).alias("us"), F.col(on).alias("on"))
+    rows = samples.withWatermark(ts, late).filter(F.col(key).isNotNull()).select(key, ts, F.unix_micros(ts).alias("us"), (F.col(place) if place else F.lit(None)).cast("long").alias("place"), F.col(on).alias("on"))
     return rows.groupBy(key).transformWithStateInPandas(_Pulses(key), f"{key} {dict(samples.dtypes)[key]}, start_us BIGINT, end_us BIGINT", "append", "eventTime")
 
 
