@@ -19,20 +19,57 @@ def acg(spikes: DataFrame, keys: list[str], t: str, *, bin_s: float, max_lag_s:
     """Positive half of the autocorrelogram: lag index 0..radius with centred bins; no self pairs, coincidences count twice.
 
     Equal times are first merged into one row with a multiplicity. Times are cut into stretches of one maximum
-    lag and only meet their own and the next stretch, so a busy unit spreads over its time axis; pairs are
-    counted at once and never leave the stage as rows.
+    lag and only meet their own and the next stretch, so a busy unit spreads over its time axis. A stretch and the
+    next one are one row with a sorted array, in which the border of every lag bin is searched for every time: the
+    work grows with times and bins and not with pairs.
     """
-    e = spikes.groupBy(*keys, F.col(t).alias("_t")).agg(F.count(F.lit(1)).alias("_m"))
+    size, has = int(math.floor(max_lag_s / bin_s + 0.5)) + 1, F.col(t).isNotNull() & ~F.isnan(F.col(t).cast("double"))
+    for k in keys:
+        has = has & F.col(k).isNotNull()
+    e = spikes.filter(has).groupBy(*keys, F.col(t).alias("_t")).agg(F.count(F.lit(1)).alias("_m"))
     b = F.floor(F.col("_t") / max_lag_s).cast("long")
-    left = e.select(*keys, F.col("_t").alias("_t1"), F.col("_m").alias("_m1"), b.alias("_b"))
-    right = e.select(*keys, F.col("_t").alias("_t2"), F.col("_m").alias("_m2"), F.explode(F.array(b, b - 1)).alias("_b"))
-    j = left.join(right, [*keys, "_b"]).filter((F.col("_t2") >= F.col("_t1")) & (F.col("_t2") - F.col("_t1") <= max_lag_s))
-    same = F.col("_t1") == F.col("_t2")
-    # equal times: m(m-1)/2 pairs; the copy in the previous stretch cannot be equal, so nothing counts twice
-    n = F.when(same, F.col("_m1") * (F.col("_m1") - 1) / 2).otherwise(F.col("_m1") * F.col("_m2"))
-    lag = F.floor((F.col("_t2") - F.col("_t1")) / bin_s + 0.5).cast("int")
-    g = j.groupBy(*keys, lag.alias("lag")).agg(F.sum(n).cast("long").alias("n")).filter("n > 0")
-    return g.withColumn("n", F.when(F.col("lag") == 0, F.col("n") * 2).otherwise(F.col("n")))
+    both = e.withColumn("_b", F.explode(F.array(b, b - 1)))
+    g = both.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct(F.col("_t").cast("double").alias("t"), F.col("_m").alias("m"), (F.col("_b") == b).alias("own")))).alias("_s"))
+
+    @F.pandas_udf("array<bigint>")
+    def counted(times: pd.Series, many: pd.Series, own: pd.Series) -> pd.Series:
+        if not len(times):
+            return pd.Series([], dtype=object)
+        ends = np.cumsum([len(x) for x in times])
+        return pd.Series(list(lag_counts(np.concatenate(times.to_list()), np.concatenate(many.to_list()), np.concatenate(own.to_list()).astype(bool), ends, bin_s, max_lag_s, size)))
+
+    c = g.filter(F.exists("_s", lambda x: x["own"])).select(*keys, counted("_s.t", "_s.m", "_s.own").alias("_c"))
+    n = c.select(*keys, F.posexplode("_c").alias("lag", "n")).groupBy(*keys, "lag").agg(F.sum("n").alias("n")).filter("n > 0")
+    return n.withColumn("n", F.when(F.col("lag") == 0, F.col("n") * 2).otherwise(F.col("n")))
+
+
+def lag_counts(t: np.ndarray, m: np.ndarray, own: np.ndarray, ends: np.ndarray, bin_s: float, max_lag_s: float, size: int) -> np.ndarray:
+    """(groups x lags) pairs of an own time and a time behind it in its group, up to ends; times rise within a group and stand for m equal ones."""
+    i = np.flatnonzero(own)
+    group = np.searchsorted(ends, i, "right")
+    at, weight, before = t[i], m[i], np.concatenate(([0], np.cumsum(m)))
+
+    def border(low: np.ndarray, high: np.ndarray, inside) -> np.ndarray:
+        """The first place from low on whose distance is not inside; distances rise in floating point too, so this is exact."""
+        low, high = low.copy(), high.copy()
+        while (at_work := np.flatnonzero(low < high)).size:
+            mid = (low[at_work] + high[at_work]) >> 1
+            ok = inside(t[mid] - at[at_work])
+            low[at_work] = np.where(ok, mid + 1, low[at_work])
+            high[at_work] = np.where(ok, high[at_work], mid)
+        return low
+
+    last = border(i + 1, ends[group], lambda d: d <= max_lag_s)
+    out, place = np.zeros((len(ends), size), np.int64), i + 1
+    cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    for lag in range(size):
+        nxt = border(place, last, lambda d: np.floor(d / bin_s + 0.5) <= lag) if lag + 1 < size else last
+        n = weight * (before[nxt] - before[place])
+        if lag == 0:
+            n = n + weight * (weight - 1) // 2
+        out[group[cuts], lag] = np.add.reduceat(n, cuts)
+        place = nxt
+    return out
 
 
 def symmetric(half: DataFrame) -> DataFrame:
