@@ -207,12 +207,8 @@ SELECT rep, unit_id, y, x, y * 30 + x FROM r_pz UNION SELECT c.rep, c.unit_id, c
   SELECT k.unit_id, CAST(k.c AS INTEGER) AS component, round(k.mass, 6) AS mass, k.size, round((1 + count(nl.nm) FILTER (nl.nm >= k.mass)) / CAST({N_REP + 1} AS DOUBLE), 6) AS p
   FROM k LEFT JOIN nl ON nl.unit_id = k.unit_id WHERE k.rep = -1 GROUP BY 1, 2, k.mass, k.size""")
 def g07(spark, sf):
-    from ..operators.intervals import trial_window_join
+    from ..operators.clusters import hit_clusters
     from .q_rates import LO, HI
-    t = R.trials(spark, sf)
-    tr = t.select("session", "trial_id", F.col("luminance").alias("stratum"), F.col("y_idx").alias("y"), F.col("x_idx").alias("x"))
-    hits = trial_window_join(R.spikes(spark, sf), t, ["session"], lo=LO, hi=HI)
-    resp = hits.groupBy("session", "unit_id", "trial_id").agg(F.count(F.lit(1)).cast("double").alias("response"))
-    resp = cut_lineage(resp)
-    _, cl = G.cluster_permutation(resp, tr, ["session"], ["unit_id"], "trial_id", ny=NY, nx=NX, n_rep=N_REP, seed=7)
+    tr = R.trials(spark, sf).select("session", "trial_id", "onset_s", F.col("luminance").alias("stratum"), F.col("y_idx").alias("y"), F.col("x_idx").alias("x"))
+    cl = hit_clusters(R.spikes(spark, sf), tr, ["session"], ["unit_id"], "trial_id", t="t", onset="onset_s", lo=LO, hi=HI, ny=NY, nx=NX, n_rep=N_REP, seed=7)
     return cl.select("unit_id", "component", R.rnd("mass").alias("mass"), "size", R.rnd("p").alias("p"))
