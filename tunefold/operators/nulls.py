@@ -122,40 +122,66 @@ def feature_support(frames: DataFrame, epochs: DataFrame, session: list[str], *,
     return f.select(*session, "epoch_id", F.coalesce((F.col("_prev") + F.col("clock_t")) / 2, F.col("clock_start")).alias("left_t"), angle)
 
 
-#: Stretches of the clock and spikes of a bucket that one task should hold, units of a block, and replicates swept at a time.
-STRETCHES, UNITS, REPS = 1 << 18, 64, 128
+#: Stretches of the clock and spikes of a unit that one task should hold, spikes of a block of units, shifted spikes looked up
+#: at a time, and rows of a batch that a task hands back.
+STRETCHES, BLOCK, LOOKUPS, ROWS = 1 << 18, 1 << 16, 1 << 16, 1 << 14
 
 
-def _swept(batches, n_bins: int, n_rep: int, seed: int):
-    """Per unit and replicate the counts per bin of its shifted spikes that fall into one chunk of the clock."""
+def _swept(batches, n_bins: int, n_rep: int, seed: int, whole: bool):
+    """Per unit and replicate the counts per bin of its shifted spikes that fall into one chunk of the clock; their vector length if that is `whole` the clock."""
+    angle = np.radians((np.arange(n_bins) + 0.5) * (360.0 / n_bins))
+
+    def batch_of(key, made):
+        reps, counts, parts = (np.concatenate([m[i] for m in made]) for i in (1, 2, 3))
+        if whole:
+            value = pa.array(counts)
+        else:
+            value = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * n_bins), pa.array(counts.ravel()))
+        keys = pa.array([m[0] for m in made], key).take(pa.array(np.repeat(np.arange(len(made)), [len(m[1]) for m in made])))
+        return pa.RecordBatch.from_arrays([pa.array(reps), *keys.flatten(), value, pa.array(parts)], names=["rep", *[f.name for f in key], "_v", "_w"])
+
     for batch in batches:
-        key = batch.schema.field("_units").type.value_type.field("_key").type
-        keys, reps, counts = [], [], []
+        key, made, held = batch.schema.field("_units").type.value_type.field("_key").type, [], 0
         for row in range(batch.num_rows):
-            at = {c: batch.column(c)[row] for c in ("_left", "_bin", "_units")}
+            at = {c: batch.column(c)[row] for c in ("_left", "_bin", "_occ", "_units")}
             left, bins = at["_left"].values.to_numpy(zero_copy_only=False), at["_bin"].values.to_numpy(zero_copy_only=False).astype(np.int64)
+            occ = at["_occ"].values.to_numpy(zero_copy_only=False)
             hi, length = (batch.column(c)[row].as_py() for c in ("_hi", "_len"))
             for unit in at["_units"]:
                 name, t = unit["_name"].as_py(), unit["_t"].values.to_numpy(zero_copy_only=False)
                 u = np.array([int(hashlib.md5(f"{seed}|{r}|{name}".encode()).hexdigest()[:8], 16) for r in range(n_rep)]) / 4294967296.0
-                for lo in range(0, n_rep, REPS):
-                    shift = u[lo:lo + REPS]
-                    moved = np.fmod(t[None, :] + shift[:, None] * length, length)
-                    place = np.searchsorted(left, moved, "right") - 1
-                    inside = place >= 0
-                    if hi is not None:
-                        inside &= moved < hi
-                    b = np.where(inside, bins[np.maximum(place, 0)], -1)
-                    rep, spike = np.nonzero(b >= 0)
-                    n = np.bincount(rep * n_bins + b[rep, spike], minlength=len(shift) * n_bins).reshape(len(shift), n_bins)
-                    hit = np.flatnonzero(n.any(axis=1))
-                    keys += [unit["_key"].as_py()] * len(hit)
-                    reps.append(hit + lo)
-                    counts.append(n[hit])
-        counts = np.concatenate(counts) if counts else np.zeros((0, n_bins))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * n_bins), pa.array(counts.astype(np.int64).ravel()))
-        parts = pa.array(keys, key)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps).astype(np.int32) if reps else np.zeros(0, np.int32)), *parts.flatten(), lists], names=["rep", *[f.name for f in key], "_n"])
+                n = np.zeros((n_rep, n_bins), np.int64)
+                some = max(1, LOOKUPS // max(1, min(len(t), LOOKUPS)))
+                for first in range(0, len(t), LOOKUPS):
+                    for lo in range(0, n_rep, some):
+                        shift = u[lo:lo + some]
+                        moved = t[None, first:first + LOOKUPS] + shift[:, None] * length
+                        # below two lengths the remainder is the difference, which is exact
+                        np.subtract(moved, length, out=moved, where=moved >= length)
+                        if moved.max() >= length:
+                            moved = np.fmod(moved, length)
+                        place = np.searchsorted(left, moved, "right") - 1
+                        inside = place >= 0
+                        if hi is not None:
+                            inside &= moved < hi
+                        b = np.where(inside, bins[np.maximum(place, 0)], -1)
+                        b += np.arange(1, len(shift) + 1)[:, None] * (n_bins + 1) - n_bins
+                        n[lo:lo + some] += np.bincount(b.ravel(), minlength=len(shift) * (n_bins + 1)).reshape(len(shift), n_bins + 1)[:, 1:]
+                hit = np.flatnonzero(n.any(axis=1))
+                if whole:
+                    r = n[hit] / occ
+                    add = lambda f: sum((r[:, b] * f[b] for b in range(n_bins)), np.zeros(len(hit)))
+                    w = add(np.ones(n_bins))
+                    value, parts = np.hypot(add(np.cos(angle)), add(np.sin(angle))), w
+                else:
+                    value, parts = n[hit], np.ones(len(hit))
+                made.append((unit["_key"].as_py(), hit.astype(np.int32), value, parts))
+                held += len(hit)
+                if held >= ROWS:
+                    yield batch_of(key, made)
+                    made, held = [], 0
+        if made:
+            yield batch_of(key, made)
 
 
 def hd_shuffle(spikes: DataFrame, frames: DataFrame, epochs: DataFrame, session: list[str], unit: list[str], *, t: str, ft: str, angle: str,
@@ -164,7 +190,8 @@ def hd_shuffle(spikes: DataFrame, frames: DataFrame, epochs: DataFrame, session:
 
     Frames are first turned into stretches of the clock, which is cut into chunks of about STRETCHES. Blocks of units meet
     the chunks of their session, whatever the number of replicates: a task sweeps its replicates over the sorted stretches
-    by binary search and gives counts per bin, so no spike is multiplied before a shuffle.
+    by binary search, so no spike is multiplied before a shuffle. Where every clock is one chunk the task gives vector lengths,
+    otherwise counts per bin, which are summed up over the chunks.
     """
     from .intervals import to_epoch_clock
     K = [*session, *unit]
@@ -177,17 +204,25 @@ def hd_shuffle(spikes: DataFrame, frames: DataFrame, epochs: DataFrame, session:
     chunks = support.join(parts, session).groupBy(*session, "_len", chunk).agg(F.sort_array(F.collect_list(F.struct("left_t", "_b"))).alias("_s"))
     after = F.lead(F.col("_s")[0]["left_t"]).over(Window.partitionBy(*session).orderBy("_chunk"))
     chunks = chunks.select(*session, "_len", F.col("_s.left_t").alias("_left"), F.col("_s._b").alias("_bin"), after.alias("_hi"))
+    # unvisited bins count as one sample, in the shuffle only
+    seen = occupancy.groupBy(*session).agg(F.map_from_entries(F.collect_list(F.struct("bin", "occ_n"))).alias("_occ"))
+    chunks = chunks.join(seen, session, "left").withColumn("_occ", F.array(*[F.coalesce(F.try_element_at(F.col("_occ"), F.lit(b)), F.lit(1)).cast("double") for b in range(n_bins)]))
     name = F.concat_ws("|", *[F.col(c).cast("string") for c in K]).alias("_name")
-    number = s.groupBy(*session).agg(F.ceil(F.count(F.lit(1)) / STRETCHES).alias("_p"), F.ceil(F.count_distinct(*unit) / UNITS).alias("_u"))
-    some = s.join(number, session).withColumn("_block", F.pmod(F.xxhash64(*unit), F.col("_u"))).withColumn("_slice", F.pmod(F.xxhash64("clock_t"), F.col("_p")))
-    units = some.groupBy(*K, "_block", "_slice").agg(F.collect_list("clock_t").alias("_t"))
+    # only a unit of more spikes than a task should hold is cut
+    number = s.groupBy(*K).agg(F.count(F.lit(1)).alias("_c")).withColumn("_p", F.ceil(F.col("_c") / STRETCHES))
+    number = cut_lineage(number.join(number.groupBy(*session).agg(F.ceil(F.sum("_c") / BLOCK).alias("_u")), session))
+    whole = number.filter("_p > 1").isEmpty() and parts.filter("_p > 1").isEmpty()
+    some = s.join(number, K).withColumn("_block", F.pmod(F.xxhash64(*unit), F.col("_u"))).withColumn("_slice", F.pmod(F.xxhash64("clock_t"), F.col("_p")))
+    units = some.groupBy(*K, "_block", "_slice").agg(F.sort_array(F.collect_list("clock_t")).alias("_t"))
     units = units.groupBy(*session, "_block", "_slice").agg(F.collect_list(F.struct(F.struct(*K).alias("_key"), name, "_t")).alias("_units"))
     types = dict(spikes.dtypes)
-    out = ", ".join(["rep int", *(f"{c} {types[c]}" for c in K), "_n array<long>"])
-    swept = units.join(chunks, session).select("_left", "_bin", "_hi", "_len", "_units").mapInArrow(lambda it: _swept(it, n_bins, n_rep, seed), out)
-    n = swept.groupBy("rep", *K).agg(F.array(*[F.sum(F.col("_n")[b]) for b in range(n_bins)]).alias("_n"))
-    # unvisited bins count as one sample, in the shuffle only
-    seen = occupancy.groupBy(*session).agg(F.map_from_entries(F.collect_list(F.struct("bin", "occ_n"))).alias("_occ"))
+    out = ", ".join(["rep int", *(f"{c} {types[c]}" for c in K), "_v double" if whole else "_v array<long>", "_w double"])
+    # large rows of much work: dealt one by one, and not put together again by their size
+    work = units.join(chunks, session).select("_left", "_bin", "_occ", "_hi", "_len", "_units").repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    swept = work.mapInArrow(lambda it: _swept(it, n_bins, n_rep, seed, whole), out)
+    if whole:
+        return swept.select("rep", *K, (F.col("_v") / F.col("_w")).alias("null_mvl"))
+    n = swept.groupBy("rep", *K).agg(F.array(*[F.sum(F.col("_v")[b]) for b in range(n_bins)]).alias("_n"))
     o = n.join(seen, session, "left")
     rates = F.transform("_n", lambda x, b: x / F.coalesce(F.try_element_at(F.col("_occ"), b), F.lit(1)))
     angle_of = lambda b: (b + 0.5) * (360.0 / n_bins)
