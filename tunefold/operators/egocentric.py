@@ -1,12 +1,16 @@
 """Boundary maps seen from the animal, behavioural states, matched comparisons and control simulations."""
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.angles import col, circular_distance, cosd, sind, wrap360
 from ..functions.bins import even_bin, right_closed_bin
 from ..functions.geometry import ray_direction, ray_rectangle, wall_circle, wall_rectangle
-from ..functions.hashing import replicate, uniform
 from ..session import cut_lineage
 from .dense import dense_by_table
 
@@ -214,16 +218,66 @@ def poisson_draw(lam, u) -> Column:
     return F.when(col(lam).isNotNull(), F.aggregate(F.sequence(F.lit(1), F.coalesce(top, F.lit(1))), z, step)["k"])
 
 
-def poisson_null(states: DataFrame, keys: list[str], cell: list[str], n: str, lam: str, *, n_sim: int, seed: int, piece: float = 32.0) -> DataFrame:
+def poisson_counts(mean: float, u: np.ndarray) -> np.ndarray:
+    """Inverse Poisson CDF at every u, for any mean: the terms within 12 SD of it."""
+    if mean <= 0:
+        return np.zeros(len(u), np.int64)
+    far = 12.0 * math.sqrt(mean) + 12.0
+    k = np.arange(max(0, math.floor(mean - far)), math.ceil(mean + far) + 1)
+    log = k[0] * math.log(mean) - mean - math.lgamma(k[0] + 1) + np.append(0.0, np.cumsum(math.log(mean) - np.log(k[1:])))
+    return k[0] + np.minimum(np.searchsorted(np.cumsum(np.exp(log)), u, "left"), len(k) - 1)
+
+
+def hashed_uniforms(text: str, n: int) -> np.ndarray:
+    """Uniform numbers of the replicates 0 to n - 1 of a text: splitmix64 from its md5, so they depend on nothing else."""
+    x = np.uint64(int(hashlib.md5(text.encode()).hexdigest()[:16], 16)) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+
+
+def _summed(states: DataFrame, keys: list[str], cell: list[str], n: str, lam: str) -> DataFrame:
+    m = F.col(n) * F.col(lam)
+    return states.filter(m.isNotNull()).groupBy(*keys, *cell).agg(F.sum(m).alias("_mean"))
+
+
+def _key(seed: int, *parts: str) -> Column:
+    return F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts])
+
+
+def poisson_null(states: DataFrame, keys: list[str], cell: list[str], n: str, lam: str, *, n_sim: int, seed: int) -> DataFrame:
     """Simulated counts per replicate and cell from per-frame expectations.
 
-    `states` holds, per unit and cell (fold, heading bin, map bin, ...), the number n of frames and their common
-    expectation. The sum of independent Poisson counts is Poisson with the summed mean, so one draw per state
-    stands for all its frames; large means are split into independent pieces of at most `piece`.
+    `states` holds, per unit and cell (heading bin, map bin, ...), the number n of frames and their common expectation. The
+    sum of independent Poisson counts is Poisson with the summed mean, so one draw per cell stands for all frames of its
+    states. Draws are made in the row of a cell after the only shuffle.
     """
-    m = F.col(n) * F.col(lam)
-    r = replicate(states.filter(m.isNotNull()), n_sim, "sim")
-    k = F.greatest(F.ceil(m / piece).cast("int"), F.lit(1))
-    r = r.withColumn("_k", k).withColumn("_piece", F.explode(F.sequence(F.lit(1), F.col("_k")))).withColumn("_mean", m / F.col("_k"))
-    r = r.withColumn("_u", uniform(seed, "sim", *keys, *cell, "_piece"))
-    return r.withColumn("n_sim", poisson_draw("_mean", F.col("_u"))).groupBy("sim", *keys, *cell).agg(F.sum("n_sim").alias("n"))
+    @F.pandas_udf("array<long>")
+    def draws(text: pd.Series, mean: pd.Series) -> pd.Series:
+        return pd.Series([poisson_counts(m, hashed_uniforms(t, n_sim)) for t, m in zip(text, mean)], dtype=object)
+
+    r = _summed(states, keys, cell, n, lam).withColumn("_n", draws(_key(seed, *keys, *cell), F.col("_mean")))
+    return r.select(F.posexplode("_n").alias("sim", "n"), *keys, *cell).select("sim", *keys, *cell, "n")
+
+
+def poisson_strengths(states: DataFrame, keys: list[str], cell: str, n: str, lam: str, occupancy: DataFrame, within: list[str], n_bins: int, *, n_sim: int, seed: int) -> DataFrame:
+    """(keys, null): per unit the vector lengths of n_sim maps of poisson_null() counts over heading bins, NULL for a map without a count.
+
+    `occupancy` has the exposure `o` per `within` and `cell`. A unit's cells are one row, so no replicate is a row of a table.
+    """
+    angle = np.radians((np.arange(n_bins) + 0.5) * (360.0 / n_bins))
+
+    @F.pandas_udf("array<double>")
+    def strengths(text: pd.Series, bins: pd.Series, means: pd.Series, seen: pd.Series) -> pd.Series:
+        out = []
+        for t, b, m, o in zip(text, bins, means, seen):
+            rate = np.array([poisson_counts(x, hashed_uniforms(f"{t}|{c}", n_sim)) for c, x in zip(b, m)]) / np.asarray(o, float)[:, None]
+            w = rate.sum(axis=0)
+            with np.errstate(invalid="ignore"):
+                r = np.minimum(np.hypot(np.cos(angle[b]) @ rate, np.sin(angle[b]) @ rate) / w, 1.0)
+            out.append([float(v) if x > 0 else None for v, x in zip(r, w)])
+        return pd.Series(out, dtype=object)
+
+    r = _summed(states, keys, [cell], n, lam).join(occupancy.select(*within, cell, "o"), [*within, cell])
+    r = r.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(cell).alias("b"), F.col("_mean").alias("m"), F.col("o").cast("double").alias("o")))).alias("_c"))
+    return r.select(*keys, strengths(_key(seed, *keys), F.col("_c.b"), F.col("_c.m"), F.col("_c.o")).alias("null"))
