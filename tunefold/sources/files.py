@@ -1,10 +1,13 @@
 """File edges: CSV, TSV, JSON, text and raw binary in, tables out, with explicit schemas and fail-fast parsing."""
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.text import null_if_nan
@@ -85,10 +88,50 @@ def session_catalog(spark: SparkSession, root: str) -> DataFrame:
     return d.select(F.element_at(F.split("path", "/"), -2).alias("recording"), "stream_no", "s.*", (F.col("stream_no") == 0).alias("is_probe"))
 
 
-def file_evidence(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Size and SHA-256 of every source file, hashed where the file is read."""
+#: Bytes of a file that may be one value of a row; endings that Spark's text reader would unpack.
+WHOLE, PACKED = 1 << 26, r"(?i)\.(gz|gzip|bz2|deflate|lz4|snappy|zst|zstd|xz)$"
+
+
+def _digested(batches, file: str, length: int):
+    h, seen, at = hashlib.sha256(), -1, -1
+    for batch in batches:
+        lines, blocks = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        if not lines:
+            continue
+        if blocks[0] < at or (np.diff(blocks) < 0).any():
+            raise ValueError(f"{file} was not read in order")
+        at = blocks[-1]
+        if seen >= 0:
+            h.update(b"\n")
+        part = b"\n".join(lines)
+        h.update(part)
+        seen += 1 + len(part)
+    if seen == length - 1:
+        h.update(b"\n")
+    elif seen != length:
+        raise ValueError(f"read {seen} of the {length} bytes of {file}")
+    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([length], pa.int64()), pa.array([h.hexdigest()])], names=["file", "bytes", "sha256"])
+
+
+def file_evidence(spark: SparkSession, path: str, glob: str = "*", whole: int = WHOLE) -> DataFrame:
+    """Size and SHA-256 of every source file, hashed where the file is read.
+
+    A digest needs a file's bytes in order, so a file is one task. Files of more than `whole` bytes are read as raw lines, piece
+    by piece: no row holds such a file, whatever its size. Packed files are one row, as Spark would unpack their lines.
+    """
+    escaped = lambda p: re.sub(r"([\\*?\[\]{}])", r"\\\1", p)
+    rows = lambda f: f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    # the source itself leaves out by length, before it reads a file
+    out = rows(f.filter(F.col("length") <= whole))
+    for r in f.filter(F.col("length") > whole).select("path", "length").collect():
+        if re.search(PACKED, r["path"]):
+            out = out.unionByName(rows(spark.read.format("binaryFile").load(escaped(r["path"]))))
+            continue
+        lines = spark.read.format("text").option("lineSep", "\n").load(escaped(r["path"]))
+        lines = lines.select(F.col("value").cast("binary"), F.col("_metadata.file_block_start").alias("at")).coalesce(1)
+        out = out.unionByName(lines.mapInArrow(lambda it, file=r["path"].split("/")[-1], n=r["length"]: _digested(it, file, n), "file string, bytes long, sha256 string"))
+    return out
 
 
 # ---- tuning tables ----
