@@ -175,8 +175,10 @@ def t03(spark, sf):
     e = ev_stream(spark, sf)
     sp = e.filter(F.col("event_type").isin("click", "purchase", "error")).select("session", "event_id", "ts")
     tr = ev_stream(spark, sf).filter("event_type = 'signup'").select("session", F.col("event_id").alias("trial_id"), F.col("ts").alias("onset"))
-    j = ST.stream_trial_counts(sp, tr, ["session"], "ts", "onset", "'-3600' SECOND", "'14400' SECOND")
-    return ST.drain(j.select("session", "trial_id", "event_id"), S.scratch(spark, "t03"), mode="append").groupBy("session", "trial_id").agg(F.count(F.lit(1)).alias("n"))
+    path = S.scratch(spark, "t03")
+    sp, tr = ST.closed(sp, f"{path}/s", "ts", "session"), ST.closed(tr, f"{path}/r", "onset", "session")
+    j = ST.stream_window_counts(sp, tr, ["session"], "trial_id", "ts", "onset", "'-3600' SECOND", "'14400' SECOND")
+    return ST.drain(j, path, mode="append").groupBy("session", "trial_id").agg(F.sum("n").alias("n"))
 
 
 @query("T04_stream_rate", "SELECT event_type, CAST(epoch_us(ts) // 86400000000 * 86400000000 AS BIGINT) AS start_us, count(*) AS n FROM events GROUP BY 1, 2")

@@ -222,6 +222,34 @@ def stream_trial_counts(spikes: DataFrame, trials: DataFrame, keys: list[str], t
     return s.join(r, on, "inner").select(*[F.col(f"s.{c}") for c in spikes.columns], *[F.col(f"r.{c}") for c in trials.columns if c not in spikes.columns])
 
 
+def stream_window_counts(spikes: DataFrame, trials: DataFrame, keys: list[str], trial: str, ts: str, onset: str, lo: str, hi: str, late: str = "1 hour", stretch_s: int = 3600) -> DataFrame:
+    """(keys, trial, n): spikes in [onset+lo, onset+hi) per trial and stretch of time, in append mode; a trial's sum is its count.
+
+    Spikes and trials are two watermarked aggregates, lists of a key's times per stretch, and joined by stretch: a trial meets
+    lists of spikes and counts in them, so no pair of a spike and a trial is a row. Trials and stretches without a hit give no row.
+    """
+    part, window = lambda c: F.floor(c / F.lit(stretch_s * 1_000_000)).cast("long"), f"{stretch_s} seconds"
+    present = lambda *cols: F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in cols))
+
+    @F.pandas_udf("array<long>")
+    def counts(times: pd.Series, first: pd.Series, after: pd.Series) -> pd.Series:
+        sorted_ = [np.sort(np.asarray(t, np.int64)) for t in times]
+        return pd.Series([np.maximum(np.searchsorted(t, b, "left") - np.searchsorted(t, a, "left"), 0) for t, a, b in zip(sorted_, first, after)], dtype=object)
+
+    s = spikes.withWatermark(ts, late).filter(present(*keys)).groupBy(*keys, F.window(ts, window).alias("_w")).agg(F.collect_list(F.unix_micros(ts)).alias("_t"))
+    s = s.select(*keys, F.window_time("_w").alias("_st"), part(F.unix_micros("_w.start")).alias("_part"), "_t").alias("s")
+    at = lambda by: F.unix_micros(F.col(onset) + F.expr(f"INTERVAL {by}"))
+    row = F.struct(F.col(trial).alias("i"), at(lo).alias("a"), at(hi).alias("b"))
+    r = trials.withWatermark(onset, late).filter(present(*keys)).groupBy(*keys, F.window(onset, window).alias("_w")).agg(F.collect_list(row).alias("_r"))
+    first, last = part(F.array_min("_r.a")), part(F.array_max("_r.b"))
+    r = r.select(*keys, F.window_time("_w").alias("_rt"), F.explode(F.sequence(first, F.greatest(first, last))).alias("_part"), "_r").alias("r")
+    # the condition on times lets the watermark clear both sides
+    on = [F.col(f"s.{k}") == F.col(f"r.{k}") for k in [*keys, "_part"]]
+    on += [F.col("_st") >= F.col("_rt") + F.expr(f"INTERVAL {lo}") - F.expr(f"INTERVAL '{2 * stretch_s}' SECOND"), F.col("_st") <= F.col("_rt") + F.expr(f"INTERVAL {hi}") + F.expr(f"INTERVAL '{2 * stretch_s}' SECOND")]
+    j = s.join(r, on, "inner").select(*[F.col(f"s.{k}") for k in keys], F.col("_r.i").alias("_i"), counts("_t", "_r.a", "_r.b").alias("_n"))
+    return j.select(*keys, F.explode(F.arrays_zip("_i", "_n")).alias("_x")).select(*keys, F.col("_x._i").alias(trial), F.col("_x._n").alias("n")).filter("n > 0")
+
+
 def stream_rate(events: DataFrame, keys: list[str], ts: str, window: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Events per tumbling (or sliding) window."""
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
